@@ -86,3 +86,19 @@ def tmp_file(suffix: str = "") -> str:
     d = tempfile.mkdtemp(prefix="strandloom-")
     _LOCAL_DIRS.append(d)
     return os.path.join(d, f"f{suffix}")
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_strandloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = tmp_file("pkg")
+    stage = os.path.join(os.path.dirname(base), "stage")
+    shutil.copytree(
+        os.path.join(root, "strandloom"), os.path.join(stage, "strandloom"), ignore=shutil.ignore_patterns("__pycache__", "*.pyc")
+    )
+    name = os.path.join(os.path.dirname(base), "strandloom_pkg")
+    sc.addPyFile(shutil.make_archive(name, "zip", stage))
+    sc._strandloom_shipped = True
