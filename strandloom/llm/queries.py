@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandloom.llm import algorithm_queries
+from strandloom.llm import algorithm_queries, text_queries
 
-MODULES = [algorithm_queries]
+MODULES = [algorithm_queries, text_queries]
 
 
 def all_queries():
