@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.llm import leakage
+from strandloom.llm import leakage, mixing, tokens
 from strandloom.runtime import read_table
 
 
@@ -20,7 +20,38 @@ def p6_leaks(spark, sf):
     return _leaks(spark, sf)
 
 
+def _mix(spark, sf, size=None):
+    size = size or (lambda docs, keep: tokens.with_tokens(docs, "text", keep))
+    return mixing.mix(read_table(spark, sf, "documents"), read_table(spark, sf, "mix_targets"), "doc_id", "source", size)
+
+
+def p7_found(spark, sf):
+    return _mix(spark, sf).short_sources()
+
+
+def p7_mix(spark, sf):
+    return _mix(spark, sf).documents()
+
+
+def p7_shares(spark, sf):
+    return _mix(spark, sf).report()
+
+
+def p7_short_by_chars(spark, sf):
+    """The sources that fall short when sizes are characters, which SQL can count."""
+    return _mix(spark, sf, lambda docs, keep: docs.select(*keep, F.length("text").alias("tokens"))).short_sources()
+
+
 QUERIES = {
     "p6_found": (p6_found, None),
     "p6_leaks": (p6_leaks, None),
+    "p7_found": (p7_found, None),
+    "p7_mix": (p7_mix, None),
+    "p7_shares": (p7_shares, None),
+    "p7_short_by_chars": (
+        p7_short_by_chars,
+        r"""WITH d AS (SELECT regexp_replace(lower(trim(source)), '[\s_-]+', '_', 'g') AS s, sum(length(text)) AS n FROM documents GROUP BY 1)
+SELECT t.source FROM mix_targets t LEFT JOIN d ON d.s = t.source
+WHERE coalesce(d.n, 0) * max_repeats < target_share * (SELECT sum(length(text)) FROM documents)""",
+    ),
 }
