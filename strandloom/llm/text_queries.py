@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.llm import leakage, mixing, tokens
+from strandloom.llm import leakage, mixing, residue, tokens
 from strandloom.runtime import read_table
 
 
@@ -42,12 +42,31 @@ def p7_short_by_chars(spark, sf):
     return _mix(spark, sf, lambda docs, keep: docs.select(*keep, F.length("text").alias("tokens"))).short_sources()
 
 
+def _residue(spark, sf):
+    return residue.find(residue.gather(read_table(spark, sf, "documents"), "doc_id", "text"))
+
+
+def p8_found(spark, sf):
+    return _residue(spark, sf).select("doc_id").distinct()
+
+
+def p8_kinds(spark, sf):
+    return _residue(spark, sf)
+
+
+def p8_clean(spark, sf):
+    return residue.clean(read_table(spark, sf, "documents"), "doc_id", _residue(spark, sf)).select("doc_id", "text", "source", "lang")
+
+
 QUERIES = {
     "p6_found": (p6_found, None),
     "p6_leaks": (p6_leaks, None),
     "p7_found": (p7_found, None),
     "p7_mix": (p7_mix, None),
     "p7_shares": (p7_shares, None),
+    "p8_found": (p8_found, None),
+    "p8_kinds": (p8_kinds, None),
+    "p8_clean": (p8_clean, None),
     "p7_short_by_chars": (
         p7_short_by_chars,
         r"""WITH d AS (SELECT regexp_replace(lower(trim(source)), '[\s_-]+', '_', 'g') AS s, sum(length(text)) AS n FROM documents GROUP BY 1)
