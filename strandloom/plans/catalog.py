@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandloom.plans import records
+from strandloom.plans import records, sequences
 
-MODULES = [records]
+MODULES = [records, sequences]
 
 
 def all_queries():
