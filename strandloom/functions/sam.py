@@ -50,16 +50,28 @@ def template_length(pos: Column, mate_pos: Column, mate_len: Column, same_ref: C
     return F.when(same_ref, own).otherwise(0).cast("int")
 
 
+def runs_of(ops: Column) -> Column:
+    """Run-length form of a text with one operation per base."""
+    runs = F.regexp_extract_all(ops, F.lit(r"((.)\2*)"), F.lit(1))
+    return F.transform(runs, lambda r: F.struct(F.substring(r, 1, 1).alias("op"), F.length(r).alias("len"), F.lit("").alias("ref")))
+
+
 def merge_runs(cigar: Column) -> Column:
-    """Joins equal neighbours, drops empty operations; after a soft clip that isn't the first all is clipped."""
+    """Joins equal neighbours, drops empty operations; after a soft clip that isn't the first all is clipped.
+
+    A fold over the operations, which are as many as a read has runs.
+    """
+
+    def entry(op, length, ref):
+        return F.struct(op.alias("op"), length.cast("int").alias("len"), ref.alias("ref"))
 
     def step(acc, x):
-        last = F.element_at(acc, -1)
-        absorbed = (F.size(acc) > 1) & (last["op"] == "S")
-        joined = F.struct(last["op"].alias("op"), (last["len"] + x["len"]).cast("int").alias("len"), F.concat(F.coalesce(last["ref"], F.lit("")), F.when(absorbed, "").otherwise(F.coalesce(x["ref"], F.lit("")))).alias("ref"))
-        grown = F.concat(acc, F.array(F.struct(x["op"].alias("op"), x["len"].cast("int").alias("len"), F.coalesce(x["ref"], F.lit("")).alias("ref"))))
-        merged = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))
-        return F.when(F.size(acc) == 0, grown).when(absorbed | (last["op"] == x["op"]), merged).otherwise(grown)
+        last = F.get(acc, F.size(acc) - 1)
+        clipped = (F.size(acc) > 1) & (last["op"] == "S")
+        ref = F.when(clipped, "").otherwise(F.concat(last["ref"], F.coalesce(x["ref"], F.lit(""))))
+        joined = entry(last["op"], last["len"] + x["len"], ref)
+        added = F.array(entry(x["op"], x["len"], F.coalesce(x["ref"], F.lit(""))))
+        return F.when(F.size(acc) == 0, added).when(clipped | (last["op"] == x["op"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, added))
 
     empty = F.array().cast("array<struct<op:string,len:int,ref:string>>")
     return F.aggregate(F.filter(cigar, lambda x: x["len"] > 0), empty, step)

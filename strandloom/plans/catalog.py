@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandloom.plans import records, sequences
+from strandloom.plans import alignments, records, sequences
 
-MODULES = [records, sequences]
+MODULES = [records, sequences, alignments]
 
 
 def all_queries():
