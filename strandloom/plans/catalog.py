@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandloom.plans import alignments, records, sequences
+from strandloom.plans import abundances, alignments, records, sequences
 
-MODULES = [records, sequences, alignments]
+MODULES = [records, sequences, alignments, abundances]
 
 
 def all_queries():
