@@ -63,8 +63,8 @@ def guided(hits: DataFrame, mate_hits: DataFrame, on: list[str]) -> DataFrame:
     return hits.join(mate_hits.select(*on).distinct(), on, "left_semi")
 
 
-def map_reads(reads: DataFrame, targets: DataFrame, index: DataFrame, key: list[str], k: int = K, stride: int = 14) -> DataFrame:
-    """Best hits of each read over both strands: ``key``, ``strand``, ``tid``, ``pos``, ``err``, ``cigar``.
+def map_reads(reads: DataFrame, targets: DataFrame, index: DataFrame, key: list[str], k: int = K, stride: int = 14, per_strand: bool = False) -> DataFrame:
+    """Best hits of each read over both strands (or on each): ``key``, ``strand``, ``tid``, ``pos``, ``err``, ``cigar``.
 
     Reads seed at the wide stride first; only those without a hit (an
     anti-join) seed again at the narrow one.
@@ -74,13 +74,38 @@ def map_reads(reads: DataFrame, targets: DataFrame, index: DataFrame, key: list[
 
     def stage(some, step):
         c = chains(kmers.seed_hits(some, index, full, "seq", k, step), full, k)
-        return best(extend(c, some, targets, full), key)
+        return best(extend(c, some, targets, full), full if per_strand else key)
 
     wide = stage(turned, k)
     rest = turned.join(wide.select(*key).distinct(), key, "left_anti")
     return wide.unionByName(stage(rest, stride)).dropDuplicates([*full, "tid", "pos"])
 
 
+def introns(hits: DataFrame, reads: DataFrame, contigs: DataFrame, index: DataFrame, key: list[str], k: int = K, within: int = 2_000_000) -> DataFrame:
+    """Clipped ends of at least ``k`` bases that stand elsewhere on the contig, without an error: split reads.
+
+    ``hits`` as from ``map_reads`` on contigs. The segment lies before the hit
+    if the start is clipped, behind it if the end is. Candidates come from the
+    k-mers of the segment; of those within the distance the nearest stay, ties
+    kept. Adds ``side``, ``split_pos`` and ``gap`` (the intron's length).
+    """
+    head, tail = F.get("cigar", F.lit(0)), F.get("cigar", F.size("cigar") - 1)
+    sides = F.array(F.struct(F.lit("start").alias("side"), F.when(head["op"] == "S", head["len"]).otherwise(0).alias("n")), F.struct(F.lit("end").alias("side"), F.when(tail["op"] == "S", tail["len"]).otherwise(0).alias("n")))
+    span = F.aggregate(F.filter("cigar", lambda x: x["op"].isin("=", "X", "D")), F.lit(0), lambda s, x: s + x["len"])
+    cut = hits.withColumn("__span", span).withColumn("__x", F.explode(sides)).select("*", "__x.side", F.col("__x.n").alias("seg_len")).filter(F.col("seg_len") >= k)
+    r = reads.select(*key, "strand", F.col("seq").alias("__read"))
+    seg = cut.join(r, [*key, "strand"]).withColumn("segment", F.when(F.col("side") == "start", F.substring("__read", F.lit(1), F.col("seg_len"))).otherwise(F.substring("__read", -F.col("seg_len"), F.col("seg_len"))))
+    seg = seg.select(*key, "strand", "tid", "pos", "__span", "side", "seg_len", "segment")
+    seeds = kmers.kmers(seg, [*key, "strand", "tid", "pos", "__span", "side", "seg_len"], "segment", k, k)
+    at = seeds.join(index.select("kmer", F.col("tid").alias("__c"), F.col("pos").alias("__p")), "kmer").filter(F.col("__c") == F.col("tid"))
+    at = at.withColumn("split_pos", F.col("__p") - F.col("at")).select(*key, "strand", "tid", "pos", "__span", "side", "seg_len", "split_pos").distinct()
+    gap = F.when(F.col("side") == "start", F.col("pos") - F.col("split_pos") - F.col("seg_len")).otherwise(F.col("split_pos") - F.col("pos") - F.col("__span"))
+    near = at.withColumn("gap", gap).filter((F.col("gap") > 0) & (F.col("gap") <= within))
+    same = near.join(seg.select(*key, "strand", "tid", "pos", "side", "segment"), [*key, "strand", "tid", "pos", "side"]).join(contigs.select("tid", F.col("seq").alias("__seq")), "tid")
+    exact = same.filter(F.substring("__seq", F.col("split_pos") + 1, F.col("seg_len")) == F.col("segment"))
+    return best(exact, [*key, "strand", "tid", "pos", "side"], "gap").select(*key, "strand", "tid", "pos", "side", "seg_len", "split_pos", "gap")
+
+
 def proper_pairs(left: DataFrame, right: DataFrame, pair: str, most: int = MAX_FRAGMENT) -> DataFrame:
     """Mates on one target within ``most`` bases of each other.
 

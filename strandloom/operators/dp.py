@@ -38,20 +38,18 @@ def _runs(ops: list[tuple[str, str]]):
 
 
 def _clip(ops: list[tuple[str, str]], least: int):
-    """Clips the ends up to the first run of ``least`` matches if edits there aren't rarer than one in two."""
+    """Soft-clips ends in which more than one base in three is an edit, if they have at least ``least`` bases."""
 
     def bad_prefix(seq):
         best, at, score = 0, 0, 0
         for i, (op, _) in enumerate(seq):
-            score += 1 if op != "=" else -1
-            if score >= best and score > 0:
+            score += 2 if op != "=" else -1
+            if score > best:
                 best, at = score, i + 1
-        return at
+        return at if sum(op != "D" for op, _ in seq[:at]) >= least else 0
 
     a = bad_prefix(ops)
     b = len(ops) - bad_prefix(ops[a:][::-1])
-    if b - a < least:
-        a, b = 0, 0
     head, tail = ops[:a], ops[b:]
     clipped = [("S", "") for op, _ in head if op != "D"] + ops[a:b] + [("S", "") for op, _ in tail if op != "D"]
     return clipped, sum(op != "I" for op, _ in head)

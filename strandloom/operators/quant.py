@@ -61,7 +61,8 @@ def squarem(problem: Problem, counts: np.ndarray | None = None, least: int = MIN
     """Accelerated rounds until no rate above 1e-3 changes by more than 1 %.
 
     The step length is the ratio of the sample standard deviations of the first
-    and second differences, at least 1 in size; rates below 0 are cut to 0 and a
+    and second differences, at least 1 in size; rates that would fall to 0 or
+    below keep the plain round's, so that no class loses all its members, and a
     plain round follows. Where the differences don't vary the plain round stands.
     """
     n = len(problem.lengths)
@@ -74,7 +75,8 @@ def squarem(problem: Problem, counts: np.ndarray | None = None, least: int = MIN
         spread = v.std(ddof=1) if n > 1 else 0.0
         if spread > 0:
             a = min(-(r.std(ddof=1) / spread), -1.0)
-            two = np.maximum(rate - 2 * a * r + a * a * v, 0.0)
+            jump = rate - 2 * a * r + a * a * v
+            two = np.where(jump > 0, jump, two)
         new = problem.step(two, counts)
         done = k + 1 >= least and not _going(rate, new)
         rate = new

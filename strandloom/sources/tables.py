@@ -12,10 +12,9 @@ def _tsv(df: DataFrame, path: str, order: str, header: list[str]) -> None:
     """One file in order; result tables have a row per target or gene, not per read."""
     numbers = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
     cols = [F.format_string("%.6f", c).alias(c) if c in numbers else F.col(c).cast("string").alias(c) for c in header]
-    rows = df.orderBy(order).select(F.concat_ws("\t", *[F.coalesce(c, F.lit("")) for c in cols]).alias("value"))
-    spark = df.sparkSession
-    head = spark.createDataFrame([("#" + "\t".join(header),)], "value string").coalesce(1)
-    head.unionByName(rows).coalesce(1).write.mode("overwrite").text(path)
+    rows = df.select(F.col(order).alias("k"), F.lit(1).alias("body"), F.concat_ws("\t", *[F.coalesce(c, F.lit("")) for c in cols]).alias("value"))
+    head = df.sparkSession.range(1).select(F.lit(None).cast(df.schema[order].dataType).alias("k"), F.lit(0).alias("body"), F.lit("#" + "\t".join(header)).alias("value"))
+    head.unionByName(rows).repartition(1).sortWithinPartitions("body", "k").select("value").write.mode("overwrite").text(path)
 
 
 def write_abundance(df: DataFrame, path: str) -> None:
