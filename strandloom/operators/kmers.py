@@ -27,8 +27,9 @@ def pack(codes: np.ndarray, k: int) -> np.ndarray:
         if k & width:
             out = (out << (2 * width)) | part[done:done + n]
             done += width
-        part = (part[: len(part) - width] << (2 * width)) | part[width:]
-        width *= 2
+        if done < k:
+            part = (part[: len(part) - width] << (2 * width)) | part[width:]
+            width *= 2
     return out
 
 
