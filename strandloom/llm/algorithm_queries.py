@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.llm import heavy_hitters, pairs, shared_spans
-from strandloom.runtime import read_table
+from strandloom.runtime import materialize, read_table
 
 
 def _frequent_reads(spark, sf):
@@ -45,7 +45,7 @@ def p4_name_shares(spark, sf):
 
 
 def _class_sets(spark, sf):
-    return pairs.baskets(read_table(spark, sf, "classes"), "class_id", "refs", "n")
+    return materialize(pairs.baskets(read_table(spark, sf, "classes"), "class_id", "refs", "n"), "baskets")
 
 
 def p5_found(spark, sf):

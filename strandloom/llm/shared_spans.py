@@ -8,8 +8,11 @@ windows with one cut point make up a chunk. Two equal windows have the same cut
 point wherever they stand, so insertions move chunks but don't change them, and
 any shared window lies in chunks of the same cut hash. Three steps follow:
 
-1. Every chunk travels with its cut hash; within a batch of records equal
-   chunks are combined by digest to their smallest and largest record id.
+0. Character groups that are frequent in the whole table (adapters, poly-A,
+   phrases of headers) are counted and come last as cut points. A frequent cut
+   point would bring unlike chunks of many records together in one task.
+1. Every chunk travels with its cut hash; within a task equal chunks are
+   combined by digest to their smallest and largest record id.
 2. Tasks get the chunks by cut hash. Chunks that are alone with their cut hash
    end there. Chunks of several records are shared as a whole; the windows of
    the rest are looked up among the windows of all chunks of that cut hash.
@@ -73,7 +76,37 @@ class Prefix:
         return _mix((self.sums[b] - self.sums[a]) * self.powers[a] ^ _mix((b - a).astype(np.uint64)))
 
 
-def cut_chunks(codes: np.ndarray, breaks: np.ndarray, length: int):
+def _rolled(g: np.ndarray, length: int) -> tuple[np.ndarray, int]:
+    """Gear hash of the characters from each place on, and how many it covers."""
+    gram = min(GRAM, length)
+    h, width = g, 1
+    while width * 2 <= gram:
+        h = (h[:-width] << _U(4 * width)) + h[width:]
+        width *= 2
+    return _mix(h), width
+
+
+class Frequent:
+    """A set of hashes with a quick first look."""
+
+    def __init__(self, hashes=()):
+        self.hashes = np.unique(np.array(hashes, np.int64).view(np.uint64))
+        self.seen = np.zeros(1 << 16, bool)
+        self.seen[self._slot(self.hashes)] = True
+
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        return (h & _U(0xFFFF)).astype(np.int64)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        maybe = np.flatnonzero(self.seen[self._slot(h)])
+        out = np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
+        out[maybe] = self.hashes[at] == h[maybe]
+        return out
+
+
+def cut_chunks(codes: np.ndarray, breaks: np.ndarray, length: int, frequent: Frequent | None = None):
     """Chunks of a slab: starts, ends and cut hashes, besides the numbers of the characters.
 
     ``breaks`` marks characters that no span may hold. A chunk is the union of
@@ -83,14 +116,11 @@ def cut_chunks(codes: np.ndarray, breaks: np.ndarray, length: int):
     windows = n - length + 1
     if windows <= 0:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64), g)
-    gram = min(GRAM, length)
-    h, width = g, 1
-    while width * 2 <= gram:
-        h = (h[:-width] << _U(4 * width)) + h[width:]
-        width *= 2
-    h = _mix(h)  # of the characters from each place on
-    low = _U((1 << SLAB_BITS) - 1)
-    rank = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+    h, width = _rolled(g, length)
+    low, top = _U((1 << SLAB_BITS) - 1), _U(1 << 63)
+    rank = ((h >> _U(1)) & ~low) | np.arange(len(h), dtype=np.uint64)
+    if frequent is not None and len(frequent.hashes):
+        rank[frequent.has(h)] |= top
     span, m, reach = length - width + 1, rank, 1
     while reach * 2 <= span:
         m = np.minimum(m[:-reach], m[reach:])
@@ -152,10 +182,10 @@ def _lay(ids, kept, breaks: bytes):
     return ids[rows], offset, begin, codes, bad
 
 
-def _located(batch, length: int, breaks: bytes):
+def _located(batch, length: int, breaks: bytes, frequent: Frequent | None):
     """For each slab its chunks: record id, offset in the record, digest, cut hash, and the slab itself."""
     for ids, offset, begin, codes, bad in _slabs(batch, length, breaks):
-        a, b, cut, g = cut_chunks(codes, bad, length)
+        a, b, cut, g = cut_chunks(codes, bad, length, frequent)
         row = np.searchsorted(begin, a, "right") - 1
         yield ids[row], offset[row] + a - begin[row], Prefix(g).digest(a, b), cut, a, b, codes
 
@@ -167,10 +197,29 @@ def _stretches(codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[str]:
     return [raw[x * wide:y * wide].decode(how, "surrogatepass" if wide > 1 else "strict") for x, y in zip(a.tolist(), b.tolist())]
 
 
-def _chunk_rows(length: int, breaks: bytes):
+SCHEMA = "cut long, digest long, lo long, hi long, chunk string"
+HOT = 20_000
+
+
+def _merged(t: pa.Table) -> pa.Table:
+    """One row per cut hash and digest: the smallest ``lo`` and the largest ``hi``."""
+    cut, digest = t["cut"].to_numpy(), t["digest"].to_numpy()
+    order = np.lexsort((digest, cut))
+    c, d = cut[order], digest[order]
+    first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (c[1:] != c[:-1])])
+    lo = np.minimum.reduceat(t["lo"].to_numpy()[order], first)
+    hi = np.maximum.reduceat(t["hi"].to_numpy()[order], first)
+    one = t.take(pa.array(order[first]))
+    return pa.table({"cut": one["cut"], "digest": one["digest"], "lo": lo, "hi": hi, "chunk": one["chunk"]})
+
+
+def _chunk_rows(length: int, breaks: bytes, frequent: Frequent | None):
+    """Chunks of each batch once; those that repeat within a batch are held back and go out once for many batches."""
+
     def run(batches):
+        held: pa.Table | None = None
         for batch in batches:
-            for ids, _, digest, cut, a, b, codes in _located(batch, length, breaks):
+            for ids, _, digest, cut, a, b, codes in _located(batch, length, breaks, frequent):
                 if not len(a):
                     continue
                 order = np.lexsort((ids, digest))
@@ -178,24 +227,62 @@ def _chunk_rows(length: int, breaks: bytes):
                 first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
                 last = np.r_[first[1:], len(d)] - 1
                 one = order[first]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(cut[one].view(np.int64)),
-                        pa.array(digest[one].view(np.int64)),
-                        pa.array(ids[one].astype(np.int64)),
-                        pa.array(ids[order[last]].astype(np.int64)),
-                        pa.array(_stretches(codes, a[one], b[one])),
-                    ],
-                    names=["cut", "digest", "lo", "hi", "chunk"],
+                t = pa.table(
+                    {
+                        "cut": cut[one].view(np.int64),
+                        "digest": digest[one].view(np.int64),
+                        "lo": ids[one].astype(np.int64),
+                        "hi": ids[order[last]].astype(np.int64),
+                        "chunk": _stretches(codes, a[one], b[one]),
+                    }
                 )
+                again = last > first
+                if held is not None:
+                    again |= np.isin(t["digest"].to_numpy(), held["digest"].to_numpy())
+                yield from t.filter(pa.array(~again)).to_batches()
+                if again.any():
+                    kept = t.filter(pa.array(again))
+                    held = _merged(kept if held is None else pa.concat_tables([held, kept]).combine_chunks())
+                    if held.num_rows > HOT:
+                        yield from held.to_batches()
+                        held = None
+        if held is not None:
+            yield from held.to_batches()
+
+    return run
+
+
+def _gram_rows(length: int, share: float):
+    """Hashes that hold at least half of ``share`` of a batch's places, with their count; without a hash, all places."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, _, codes, bad in _slabs(batch, length, b""):
+                h, _ = _rolled(_gear(codes), length)
+                unique, n = np.unique(h, return_counts=True)
+                often = n >= max(2, share * len(h) / 2)
+                yield pa.RecordBatch.from_arrays([pa.array([None, *unique[often].view(np.int64).tolist()], pa.int64()), pa.array([len(h), *n[often].tolist()], pa.int64())], names=["h", "n"])
 
     return run
 
 
-def _place_rows(length: int, breaks: bytes):
+def frequent_grams(rows: DataFrame, length: int, share: float = 1e-5) -> Frequent:
+    """Character groups with at least ``share`` of all places: at most 1 / share of them.
+
+    They only tell which cut points to avoid; any set gives the same result.
+    """
+    counted = rows.mapInArrow(_gram_rows(length, share), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = materialize(counted, "grams")
+    total = counted.filter("h IS NULL").first()
+    if total is None:
+        return Frequent()
+    return Frequent([r.h for r in counted.filter(F.col("h").isNotNull() & (F.col("n") >= max(64.0, share * total.n))).collect()])
+
+
+def _place_rows(length: int, breaks: bytes, frequent: Frequent | None):
     def run(batches):
         for batch in batches:
-            for ids, offset, digest, _, _, _, _ in _located(batch, length, breaks):
+            for ids, offset, digest, _, _, _, _ in _located(batch, length, breaks, frequent):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(digest.view(np.int64)), pa.array(ids.astype(np.int64)), pa.array(offset)], names=["digest", "id", "at"]
                 )
@@ -246,8 +333,8 @@ def resolve(digest, lo, hi, chunks: list[str], length: int):
     return [np.concatenate([out[0], d[chunk]]), np.concatenate([out[1], a - shift]), np.concatenate([out[2], b - shift + length - 1])]
 
 
-def _resolve_rows(length: int, block: int = 1 << 22):
-    """Over batches sorted by cut hash; groups are gathered up to ``block`` characters."""
+def _resolve_rows(length: int):
+    """Over batches sorted by cut hash; only the last group is held, its equal chunks merged as it grows."""
 
     def emit(parts):
         t = pa.Table.from_batches(parts)
@@ -263,6 +350,7 @@ def _resolve_rows(length: int, block: int = 1 << 22):
             cut = t["cut"].to_numpy()
             tail = int(np.searchsorted(cut, cut[-1], "left"))
             done, rest = t.slice(0, tail), t.slice(tail)
+            rest = _merged(rest.combine_chunks()) if rest.num_rows > 1000 else rest
             held = rest.combine_chunks().to_batches()[0]
             if done.num_rows:
                 yield from _several(done, cut[:tail], emit)
@@ -300,10 +388,11 @@ def shared_stretches(df: DataFrame, id_col: str, text_col: str, length: int = 50
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(
         F.col("id").isNotNull() & (F.length("text") >= length)
     )
-    chunks = rows.mapInArrow(_chunk_rows(length, cuts), "cut long, digest long, lo long, hi long, chunk string")
+    frequent = frequent_grams(rows, length)
+    chunks = rows.mapInArrow(_chunk_rows(length, cuts, frequent), SCHEMA)
     grouped = chunks.repartition("cut").sortWithinPartitions("cut")
     found = materialize(grouped.mapInArrow(_resolve_rows(length), "digest long, a long, b long"), "stretches")
-    places = rows.mapInArrow(_place_rows(length, cuts), "digest long, id long, at long")
+    places = rows.mapInArrow(_place_rows(length, cuts, frequent), "digest long, id long, at long")
     spans = places.join(found, "digest").select("id", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
     return join_spans(spans)
 

@@ -77,13 +77,27 @@ def test_empty_table(spark):
     assert found(spark, [], 50) == set()
 
 
+def test_a_common_end_on_a_third_of_the_records(spark):
+    rng = np.random.default_rng(8)
+    dna = lambda n: "".join(rng.choice(list("ACGT"), n))
+    end = dna(40)
+    rows = [(k, dna(int(rng.integers(20, 60))) + (end if k % 3 == 0 else dna(40))) for k in range(600)]
+    rows += [(1000 + k, rows[3 * k][1][5:]) for k in range(5)] + [(2000 + k, "A" * 80) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    frequent = S.frequent_grams(df, 50)
+    assert frequent.has(S._rolled(S._gear(np.frombuffer(end.encode(), np.uint8)), 50)[0]).all()
+    assert found(spark, rows, 50) == brute(rows, 50)
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text("ab", max_size=40), min_size=1, max_size=8), st.integers(2, 12))
-def test_every_window_is_in_one_chunk_and_equal_windows_cut_alike(texts, length):
-    seen, codes = defaultdict(set), None
+@given(st.lists(st.text("ab", max_size=40), min_size=1, max_size=8), st.integers(2, 12), st.booleans())
+def test_every_window_is_in_one_chunk_and_equal_windows_cut_alike(texts, length, avoid):
+    seen, codes, frequent = defaultdict(set), None, S.Frequent()
+    if avoid and len(texts[0]) >= length:
+        frequent = S.Frequent(S._rolled(S._gear(np.frombuffer(texts[0].encode(), np.uint8)), length)[0].view(np.int64))
     for t in texts:
         codes = np.frombuffer(t.encode(), np.uint8)
-        a, b, cut, _ = S.cut_chunks(codes, np.zeros(len(t), bool), length)
+        a, b, cut, _ = S.cut_chunks(codes, np.zeros(len(t), bool), length, frequent)
         windows = [(k, c) for x, y, c in zip(a, b, cut) for k in range(x, y - length + 1)]
         assert sorted(k for k, _ in windows) == list(range(max(0, len(t) - length + 1)))
         for k, c in windows:
