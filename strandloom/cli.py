@@ -40,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("-b", dest="bootstraps", type=int, default=0)
     q.add_argument("-w", dest="bam", help="write alignments to this BAM file")
     q.add_argument("-z", dest="level", type=_level, default=-1)
+    q.add_argument("-f", dest="genome", help="genome FASTA for pairs that the transcriptome doesn't hold")
     q.add_argument("--seed", type=int, default=0)
     m = sub.add_parser("model", help="abundance by the generative model from a BAM file")
     m.add_argument("bam")
@@ -61,7 +62,7 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "quant":
         index = tables.load_index(spark, args.index, ("transcripts", "genes", "postings"))
         if args.right:
-            done = pipeline.quantify_pairs(spark, index, args.left, args.right, args.out, args.bootstraps, args.bam, args.level, args.seed)
+            done = pipeline.quantify_pairs(spark, index, args.left, args.right, args.out, args.bootstraps, args.bam, args.level, args.seed, args.genome)
             logging.info("%s", done["summary"].first().asDict())
         else:
             pipeline.quantify_single(spark, index, args.left, args.out, args.bootstraps, args.seed)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def band_join(left: DataFrame, right: DataFrame, a: str, b: str, width: int, on: list[str] | None = None) -> DataFrame:
@@ -91,3 +93,59 @@ def group_changes(df: DataFrame, key: list[str], order: list[str], same) -> Data
 
     begins = F.when(F.row_number().over(w) == 1, 1).when(F.coalesce(same(previous, F.col), F.lit(False)), 0).otherwise(1)
     return df.withColumn("__new", begins).groupBy(*key).agg(F.sum("__new").alias("n_groups"))
+
+
+def lift_cigar(pos: int, cigar, exons) -> tuple[int, list[dict]] | None:
+    """Place and operations of a transcript alignment on the genome, an ``N`` for each intron that it spans.
+
+    ``exons``: (lo, hi, start) in order. Insertions and clips stay where they
+    are. None if the alignment begins outside of the transcript.
+    """
+    k = next((i for i, (lo, hi, _) in enumerate(exons) if lo <= pos < hi), None)
+    if k is None:
+        return None
+    out: list[dict] = []
+
+    def add(op, n, ref=""):
+        if n and out and out[-1]["op"] == op:
+            out[-1]["len"] += n
+            out[-1]["ref"] += ref
+        elif n:
+            out.append({"op": op, "len": n, "ref": ref})
+
+    at, begin = pos, exons[k][2] + pos - exons[k][0]
+    for c in cigar:
+        op, n, ref = c["op"], c["len"], c["ref"] or ""
+        if op not in ("=", "X", "M", "D"):
+            add(op, n, ref)
+            continue
+        done = 0
+        while done < n:
+            while at >= exons[k][1] and k + 1 < len(exons):
+                add("N", exons[k + 1][2] - (exons[k][2] + exons[k][1] - exons[k][0]))
+                k += 1
+            room = exons[k][1] - at if k + 1 < len(exons) else n - done
+            step = min(n - done, room)
+            add(op, step, ref[done:done + step])
+            at, done = at + step, done + step
+    return begin, out
+
+
+def lift_alignments(hits: DataFrame, exons: DataFrame, key: list[str]) -> DataFrame:
+    """``key``, ``chr_id``, ``genome_pos`` and ``genome_cigar`` of hits with ``tid``, ``pos`` and ``cigar``.
+
+    The exons of a transcript come as one array, joined on the transcript; the
+    walk along them runs in Arrow batches.
+    """
+    from strandloom.operators.dp import OPERATION
+
+    schema = T.StructType([T.StructField("pos", T.LongType()), T.StructField("cigar", T.ArrayType(OPERATION))])
+
+    @F.pandas_udf(schema)
+    def lifted(pos: pd.Series, cigar: pd.Series, parts: pd.Series) -> pd.DataFrame:
+        rows = [lift_cigar(int(p), c, [(e["lo"], e["hi"], e["start"]) for e in x]) for p, c, x in zip(pos, cigar, parts)]
+        return pd.DataFrame([{"pos": r[0], "cigar": r[1]} if r else {"pos": None, "cigar": None} for r in rows], columns=["pos", "cigar"])
+
+    e = exons.groupBy("tid", "chr_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "start"))).alias("parts"))
+    done = hits.join(e, "tid").withColumn("g", lifted("pos", "cigar", "parts"))
+    return done.select(*key, "tid", "chr_id", F.col("g.pos").alias("genome_pos"), F.col("g.cigar").alias("genome_cigar")).filter("genome_pos IS NOT NULL")

@@ -82,6 +82,26 @@ def align_pairs(pairs: DataFrame, index: dict[str, DataFrame], k: int = K) -> di
     return {"hits": hits, "proper": proper, "outcomes": align.decide(ready)}
 
 
+def genome_fallback(pairs: DataFrame, found: dict[str, DataFrame], contigs: DataFrame, k: int = K, most: int = 1000) -> DataFrame:
+    """Proper pairs on the genome of those pairs that have none on the transcriptome.
+
+    ``contigs``: ``tid`` (the contig's number) and ``seq``. The same operators
+    run on k-mer postings of the contigs; k-mers with more than ``most``
+    postings don't seed. Such pairs aren't counted in classes.
+    """
+    rest = pairs.join(found["outcomes"].filter(F.col("outcome").startswith("proper")).select("pair"), "pair", "left_anti")
+    postings = kmers.without_frequent(kmers.postings(contigs), most)
+    mates = rest.select("pair", F.explode(F.array(F.struct(F.lit(1).alias("mate"), F.col("seq1").alias("seq")), F.struct(F.lit(2).alias("mate"), F.col("seq2").alias("seq")))).alias("x")).select("pair", "x.mate", "x.seq").filter("seq IS NOT NULL")
+    hits = materialize(align.map_reads(mates, contigs, postings, ["pair", "mate"], k, per_strand=True), "genome")
+    ways = None
+    for forward in (1, 2):
+        a = hits.filter((F.col("mate") == forward) & (F.col("strand") == 0))
+        b = hits.filter((F.col("mate") == 3 - forward) & (F.col("strand") == 1))
+        one = align.proper_pairs(a, b, "pair").withColumn("forward", F.lit(forward))
+        ways = one if ways is None else ways.unionByName(one)
+    return align.best(ways.withColumn("err", F.col("err1") + F.col("err2")), ["pair"])
+
+
 def pair_classes(found: dict[str, DataFrame]) -> DataFrame:
     """Classes of the counted pairs; where both orientations tie, the union of their targets."""
     best = align.best(found["proper"], ["pair"])
@@ -123,14 +143,21 @@ def sam_records(pairs: DataFrame, found: dict[str, DataFrame], index: dict[str,
     return mapped.unionByName(unmapped)
 
 
-def quantify_pairs(spark: SparkSession, index: dict[str, DataFrame], left: list[str], right: list[str], out: str, bootstraps: int = 0, bam_path: str | None = None, level: int = -1, seed: int = 0) -> dict[str, DataFrame]:
-    """Quantifies paired reads; writes the abundance and gene tables and, if asked, replicates and a BAM file."""
+def quantify_pairs(spark: SparkSession, index: dict[str, DataFrame], left: list[str], right: list[str], out: str, bootstraps: int = 0, bam_path: str | None = None, level: int = -1, seed: int = 0, genome: str | None = None) -> dict[str, DataFrame]:
+    """Quantifies paired reads; writes the abundance and gene tables and, if asked, replicates and a BAM file.
+
+    With ``genome`` (FASTA), pairs without a proper place on the transcriptome
+    are looked for there (``genome_pairs`` of the result).
+    """
     pairs = read_source.pairs(spark, left, right).withColumn("pair", F.col("lane").cast("long") * (1 << 40) + F.col("ordinal")).withColumnRenamed("name1", "name")
     pairs = materialize(pairs.select("pair", "name", "seq1", "qual1", "seq2", "qual2"), "pairs")
     found = align_pairs(pairs, index)
     cls = materialize(pair_classes(found), "classes")
     dist = found["proper"].groupBy("pair").agg(F.min("dist").alias("d")).agg(F.avg("d")).first()[0] or 0.0
     mean_len = pairs.agg(F.avg((F.length("seq1") + F.length("seq2")) / 2)).first()[0] or 0.0
+    if genome:
+        contigs = annotation.genome(spark, genome).select(F.col("chr_id").alias("tid"), "seq")
+        found["genome_pairs"] = genome_fallback(pairs, found, contigs)
     return _finish(spark, index, cls, dist + mean_len, out, bootstraps, seed) | found | {"summary": align.mapping_summary(found["outcomes"])} | _bam(pairs, found, index, bam_path, level)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq as S
-from strandloom.operators import align, dp, graph, kmers
+from strandloom.operators import align, graph, intervals, kmers
 from strandloom.runtime import read_table
 
 
@@ -152,6 +152,23 @@ def unitigs(spark, sf):
     return graph.unitigs(graph.edges(_transcripts(spark, sf), k=30, strands=False)).select("contig", F.length("contig").alias("len"), F.round("cover", 6).alias("cover"))
 
 
+def fusion_halves(spark, sf):
+    """Contigs of the start of one transcript and the end of the next: the transcript of most seeds of each half."""
+    t = _transcripts(spark, sf)
+    a = t.filter("tid % 2 = 0").select(F.col("tid").alias("contig"), F.substring("seq", 1, 80).alias("x"))
+    b = t.filter("tid % 2 = 1").select((F.col("tid") - 1).alias("contig"), F.substring("seq", -80, 80).alias("y"))
+    contigs = a.join(b, "contig").select("contig", F.concat("x", "y").alias("seq"))
+    return graph.half_targets(contigs, kmers.postings(t), "contig", "seq", S.K).select("contig", "half", "tid", "n", "first", "last")
+
+
+def exon_snap(spark, sf):
+    """Places near the borders of transcripts on their gene, moved to borders less than ten bases away."""
+    t = _transcripts(spark, sf)
+    e = intervals.exon_offsets(t, "gene_id", ["tid"], "len").select(F.col("gene_id").alias("tid"), "lo", "hi")
+    p = e.select("tid", (F.col("hi") + F.col("hi") % 17 - 8).alias("pos")).distinct()
+    return graph.snap_to_exons(p, e)
+
+
 _R = "r AS (SELECT DISTINCT read_id, upper(seq) AS seq FROM reads WHERE seq IS NOT NULL)"
 _POST = """t AS (SELECT tid, upper(seq) AS seq FROM transcripts),
 pk AS (SELECT tid, i::INT AS pos, substr(seq, (i + 1)::INT, 31) AS kmer FROM t, unnest(range(0, length(seq) - 30)) x(i)),
@@ -226,4 +243,18 @@ k AS (SELECT src, count(*) AS degree FROM w ANTI JOIN x USING (src, dst) GROUP B
 SELECT degree, count(*) AS n_nodes FROM k GROUP BY 1""",
     ),
     "unitigs": (unitigs, None),
+    "fusion_halves": (
+        fusion_halves,
+        f"""WITH {_POST}, c AS (SELECT a.tid AS contig, left(a.seq, 80) || right(b.seq, 80) AS seq FROM t a JOIN t b ON b.tid = a.tid + 1 WHERE a.tid % 2 = 0),
+hf AS (SELECT contig, 0 AS half, left(seq, 80) AS s FROM c UNION ALL SELECT contig, 1, substr(seq, 81) FROM c),
+n AS (SELECT contig, half, p.tid, count(*) AS n, min(pos) AS first, max(pos) + 31 AS last FROM (SELECT contig, half, substr(s, i::INT, 31) AS kmer FROM hf, unnest(range(1, length(s) - 29)) x(i)) JOIN p USING (kmer) GROUP BY ALL)
+SELECT contig, half, tid, n, first, last FROM n QUALIFY row_number() OVER (PARTITION BY contig, half ORDER BY n DESC, tid) = 1""",
+    ),
+    "exon_snap": (
+        exon_snap,
+        """WITH e AS (SELECT gene_id AS tid, sum(len) OVER w - len AS lo, sum(len) OVER w AS hi FROM transcripts WINDOW w AS (PARTITION BY gene_id ORDER BY tid)),
+p AS (SELECT DISTINCT tid, hi + hi % 17 - 8 AS pos FROM e), b AS (SELECT tid, lo AS border FROM e UNION SELECT tid, hi FROM e),
+n AS (SELECT p.tid, pos, border, abs(border - pos) AS d FROM p LEFT JOIN b USING (tid) QUALIFY row_number() OVER (PARTITION BY p.tid, pos ORDER BY d, border) = 1)
+SELECT tid, pos::BIGINT AS pos, (CASE WHEN d < 10 THEN border ELSE pos END)::BIGINT AS snapped FROM n""",
+    ),
 }

@@ -161,3 +161,21 @@ def test_fusion_helpers(spark):
     exons = spark.createDataFrame([(1, 0, 100), (1, 100, 200)], "tid int, lo int, hi int")
     places = spark.createDataFrame([(1, 104), (1, 110), (2, 5)], "tid int, pos int")
     assert {(r.tid, r.pos, r.snapped) for r in graph.snap_to_exons(places, exons).collect()} == {(1, 104, 100), (1, 110, 110), (2, 5, 5)}
+
+
+def test_lifted_cigars_hold_an_intron_for_each_border(spark):
+    exons = [(0, 10, 100), (10, 20, 200), (20, 30, 300)]
+
+    def ops(*x):
+        return [{"op": o, "len": n, "ref": r} for n, o, r in x]
+
+    text = lambda r: (r[0], "".join(f"{o['len']}{o['op']}" for o in r[1]))
+    assert text(intervals.lift_cigar(5, ops((10, "=", "")), exons)) == (105, "5=90N5=")
+    assert text(intervals.lift_cigar(5, ops((2, "S", ""), (5, "=", ""), (2, "I", ""), (12, "=", "")), exons)) == (105, "2S5=2I90N10=90N2=")
+    assert text(intervals.lift_cigar(8, ops((4, "D", "ACGT"),), exons)) == (108, "2D90N2D")
+    assert text(intervals.lift_cigar(20, ops((10, "=", "")), exons)) == (300, "10=")
+    assert intervals.lift_cigar(30, ops((1, "=", "")), exons) is None
+    hits = spark.createDataFrame([(1, 7, 5, [("=", 10, "")])], "read int, tid int, pos int, cigar array<struct<op:string,len:int,ref:string>>")
+    e = spark.createDataFrame([(7, 0, *x) for x in exons], "tid int, chr_id int, lo int, hi int, start int")
+    r = intervals.lift_alignments(hits, e, ["read"]).collect()[0]
+    assert r.genome_pos == 105 and [o.op for o in r.genome_cigar] == ["=", "N", "="]

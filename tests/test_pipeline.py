@@ -64,3 +64,17 @@ def test_arguments():
     p = cli.parser()
     a = p.parse_args(["quant", "-1", "a", "b", "-2", "c", "d", "-i", "x", "-b", "3", "-z", "6"])
     assert a.left == ["a", "b"] and a.bootstraps == 3 and a.level == 6
+
+
+def test_pairs_beside_the_transcriptome_are_found_on_the_genome(spark, micro, tmp_path):
+    from tests.conftest import revcomp
+
+    d, chrom = micro["dir"], micro["chroms"]["chr2"]
+    pairs = [(k, chrom[2000 + 40 * k:2100 + 40 * k], revcomp(chrom[2150 + 40 * k:2250 + 40 * k])) for k in range(5)]
+    index = pipeline.build_index(spark, str(d / "genome.fa"), str(d / "genes.gtf"), str(tmp_path / "index"))
+    df = spark.createDataFrame(pairs, "pair long, seq1 string, seq2 string")
+    found = pipeline.align_pairs(df, index)
+    assert {r.outcome for r in found["outcomes"].collect()} == {"unmapped"}
+    contigs = spark.createDataFrame([(k, s) for k, s in enumerate(micro["chroms"].values())], "tid int, seq string")
+    got = {(r.pair, r.tid, r.pos1, r.pos2) for r in pipeline.genome_fallback(df, found, contigs).collect()}
+    assert got == {(k, 1, 2000 + 40 * k, 2150 + 40 * k) for k in range(5)}
