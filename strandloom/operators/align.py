@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.seq import K
 from strandloom.operators import dp, kmers
+from strandloom.runtime import materialize
 
 MAX_FRAGMENT, MAX_PAIR_ERROR, SLACK = 1000, 7, 7
 
@@ -76,7 +77,7 @@ def map_reads(reads: DataFrame, targets: DataFrame, index: DataFrame, key: list[
         c = chains(kmers.seed_hits(some, index, full, "seq", k, step), full, k)
         return best(extend(c, some, targets, full), full if per_strand else key)
 
-    wide = stage(turned, k)
+    wide = materialize(stage(turned, k), "hits")  # read twice: as hits, and to tell which reads are left
     rest = turned.join(wide.select(*key).distinct(), key, "left_anti")
     return wide.unionByName(stage(rest, stride)).dropDuplicates([*full, "tid", "pos"])
 

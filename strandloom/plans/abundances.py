@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import seq as S
 from strandloom.functions import stats
-from strandloom.operators import generative, quant
-from strandloom.runtime import read_table, shared_dir
+from strandloom.operators import align, generative, kmers, quant
+from strandloom.runtime import materialize, read_table, shared_dir
 from strandloom.sources import bam, reads as read_source
 from strandloom.streaming import class_counts
 
@@ -47,6 +47,16 @@ def em_squarem(spark, sf):
     return a.filter("est_counts > 0").select("tid", "unique_map", "length", "eff_length", F.round("est_counts", 4).alias("est_counts"), F.round("tpm", 4).alias("tpm"))
 
 
+def reads_to_abundance(spark, sf):
+    """From reads to abundance: seeds, chains, alignments, classes, accelerated EM."""
+    t = read_table(spark, sf, "transcripts").select("tid", "len", F.upper("seq").alias("seq"))
+    r = read_table(spark, sf, "reads").filter("seq IS NOT NULL").select("read_id", F.upper("seq").alias("seq")).distinct()
+    hits = align.map_reads(r, t, kmers.postings(t), ["read_id"])
+    cls = materialize(quant.classes(hits, "read_id", "tid", "err"), "classes")
+    a = quant.abundance(t.select("tid", "len"), cls, 100.0)
+    return a.select("tid", "unique_map", "length", "eff_length", F.round("est_counts", 4).alias("est_counts"), F.round("tpm", 4).alias("tpm"))
+
+
 def bootstrap(spark, sf):
     b = quant.bootstrap(_targets(spark, sf), _classes(spark, sf), 4, seed=1)
     return b.filter("est_counts > 0").groupBy("bs").agg(F.count(F.lit(1)).alias("n_targets"), F.round(F.sum("est_counts"), 2).alias("total"))
@@ -172,6 +182,7 @@ QUERIES = {
         f"WITH {_EM}, {_round(1)}, {_round(2)}, {_round(3)} SELECT tid, round(rate * 1e6 / sum(rate) OVER (), 4) AS tpm, round(rate * len, 4) AS est_counts FROM r3 JOIN transcripts USING (tid)",
     ),
     "em_squarem": (em_squarem, None),
+    "reads_to_abundance": (reads_to_abundance, None),
     "bootstrap": (bootstrap, None),
     "round_change": (
         round_change,

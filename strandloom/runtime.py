@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -68,17 +69,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     if path.startswith("file://"):
         _LOCAL_DIRS.append(path[len("file://"):])
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fresh_name(taken, wanted: str) -> str:
-    """``wanted``, with underscores added until no column in ``taken`` has it."""
-    low = {c.lower() for c in taken}
-    while wanted.lower() in low:
-        wanted += "_"
-    return wanted
+def release(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables from the shared folder.
+
+    Call it when no DataFrame built on them is needed any more; results that
+    were returned but not yet written still read from them.
+    """
+    jvm = spark.sparkContext._jvm
+    for path in _WRITTEN:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN.clear()
 
 
 def tmp_file(suffix: str = "") -> str:

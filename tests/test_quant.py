@@ -96,3 +96,15 @@ def test_reads_with_too_many_alignments_are_left_out(spark):
     rows = [(1, 100, k % 3, 1, 200, 0, 1) for k in range(20)] + [(2, 100, 0, 1, 200, 0, 1), (3, 100, None, 1, 200, 0, 1)]
     a = spark.createDataFrame(rows, "read long, len int, tid int, bucket int, f_len int, dis int, ori int")
     assert generative.prepare(a, most=20).count() == 1
+
+
+def test_written_tables_can_be_released(spark):
+    import os
+
+    from strandloom import runtime
+
+    df = runtime.materialize(spark.range(3), "test")
+    path = runtime._WRITTEN[-1].removeprefix("file://")
+    assert df.count() == 3 and os.path.exists(path)
+    runtime.release(spark)
+    assert not os.path.exists(path)
