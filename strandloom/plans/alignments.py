@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import sam, stats
 from strandloom.functions import seq as S
-from strandloom.operators import align, graph, intervals, quant
+from strandloom.operators import align, graph, intervals, ordinals, quant
 from strandloom.runtime import read_table
 
 
@@ -141,7 +141,7 @@ def lanes_union(spark, sf):
 def zip_pairs(spark, sf):
     """First and second mates of each lane joined by their number; how many find one, by lane."""
     r = read_table(spark, sf, "reads").select("read_id", "lane", "mate").distinct()
-    n = r.withColumn("k", F.row_number().over(Window.partitionBy("lane", "mate").orderBy("read_id")))
+    n = ordinals.number_rows(r, ["lane", "mate"], ["read_id"], "k")
     one, two = n.filter("mate = 1").select("lane", "k", F.col("read_id").alias("r1")), n.filter("mate = 2").select("lane", "k", F.col("read_id").alias("r2"))
     z = one.join(two, ["lane", "k"], "full_outer")
     return z.groupBy("lane").agg(F.count_if(F.col("r1").isNotNull() & F.col("r2").isNotNull()).alias("n_pairs"), F.count_if(F.col("r1").isNull() | F.col("r2").isNull()).alias("n_single"), F.sum(F.col("r2") - F.col("r1")).alias("drift"))

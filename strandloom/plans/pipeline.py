@@ -30,7 +30,9 @@ def build_index(spark: SparkSession, fasta: str, gtf: str, out: str, first: int
         "postings": kmers.postings(t),
     }
     tables.save_index(found, out)
-    return tables.load_index(spark, out)
+    saved = tables.load_index(spark, out)
+    tables.write_fasta(saved["transcripts"], f"{out}/transcripts.fasta", order="tid")
+    return saved
 
 
 def index_transcripts(spark: SparkSession, fasta: str, out: str) -> dict[str, DataFrame]:

@@ -3,7 +3,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from strandloom.operators import skew
+from strandloom.operators import ordinals, skew
 
 
 def test_totals_equal_brute_force(spark):
@@ -35,3 +35,16 @@ def test_ties_at_the_share_and_empty_table(spark):
     assert {r.k for r in skew.keys_above(t, "k", 0.5).collect()} == {0, 1}
     none = skew.two_stage_totals(spark.range(0).select(F.col("id").alias("k"), "id"), "k", ["id"])
     assert none.count() == 0 and skew.keys_above(none, "k", 0.02).count() == 0
+
+
+def test_numbers_within_groups(spark):
+    rng = np.random.default_rng(4)
+    rows = [(None if g == 4 else int(g), int(v)) for g, v in zip(rng.choice(5, 3000, p=[0.6, 0.2, 0.1, 0.05, 0.05]), rng.permutation(3000))]
+    df = spark.createDataFrame(rows, "g int, v int").repartition(5)
+    got = ordinals.number_rows(df, ["g"], ["v"]).collect()
+    want = {}
+    for g in {g for g, _ in rows}:
+        for k, v in enumerate(sorted(v for h, v in rows if h == g), 1):
+            want[g, v] = k
+    assert {(r.g, r.v): r.ordinal for r in got} == want and len(got) == 3000
+    assert ordinals.number_rows(df.limit(0), ["g"], ["v"]).count() == 0
