@@ -55,6 +55,7 @@ def unitigs(e: DataFrame, k: int = 30) -> DataFrame:
     to it. Pointer doubling finds each node's first node and its distance in
     logarithmically many rounds; circles are opened at their smallest node.
     """
+    e = materialize(e, "edges")
     one_out = e.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("src")
     one_in = e.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("dst")
     links = materialize(e.join(one_out, "src", "left_semi").join(one_in, "dst", "left_semi").filter("src <> dst"), "links")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import seq as S
 from strandloom.operators import align, graph, intervals, kmers
-from strandloom.runtime import read_table
+from strandloom.runtime import materialize, read_table
 
 
 def _transcripts(spark, sf):
@@ -142,7 +142,8 @@ def dbg_edges(spark, sf):
 
 def dbg_simplified(spark, sf):
     """Edges of the transcripts' graph that stay after weak edges and tips are gone, by out-degree."""
-    e = graph.without_tips(graph.without_weak(graph.edges(_transcripts(spark, sf), k=30, strands=False)))
+    strong = materialize(graph.without_weak(graph.edges(_transcripts(spark, sf), k=30, strands=False)), "edges")
+    e = graph.without_tips(strong)
     d = e.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     return d.groupBy("degree").agg(F.count(F.lit(1)).alias("n_nodes"))
 
