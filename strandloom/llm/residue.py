@@ -1,9 +1,10 @@
 """Template residue, filler text, error pages and notices in the body of emails.
 
 Records made from one template agree but for its slots, so the words around a
-slot align them. An unfilled slot shows in that the same words stand around
-different variable names; where the words around a variable name always hold
-the same one, a writer quotes or discusses it, however often that is copied.
+slot align them. A variable without any sign of citing is an unfilled slot,
+however many copies of its email there are. Where the sentence says that a text
+had the variable in it, the words around it decide: if they stand around
+different variables it is a slot, if they always hold the same one a citation.
 Filler shows itself by standing several times in a row somewhere in the corpus
 and is then known wherever it stands alone. Error pages and notices are whole
 messages: nothing else but a signature goes with them, and they repeat.
@@ -58,6 +59,9 @@ _TRIGGER = re.compile(r"[{<\[$%#@*_(]")
 _MENTION = re.compile(
     r"\b(?:placeholders?|style guide|syntax|variables?|form letter|merge fields?|mail merge|macros?|preview|diff|export|began with|begins with|explain|joke)\b", re.I
 )
+#: A text is said to have had the variable in it: words before and after it.
+_HAD = re.compile(r"\b(?:letters?|e?-?mails?|messages?|templates?|texts?|drafts?|forms?|leaflets?) (?:still )?(?:had|contained|showed) $", re.I)
+_IN_IT = re.compile(r" (?:in|on) (?:it|them)\b", re.I)
 _REPORT = re.compile(r"\b(?:says?|said|asks?|asked|reads|shows?|showed|explain|guide|normal|wiki|means|called|why|joke|put|log)\b", re.I)
 _QUOTED = re.compile(r"[\"“„«][^\"“”„«»]*[\"”“»]")
 _SCRIPTS = re.compile(r"\b(?:java ?scripts?|scripts?|cookies?)\b", re.I)
@@ -105,7 +109,7 @@ def _is_slot(m: str) -> bool:
 
 
 def slots(paragraph: str):
-    """Variables left in a paragraph: (words around it, the variable, whether it is mentioned)."""
+    """Variables left in a paragraph: (words around it, the variable, ``slot``, ``told`` or ``mention``)."""
     if not _TRIGGER.search(paragraph):
         return
     for sentence in _SENTENCE.split(paragraph):
@@ -119,7 +123,8 @@ def slots(paragraph: str):
             context = _masked(" ".join(left[-2:]) + ("" if glued else " ") + "¤" + ("" if not after or after[0].isspace() else "|") + " ".join([""] + right[:2]))
             code = before[-1:] in tuple("\"'`“„=(/") or after[:1] in tuple("\"'`”/")
             quoted = any(q.start() < m.start() and m.end() <= q.end() for q in _QUOTED.finditer(sentence))
-            yield context, _masked(m[0]), code or quoted or bool(_MENTION.search(sentence))
+            told = bool(_HAD.search(before) and _IN_IT.match(after))
+            yield context, _masked(m[0]), "mention" if code or quoted or _MENTION.search(sentence) else "told" if told else "slot"
 
 
 def _period(sentences: list[str]) -> list[str]:
@@ -176,8 +181,8 @@ def evidence(text: str | None):
         if found:
             yield ("page", *found)
         for p in paragraphs:
-            for context, variable, mentioned in slots(p):
-                yield ("mention" if mentioned else "slot", context, variable)
+            for context, variable, kind in slots(p):
+                yield (kind, context, variable)
             if is_filler(p):
                 yield ("filler", "", "")
             sentences = _SENTENCE.split(p)
@@ -214,9 +219,10 @@ def gather(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def find(found: DataFrame, repeats: int = 3) -> DataFrame:
     """Columns ``doc_id`` and ``kind`` from the evidence of ``gather``.
 
-    * ``slot``: a variable stands for a value. The words around it hold several
-      variables in the corpus, or too few cases (fewer than ``repeats``) tell
-      and no quotes, code or talk of placeholders go with it.
+    * ``slot``: a variable stands for a value: no quotes, code or talk of
+      placeholders go with it. Where a text is said to have had it in it, the
+      words around it must hold several variables in the corpus. Neither
+      depends on how often an email is copied.
     * ``filler``: filler by its words, or a sentence that at least ``repeats``
       emails hold several times in a row.
     * ``page``: the whole message is an error page or notice by its words, or
@@ -225,10 +231,10 @@ def find(found: DataFrame, repeats: int = 3) -> DataFrame:
     Null and empty texts have no evidence. Equal emails count each. An empty
     table gives an empty result. Texts are read to their end.
     """
-    aligned = found.filter(F.col("kind").isin("slot", "mention"))
-    around = aligned.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("value") != F.max("value")).alias("varied"))
-    open_ = aligned.join(around, "key").filter(F.when(F.col("n") >= repeats, F.col("varied") & (F.col("kind") == "slot")).otherwise(F.col("kind") == "slot"))
-    slot = open_.select("doc", F.lit("slot").alias("kind"))
+    aligned = found.filter(F.col("kind").isin("slot", "told", "mention"))
+    varied = aligned.groupBy("key").agg(F.min("value").alias("low"), F.max("value").alias("high")).filter("low <> high").select("key")
+    told = found.filter("kind = 'told'").join(varied, "key", "left_semi")
+    slot = found.filter("kind = 'slot'").unionByName(told.select(found.columns)).select("doc", F.lit("slot").alias("kind"))
     counted = found.filter(F.col("kind").isin("repeated", "page")).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= repeats)
     defaults = counted.filter("kind = 'repeated'").select("key")
     said = found.filter(F.col("kind").isin("repeated", "alone")).join(defaults, "key", "left_semi")

@@ -60,6 +60,19 @@ def test_alignment_tells_slots_from_citations(spark):
     assert {r.doc_id for r in f.collect()} == {6, 7, 8, 9}
 
 
+def test_copies_of_one_slot_stay_slots(spark):
+    copies = [body("Dear {{first_name}},\n\n" + PROSE)] * 5
+    sent = [body(f"Hello,\n\nYour parcel for {{{{city}}}} has left us on day {k}. " + PROSE) for k in range(4)]
+    _, f = flagged(spark, copies + sent)
+    assert {(r.doc_id, r.kind) for r in f.collect()} == {(k, "slot") for k in range(9)}
+
+
+def test_variables_that_a_text_had_in_it_are_decided_by_their_neighbours(spark):
+    told = [body(f"Hello,\n\nThe old letter had {v} in it, number {k}. " + PROSE) for k, v in enumerate(("@@NAME@@", "@@NAME@@", "{{city}}"))]
+    assert flagged(spark, told[:1])[1].count() == 0
+    assert {r.doc_id for r in flagged(spark, told)[1].collect()} == {0, 1, 2}
+
+
 def test_filler_learned_from_repeats(spark):
     texts = [body(f"Hello,\n\n{PROSE}\n\nWrite something nice. Write something nice.") for _ in range(3)]
     texts += [body(f"Hello,\n\n{PROSE}\n\nWrite something nice."), body(f"Hello,\n\n{PROSE}\n\nSee you soon. See you soon.")]
