@@ -97,7 +97,8 @@ def abundance(targets: DataFrame, cls: DataFrame, mean_length: float, limit: int
     """``tid``, ``unique_map``, ``length``, ``eff_length``, ``est_counts`` and ``tpm`` of all targets.
 
     Classes are few next to reads; up to ``limit`` of them the rounds run on
-    arrays of the driver, beyond it as DataFrame rounds.
+    arrays of the driver, beyond it as DataFrame rounds; steps, stop test and
+    bounds are the same.
     """
     spark = targets.sparkSession
     if cls.limit(limit + 1).count() <= limit:
@@ -105,7 +106,7 @@ def abundance(targets: DataFrame, cls: DataFrame, mean_length: float, limit: int
         rate = squarem(problem)
         rates = spark.createDataFrame(pd.DataFrame({"tid": tids, "rate": rate}), "tid int, rate double")
     else:
-        rates = rounds(targets, cls, MIN_ROUNDS)
+        rates = squarem_rounds(targets, cls)
     out = targets.select("tid", F.col("len").alias("length")).join(rates, "tid", "left").join(unique_counts(cls), "tid", "left")
     out = out.withColumn("rate", F.coalesce("rate", F.lit(0.0)))
     out = stats.tpm(out.withColumn("est_counts", F.col("rate") * F.col("length")))
@@ -141,6 +142,36 @@ def rounds(targets: DataFrame, cls: DataFrame, n: int, every: int = 3) -> DataFr
     return rates
 
 
+def _jumped(rates: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
+    """The accelerated rates of three successive ones; see ``squarem``. The step length is computed beside them from one row of sums."""
+    all3 = rates.withColumnRenamed("rate", "x").join(one.withColumnRenamed("rate", "x1"), "tid").join(two.withColumnRenamed("rate", "x2"), "tid")
+    d = all3.withColumn("r", F.col("x1") - F.col("x")).withColumn("v", (F.col("x2") - F.col("x1")) - F.col("r"))
+    d = materialize(d, "rates")
+    sd = d.agg(F.stddev_samp("r").alias("r"), F.stddev_samp("v").alias("v")).first()
+    if sd.v is None or not sd.v > 0:
+        return d.select("tid", F.col("x2").alias("rate"))
+    a = min(-(sd.r / sd.v), -1.0)
+    jump = F.col("x") - F.lit(2 * a) * F.col("r") + F.lit(a * a) * F.col("v")
+    return d.select("tid", F.when(jump > 0, jump).otherwise(F.col("x2")).alias("rate"))
+
+
+def squarem_rounds(targets: DataFrame, cls: DataFrame, least: int = MIN_ROUNDS, most: int = MAX_ROUNDS) -> DataFrame:
+    """``squarem`` as DataFrame rounds; only the two standard deviations and the outcome of the stop test go to the driver."""
+    targets, cls = materialize(targets.select("tid", "len"), "targets"), materialize(cls.select("refs", "n"), "classes")
+    rates = materialize(start_rates(targets), "rates")
+    for k in range(most):
+        one = materialize(round_of(targets, cls, rates), "rates")
+        new = materialize(round_of(targets, cls, _jumped(rates, one, round_of(targets, cls, one))), "rates")
+        done = False
+        if k + 1 >= least:
+            both = rates.withColumnRenamed("rate", "old").join(new, "tid")
+            done = both.filter((F.col("rate") > 1e-3) & (F.abs(F.col("rate") - F.col("old")) > 0.01 * F.col("rate"))).limit(1).count() == 0
+        rates = new
+        if done:
+            break
+    return rates
+
+
 def bootstrap(targets: DataFrame, cls: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
     """``bs``, ``tid`` and ``est_counts`` of each replicate.
 

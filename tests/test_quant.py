@@ -42,6 +42,15 @@ def test_large_inputs_take_the_dataframe_rounds(spark):
     assert ab[0] > 14.9 and ab[1] < 0.1
 
 
+def test_both_ways_of_abundance_agree_where_convergence_is_slow(spark):
+    cls, lengths = [((0, 1), 100_000), ((0,), 30), ((1,), 10)], [1000, 1000]
+    t, c = tables(spark, cls, lengths)
+    few = {r.tid: r.est_counts for r in quant.abundance(t, c, 100.0).collect()}
+    many = {r.tid: r.est_counts for r in quant.abundance(t, c, 100.0, limit=1).collect()}
+    assert abs(few[0] - 75030) < 0.01  # 50 plain rounds come to 50515
+    assert np.allclose([many[0], many[1]], [few[0], few[1]], rtol=1e-6)
+
+
 def test_edge_cases_of_em(spark):
     t, c = tables(spark, [], [100])
     assert [r.est_counts for r in quant.abundance(t, c, 10.0).collect()] == [0.0]
