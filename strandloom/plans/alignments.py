@@ -138,6 +138,12 @@ def lanes_union(spark, sf):
     return r.filter("lane = 1").unionAll(r.filter("lane = 2")).groupBy("mate").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("name").alias("n_names"))
 
 
+def lanes_union_all(spark, sf):
+    """All lanes laid together, then counted by mate."""
+    r = read_table(spark, sf, "reads").select("read_id", "lane", "mate", S.strip_mate(F.col("name")).alias("name")).distinct()
+    return r.groupBy("mate").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("name").alias("n_names"))
+
+
 def zip_pairs(spark, sf):
     """First and second mates of each lane joined by their number; how many find one, by lane."""
     r = read_table(spark, sf, "reads").select("read_id", "lane", "mate").distinct()
@@ -207,9 +213,18 @@ def nearest_range_join(spark, sf):
 
 
 def gene_components(spark, sf):
-    """Genes that share a read, directly or through others."""
+    """Genes that share a read without errors, directly or through others."""
+    return _components(spark, sf, _mapped(spark, sf).filter("dis = 0"))
+
+
+def gene_components_all(spark, sf):
+    """Genes that share a read, directly or through others, by all mapped alignments."""
+    return _components(spark, sf, _mapped(spark, sf))
+
+
+def _components(spark, sf, aligns):
     t = _transcripts(spark, sf).select(F.col("tid").alias("trans_id"), "gene_id")
-    h = _mapped(spark, sf).filter("dis = 0").select("read_id", "trans_id").join(t, "trans_id").select("read_id", "gene_id").distinct()
+    h = aligns.select("read_id", "trans_id").join(t, "trans_id").select("read_id", "gene_id").distinct()
     low = h.groupBy("read_id").agg(F.min("gene_id").alias("a"))
     return graph.components(h.join(low, "read_id").select("a", F.col("gene_id").alias("b")).distinct()).select(F.col("node").alias("gene_id"), "group")
 
@@ -310,6 +325,10 @@ SELECT read_id, coalesce(array_to_string(list_transform(runs, lambda x: length(x
         lanes_union,
         "WITH r AS (SELECT DISTINCT read_id, lane, mate, regexp_replace(name, '/[12]$', '') AS name FROM reads) SELECT mate, count(*) AS n, count(DISTINCT name) AS n_names FROM (SELECT * FROM r WHERE lane = 1 UNION ALL SELECT * FROM r WHERE lane = 2) GROUP BY 1",
     ),
+    "lanes_union_all": (
+        lanes_union_all,
+        "WITH r AS (SELECT DISTINCT read_id, lane, mate, regexp_replace(name, '/[12]$', '') AS name FROM reads) SELECT mate, count(*) AS n, count(DISTINCT name) AS n_names FROM r GROUP BY 1",
+    ),
     "zip_pairs": (
         zip_pairs,
         """WITH n AS (SELECT read_id, lane, mate, row_number() OVER (PARTITION BY lane, mate ORDER BY read_id) AS k FROM (SELECT DISTINCT read_id, lane, mate FROM reads)),
@@ -329,6 +348,7 @@ j AS (SELECT align_id, genome_pos + off AS pos FROM li JOIN o USING (chr_id)) SE
         nearest_range_join,
         f"WITH {_IV}, j AS (SELECT a.tid AS tid1, b.tid AS tid2, abs(a.s - b.s) AS dist FROM iv a JOIN iv b ON a.chr_id = b.chr_id AND abs(a.s - b.s) <= 2000 AND a.gene_id <> b.gene_id) SELECT tid1, tid2, dist FROM j QUALIFY rank() OVER (PARTITION BY tid1 ORDER BY dist) = 1",
     ),
+    "gene_components_all": (gene_components_all, None),
     "gene_components": (
         gene_components,
         f"""WITH RECURSIVE {_A}, h AS (SELECT DISTINCT read_id, gene_id FROM g JOIN transcripts ON tid = trans_id WHERE dis = 0),

@@ -134,6 +134,14 @@ def edit_distance(spark, sf):
     return t.join(u, "gene_id").filter("tid < tid2").select("tid", "tid2", F.levenshtein("s", "s2").cast("long").alias("edits"))
 
 
+def edit_distance_whole(spark, sf):
+    """Edits between the whole sequences of transcripts of one gene."""
+    t = _transcripts(spark, sf).select("gene_id", "tid", F.col("seq").alias("s"))
+    u = t.select("gene_id", F.col("tid").alias("tid2"), F.col("s").alias("s2"))
+    both = t.join(u, "gene_id").filter("tid < tid2").repartition("tid", "tid2")  # genes differ in how many pairs they have
+    return both.select("tid", "tid2", F.levenshtein("s", "s2").cast("long").alias("edits"))
+
+
 def dbg_edges(spark, sf):
     """Cover of the edges of the reads' de Bruijn graph, summed up by how often they stand."""
     e = graph.edges(_reads(spark, sf), k=30)
@@ -162,6 +170,15 @@ def fusion_halves(spark, sf):
     return graph.half_targets(contigs, kmers.postings(t), "contig", "seq", S.K).select("contig", "half", "tid", "n", "first", "last")
 
 
+def fusion_halves_whole(spark, sf):
+    """Contigs of one whole transcript and the whole next one: the transcript of most seeds of each half."""
+    t = _transcripts(spark, sf)
+    a = t.filter("tid % 2 = 0").select(F.col("tid").alias("contig"), F.col("seq").alias("x"))
+    b = t.filter("tid % 2 = 1").select((F.col("tid") - 1).alias("contig"), F.col("seq").alias("y"))
+    contigs = a.join(b, "contig").select("contig", F.concat("x", "y").alias("seq"))
+    return graph.half_targets(contigs, kmers.postings(t), "contig", "seq", S.K).select("contig", "half", "tid", "n", "first", "last")
+
+
 def exon_snap(spark, sf):
     """Places near the borders of transcripts on their gene, moved to borders less than ten bases away."""
     t = _transcripts(spark, sf)
@@ -226,6 +243,8 @@ SELECT read_id, strand, tid, chain, count(*) AS n_seeds, min(off) AS off, min(po
     ),
     "map_reads": (map_reads, None),
     "sw_rescue": (sw_rescue, None),
+    "edit_distance_whole": (edit_distance_whole, None),
+    "fusion_halves_whole": (fusion_halves_whole, None),
     "edit_distance": (
         edit_distance,
         "SELECT a.tid, b.tid AS tid2, levenshtein(left(upper(a.seq), 60), left(upper(b.seq), 60)) AS edits FROM transcripts a JOIN transcripts b ON a.gene_id = b.gene_id AND a.tid < b.tid",
