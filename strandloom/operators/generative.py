@@ -32,6 +32,7 @@ class Model:
     start: np.ndarray = field(default_factory=lambda: np.full(BUCKETS, 1.0 / BUCKETS))
     forward: float = 0.5
     mismatch: float = 0.5
+    converged: bool = False
 
     @property
     def cumulated(self) -> np.ndarray:
@@ -180,7 +181,10 @@ def _extrapolated(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def fit(targets: DataFrame, table: DataFrame, unmapped: float = 0.0, full: int = 10, most: int = 200) -> Model:
-    """Full rounds first, then rounds of the target weights alone until none above 1e-7 changes by 1e-3."""
+    """Full rounds first, then rounds of the target weights alone until none above 1e-7 changes by 1e-3.
+
+    The model's ``converged`` tells whether that was met within ``most`` rounds.
+    """
     m = uniform(targets)
     for _ in range(full):
         m = step(m, table, unmapped)
@@ -193,6 +197,7 @@ def fit(targets: DataFrame, table: DataFrame, unmapped: float = 0.0, full: int =
         done = not (np.abs(new.p - m.p)[big] >= 1e-3 * new.p[big]).any()
         m = new
         if done:
+            m.converged = True
             break
     return m
 

@@ -116,13 +116,16 @@ def round_change(spark, sf):
 
 
 def generative_model(spark, sf):
-    """Abundance by the generative model over the alignment table."""
+    """Abundance by the generative model over the alignment table; reads without any mapped alignment are noise."""
     a = read_table(spark, sf, "f_align").filter("trans_id >= 0").select("align_id", "read_id", "trans_id", "pos", "f_len", "dis", "ori").distinct()
+    n_unmapped = read_table(spark, sf, "reads").select("read_id").distinct().join(a.select("read_id"), "read_id", "left_anti").count()
     r = read_table(spark, sf, "reads").select(F.col("read_id").alias("read"), "len").distinct()
     rows = a.select(F.col("read_id").alias("read"), F.col("trans_id").alias("tid"), F.col("pos").alias("bucket"), "f_len", "dis", "ori").join(r, "read")
     table = generative.prepare(rows)
-    model = generative.fit(_targets(spark, sf), table, full=5, most=10)
-    return generative.result(spark, model, table.count()).filter("read_count > 0.01").select("tid", "length", *[F.round(c, 3).alias(c) for c in ("eff_length", "read_count", "tpm", "fpkm")])
+    model = generative.fit(_targets(spark, sf), table, float(n_unmapped))
+    if not model.converged:
+        raise RuntimeError("the generative model's weights haven't converged")
+    return generative.result(spark, model, table.count() + n_unmapped).filter("read_count > 0.01").select("tid", "length", *[F.round(c, 3).alias(c) for c in ("eff_length", "read_count", "tpm", "fpkm")])
 
 
 def noise_likelihoods(spark, sf):
