@@ -44,6 +44,15 @@ def p4_name_shares(spark, sf):
     return names.join(spans, "id", "left").select(F.col("id").alias("tid"), shared.alias("shared"), F.round(shared / F.col("len"), 6).alias("part"))
 
 
+def p4_read_shares(spark, sf):
+    """How much of each read also stands in another one; reads without a sequence have no share."""
+    spans = _read_spans(spark, sf).groupBy("id").agg(F.sum(F.col("span_to") - F.col("span_from")).alias("shared"))
+    reads = read_table(spark, sf, "reads").filter("seq IS NOT NULL").select(F.col("read_id").alias("id"), F.length("seq").alias("len")).distinct()
+    shared = F.coalesce("shared", F.lit(0))
+    part = F.when(F.col("len") > 0, F.round(shared / F.col("len"), 6)).otherwise(F.lit(0.0))
+    return reads.join(spans, "id", "left").select(F.col("id").alias("read_id"), shared.alias("shared"), part.alias("part"))
+
+
 def _class_sets(spark, sf):
     return materialize(pairs.baskets(read_table(spark, sf, "classes"), "class_id", "refs", "n"), "baskets")
 
@@ -84,6 +93,11 @@ QUERIES = {
         p4_name_shares,
         f"""WITH {_SPANS} SELECT tid::BIGINT AS tid, coalesce(n, 0)::BIGINT AS shared, round(coalesce(n, 0) / length(name), 6) AS part FROM transcripts
 LEFT JOIN (SELECT rec_id, sum(span_to - span_from) AS n FROM sp WHERE src = 'name' GROUP BY 1) ON rec_id = tid""",
+    ),
+    "p4_read_shares": (
+        p4_read_shares,
+        f"""WITH {_SPANS} SELECT read_id, coalesce(n, 0)::BIGINT AS shared, CASE WHEN len > 0 THEN round(coalesce(n, 0) / len, 6) ELSE 0 END AS part FROM (SELECT DISTINCT read_id, length(seq) AS len FROM reads WHERE seq IS NOT NULL)
+LEFT JOIN (SELECT rec_id, sum(span_to - span_from) AS n FROM sp WHERE src = 'read' GROUP BY 1) ON rec_id = read_id""",
     ),
     "p5_found": (p5_found, f"WITH {_SETS} SELECT a::BIGINT AS ref_a, b::BIGINT AS ref_b FROM l WHERE w_ab >= 0.0005 * total AND lift >= 8 AND k_ab >= 5"),
     "p5_pairs": (p5_pairs, f"WITH {_SETS} SELECT a AS ref_a, b AS ref_b, w_ab::BIGINT AS w_ab, k_ab, round(lift, 6) AS lift FROM l"),
