@@ -15,6 +15,7 @@ shuffled, by what they align on.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pyarrow as pa
@@ -145,31 +146,39 @@ def is_filler(paragraph: str) -> bool:
     return any(_DEFAULT.match(s) for s in _SENTENCE.split(paragraph))
 
 
+def _digest(text: str) -> str:
+    return hashlib.blake2b(_masked(text).encode(), digest_size=16).hexdigest()
+
+
 def page(paragraphs: list[str]) -> tuple[str, str] | None:
-    """The text of a message that is nothing but a short page, and how sure its words make it: ``strong`` or ``weak``."""
+    """Digest of a whole message of any length whose words are those of a page, and how sure they make it.
+
+    ``strong``: an error or demand in a message of up to 40 words, or in the
+    heading of a longer one. ``weak``: elsewhere in a longer one, or only words
+    that often go with pages; then repeats of the whole message decide.
+    """
     core: list[str] = []
     for p in paragraphs:
         if _CLOSING.match(p) or _ATTRIBUTION.search(p):
             break
         core.append(p)
-        if len(core) > 4:
-            break
     if not core or _GREETING.match(core[0]) or (core[0][-1] in ",:" and len(core[0].split()) < 5):
         return None
     text = " ".join(core)
-    if len(text.split()) > 40:
-        return None
+    n = len(text.split())
     bare = _QUOTED.sub(" ", text)
     first = _SENTENCE.split(bare)[0]
     demand = any(_SCRIPTS.search(s) and _DEMAND.search(s) for s in _SENTENCE.split(bare))
     error = _ERROR.search(bare)
     if demand or error:
         told = _REPORT.search(first if demand else bare[: error.start()])
-        if not told:
-            return _masked(text), "strong"
-        return None
-    weak = {m.lower() for m in _WEAK.findall(bare)}
-    return (_masked(text), "weak") if len(weak) > 1 and len(text.split()) <= 20 and not _REPORT.search(bare) else None
+        if told:
+            return None
+        heading = _QUOTED.sub(" ", core[0]) if len(core) > 1 and len(core[0].split()) <= 12 else ""
+        sure = n <= 40 or _ERROR.search(heading) or (_SCRIPTS.search(heading) and _DEMAND.search(heading))
+        return _digest(text), "strong" if sure else "weak"
+    weak = [m.lower() for m in _WEAK.findall(bare)]
+    return (_digest(text), "weak") if len(set(weak)) > 1 and 10 * len(weak) >= n and not _REPORT.search(bare) else None
 
 
 def evidence(text: str | None):
@@ -226,7 +235,8 @@ def find(found: DataFrame, repeats: int = 3) -> DataFrame:
     * ``filler``: filler by its words, or a sentence that at least ``repeats``
       emails hold several times in a row.
     * ``page``: the whole message is an error page or notice by its words, or
-      is a page-like text that at least ``repeats`` emails are made of whole.
+      is a page-like text of any length that at least ``repeats`` emails are
+      made of whole.
 
     Null and empty texts have no evidence. Equal emails count each. An empty
     table gives an empty result. Texts are read to their end.

@@ -73,6 +73,16 @@ def test_variables_that_a_text_had_in_it_are_decided_by_their_neighbours(spark):
     assert {r.doc_id for r in flagged(spark, told)[1].collect()} == {0, 1, 2}
 
 
+def test_long_pages_that_repeat_are_found(spark):
+    trace = "\n".join(f"at app.module{'abcdefghijkl'[k]}.run(Handler.java) called by the dispatcher thread" for k in range(12))
+    sent = "We could not deliver your view of this page. Internal server error. " + trace
+    headed = "500 Internal Server Error\n\nThe server met a condition. Please contact the administrator. " + trace
+    once = "One.\n\nTwo.\n\nThree.\n\nFour.\n\nFive.\n\n" + PROSE + " Access denied."
+    texts = [body(sent)] * 3 + [body(headed), body(once), body(sent + " Once more.")]
+    _, f = flagged(spark, texts)
+    assert {(r.doc_id, r.kind) for r in f.collect()} == {(k, "page") for k in range(4)}
+
+
 def test_filler_learned_from_repeats(spark):
     texts = [body(f"Hello,\n\n{PROSE}\n\nWrite something nice. Write something nice.") for _ in range(3)]
     texts += [body(f"Hello,\n\n{PROSE}\n\nWrite something nice."), body(f"Hello,\n\n{PROSE}\n\nSee you soon. See you soon.")]
