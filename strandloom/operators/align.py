@@ -110,12 +110,16 @@ def introns(hits: DataFrame, reads: DataFrame, contigs: DataFrame, index: DataFr
 def proper_pairs(left: DataFrame, right: DataFrame, pair: str, most: int = MAX_FRAGMENT) -> DataFrame:
     """Mates on one target within ``most`` bases of each other.
 
-    An equi-join on pair and target with the distance as a residual filter;
-    each hit keeps its nearest mate (smallest distance, then places).
+    An equi-join on pair, target and stretch of the target with the distance as
+    a residual filter, so that hits of a repeat meet near ones only; each hit
+    keeps its nearest mate (smallest distance, then places).
     """
     a = left.select(pair, "tid", F.col("pos").alias("pos1"), F.col("err").alias("err1"))
     b = right.select(pair, "tid", F.col("pos").alias("pos2"), F.col("err").alias("err2"))
-    both = a.join(b, [pair, "tid"]).withColumn("dist", F.abs(F.col("pos1") - F.col("pos2"))).filter(F.col("dist") <= most)
+    stretch = F.floor(F.col("pos1") / (most + 1)), F.floor(F.col("pos2") / (most + 1))
+    a = a.withColumn("__at", stretch[0])
+    b = b.withColumn("__at", F.explode(F.array(stretch[1] - 1, stretch[1], stretch[1] + 1)))
+    both = a.join(b, [pair, "tid", "__at"]).drop("__at").withColumn("dist", F.abs(F.col("pos1") - F.col("pos2"))).filter(F.col("dist") <= most)
     one = Window.partitionBy(pair, "tid", "pos1").orderBy("dist", "pos2")
     two = Window.partitionBy(pair, "tid", "pos2").orderBy("dist", "pos1")
     ranked = both.withColumn("__a", F.row_number().over(one)).withColumn("__b", F.row_number().over(two))

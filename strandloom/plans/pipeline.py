@@ -11,6 +11,8 @@ from strandloom.operators import align, intervals, kmers, quant
 from strandloom.runtime import materialize
 from strandloom.sources import annotation, bam, reads as read_source, tables
 
+MAX_FIND = 1_000_000
+
 
 def build_index(spark: SparkSession, fasta: str, gtf: str, out: str, first: int | None = None) -> dict[str, DataFrame]:
     """Transcriptome of a genome and its annotation, with its k-mer postings, as Parquet tables in ``out``."""
@@ -84,12 +86,12 @@ def align_pairs(pairs: DataFrame, index: dict[str, DataFrame], k: int = K) -> di
     return {"hits": hits, "proper": proper, "outcomes": align.decide(ready)}
 
 
-def genome_fallback(pairs: DataFrame, found: dict[str, DataFrame], contigs: DataFrame, k: int = K, most: int = 1000) -> DataFrame:
+def genome_fallback(pairs: DataFrame, found: dict[str, DataFrame], contigs: DataFrame, k: int = K, most: int = MAX_FIND) -> DataFrame:
     """Proper pairs on the genome of those pairs that have none on the transcriptome.
 
     ``contigs``: ``tid`` (the contig's number) and ``seq``. The same operators
     run on k-mer postings of the contigs; k-mers with more than ``most``
-    postings don't seed. Such pairs aren't counted in classes.
+    postings (the reference's bound) don't seed. Such pairs aren't counted in classes.
     """
     rest = pairs.join(found["outcomes"].filter(F.col("outcome").startswith("proper")).select("pair"), "pair", "left_anti")
     postings = kmers.without_frequent(kmers.postings(contigs), most)
