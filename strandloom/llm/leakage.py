@@ -127,7 +127,7 @@ def _longest_run(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Search:
-    """Candidates by cosine in the latent space, checked word by word."""
+    """Candidates by cosine in the latent space or by an equal run of 12 words, checked word by word."""
 
     def __init__(self, items: Items, idf: np.ndarray, basis: np.ndarray, cosine: float):
         self.idf, self.cosine, self.ids = idf.astype(np.float32), cosine, items.ids
@@ -144,6 +144,16 @@ class Search:
             self.texts[k, : len(w)] = w
             self.has[k, w] = True
         self.answers = items.answers
+        self.powers = np.cumprod(np.full(RUN, 0x9E3779B97F4A7C15, np.uint64))
+        runs = sorted({(int(h), k) for k, w in enumerate(items.words) for h in self._run_hashes(np.array([w], np.int64))[0]})
+        self.run_hash = np.array([h for h, _ in runs], np.uint64)
+        self.run_item = np.array([k for _, k in runs], np.int64)
+
+    def _run_hashes(self, grid: np.ndarray) -> np.ndarray:
+        """Of every 12 consecutive words of each row; equal runs agree, others are told apart by the check that follows."""
+        if grid.shape[1] < RUN:
+            return np.zeros((len(grid), 0), np.uint64)
+        return np.lib.stride_tricks.sliding_window_view((grid + 2).astype(np.uint64), RUN, axis=1) @ self.powers
 
     @staticmethod
     def _unit(x):
@@ -161,6 +171,10 @@ class Search:
             latent[known] += self.basis[grid[known, k]]
         # the best passage of each item, items being side by side
         near = np.maximum.reduceat(self._unit(latent) @ self.latent.T, self.first, axis=1) >= self.cosine
+        h = self._run_hashes(grid)
+        first, last = np.searchsorted(self.run_hash, h, "left"), np.searchsorted(self.run_hash, h, "right")
+        for row, at in zip(*np.nonzero(last > first)):
+            near[row, self.run_item[first[row, at] : last[row, at]]] = True
         row, item = np.nonzero(near)
         shared = np.zeros(len(row), np.int16)
         for k in range(PASSAGE):
@@ -199,7 +213,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id
     words within a passage, ``common`` the longest common subsequence,
     ``answered`` whether a passage also gives the item's answer.
 
-    Every document and every passage of it is compared; only passages with fewer
+    Runs are found whatever their cosine, rewordings from ``cosine`` on. Every
+    document and every passage of it is compared; only passages with fewer
     than 12 words of the items' vocabulary are left out, which can't hold such a
     subsequence. ``items`` is the query set: it goes to the tasks in blocks of
     ``block`` items, each with a latent space of its own. Null texts and ids,
