@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import glob
 import gzip
 import io
@@ -37,11 +38,22 @@ def size(path: str) -> int:
     return os.path.getsize(local_path(path))
 
 
+def _matching(pattern: str) -> list[str]:
+    if not _remote(pattern):
+        return sorted(glob.glob(local_path(pattern)))
+    from pyarrow import fs
+
+    where, _, last = pattern.rpartition("/")
+    system, inner = fs.FileSystem.from_uri(where)
+    found = system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+    return sorted(f"{where}/{f.base_name}" for f in found if f.is_file and fnmatch.fnmatchcase(f.base_name, last))
+
+
 def expand(paths: str) -> list[str]:
-    """Paths of a comma-separated list, local globs expanded."""
+    """Paths of a comma-separated list, globs expanded; of remote paths the last part may be one."""
     out: list[str] = []
     for p in paths.split(","):
-        out += sorted(glob.glob(local_path(p))) if not _remote(p) and any(c in p for c in "*?[") else [p]
+        out += _matching(p) if any(c in (p.rpartition("/")[2] if _remote(p) else p) for c in "*?[") else [p]
     return out
 
 
