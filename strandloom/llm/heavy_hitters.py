@@ -81,13 +81,8 @@ def _combine(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["h", "n"])
 
 
-def frequent_hashes(hashes: DataFrame, share: float, at_least: int, heap: int = 0) -> tuple[DataFrame, int]:
-    """Hashes of the column ``h`` that may reach the share, and the number of rows.
-
-    The first result has ``h``, ``estimate`` and ``complete`` (whether no value
-    outside of the heaps can reach the threshold).
-    """
-    heap = heap or max(1024, 4 * math.ceil(1 / share))
+def _heaps(stream: DataFrame, heap: int) -> DataFrame:
+    """The written heaps of all tasks: ``h``, ``estimate`` and ``floor``, below which a task may have dropped values."""
 
     def run(batches):
         sketch, top, total = Sketch(), Candidates(heap), 0
@@ -106,12 +101,26 @@ def frequent_hashes(hashes: DataFrame, share: float, at_least: int, heap: int =
                 names=["h", "estimate", "floor"],
             )
 
+    return materialize(stream.mapInArrow(run, "h long, estimate long, floor long"), "heaps")
+
+
+def frequent_hashes(hashes: DataFrame, share: float, at_least: int, heap: int = 0) -> tuple[DataFrame, int]:
+    """Hashes of the column ``h`` that may reach the share, and the number of rows.
+
+    The first result has ``h`` and ``estimate``. If a task had to drop a value
+    that may reach the threshold, all tasks run again with heaps four times as
+    large, so nothing is lost; heaps of a few times 1 / share seldom need it.
+    """
+    heap = heap or max(1024, 4 * math.ceil(1 / share))
     stream = hashes.select("h").mapInArrow(_combine, "h long, n long").repartition("h")
-    heaps = materialize(stream.mapInArrow(run, "h long, estimate long, floor long"), "heaps")
-    total = heaps.filter("h is null").agg(F.sum("estimate")).first()[0] or 0
-    threshold = max(at_least, share * total)
-    found = heaps.filter(F.col("h").isNotNull() & (F.col("estimate") >= threshold))
-    return found.select("h", "estimate", (F.col("floor") < threshold).alias("complete")), total
+    while True:
+        heaps = _heaps(stream, heap)
+        seen = heaps.agg(F.sum(F.when(F.col("h").isNull(), F.col("estimate"))).alias("total"), F.max("floor").alias("floor")).first()
+        total = seen.total or 0
+        threshold = max(at_least, share * total)
+        if (seen.floor or 0) < threshold:
+            return heaps.filter(F.col("h").isNotNull() & (F.col("estimate") >= threshold)).select("h", "estimate"), total
+        heap *= 4
 
 
 def frequent_values(df: DataFrame, value: str, row_id: str, share: float, at_least: int = 1, heap: int = 0) -> DataFrame:
@@ -128,9 +137,8 @@ def frequent_values(df: DataFrame, value: str, row_id: str, share: float, at_lea
     hashed = rows.select("__id", F.xxhash64("__v").alias("h")).distinct()
     heavy, total = frequent_hashes(hashed, share, at_least, heap)
     threshold = max(at_least, share * total)
-    # at most heap x tasks hashes; those above the threshold are about 1 / share
+    # about 1 / share hashes: estimates of a value above the threshold are its count and the sketch's error
     again = rows.withColumn("h", F.xxhash64("__v")).join(F.broadcast(heavy), "h")
-    once = again.groupBy("__id", "__v").agg(F.max("estimate").alias("e"), F.min("complete").alias("c"))
-    counted = once.groupBy("__v").agg(F.max("e").alias("n_estimate"), F.count(F.lit(1)).alias("n_rows"), F.min("c").alias("complete"))
-    sure = F.when(F.col("complete"), F.col("n_rows")).otherwise(F.raise_error(F.lit("the heap is too small for this share; raise heap")))
-    return counted.filter(F.col("n_rows") >= threshold).select(F.col("__v").alias("value"), "n_estimate", sure.alias("n_rows"))
+    once = again.groupBy("__id", "__v").agg(F.max("estimate").alias("e"))
+    counted = once.groupBy("__v").agg(F.max("e").alias("n_estimate"), F.count(F.lit(1)).alias("n_rows"))
+    return counted.filter(F.col("n_rows") >= threshold).select(F.col("__v").alias("value"), "n_estimate", "n_rows")
