@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from strandloom.runtime import materialize
 
 WIDTH_BITS, DEPTH = 17, 4
+BROADCAST = 1_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -138,7 +139,8 @@ def frequent_values(df: DataFrame, value: str, row_id: str, share: float, at_lea
     heavy, total = frequent_hashes(hashed, share, at_least, heap)
     threshold = max(at_least, share * total)
     # about 1 / share hashes: estimates of a value above the threshold are its count and the sketch's error
-    again = rows.withColumn("h", F.xxhash64("__v")).join(F.broadcast(heavy), "h")
+    few = heavy.count() <= BROADCAST
+    again = rows.withColumn("h", F.xxhash64("__v")).join(F.broadcast(heavy) if few else heavy, "h")
     once = again.groupBy("__id", "__v").agg(F.max("estimate").alias("e"))
     counted = once.groupBy("__v").agg(F.max("e").alias("n_estimate"), F.count(F.lit(1)).alias("n_rows"))
     return counted.filter(F.col("n_rows") >= threshold).select(F.col("__v").alias("value"), "n_estimate", "n_rows")

@@ -9,6 +9,7 @@ with it word by word: longest common run, longest common subsequence, answer.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -30,17 +31,12 @@ def words(text: str) -> list[str]:
 
 
 class Items:
-    """Test items as numbers of their own vocabulary."""
+    """A block of test items as numbers of the vocabulary of all items."""
 
-    def __init__(self, rows):
-        rows = [(i, words(t)) for i, t in rows if i is not None and t is not None]
-        rows = [(i, w) for i, w in rows if len(w) >= RUN]
+    def __init__(self, rows, vocabulary: dict[str, int]):
+        self.vocabulary = vocabulary
         self.ids = np.array([i for i, _ in rows], np.int64)
-        self.vocabulary: dict[str, int] = {}
-        for _, w in rows:
-            for x in w:
-                self.vocabulary.setdefault(x, len(self.vocabulary))
-        self.words = [np.array([self.vocabulary[x] for x in w], np.int32) for _, w in rows]
+        self.words = [np.array([vocabulary[x] for x in w], np.int32) for _, w in rows]
         self.answers = [self._answer(w) for _, w in rows]
         self.passages, self.owner = [], []
         for k, w in enumerate(self.words):
@@ -68,7 +64,7 @@ def _passages(flat: np.ndarray, lengths: np.ndarray, least: int):
 
 
 def _corpus_rows(vocabulary: dict[str, int], decode):
-    """Passages (kind 0) and, for each batch, its document frequencies (kind 1)."""
+    """Passages (kind 0) and, for each batch, its document frequencies (kind 1), from one decoding of each text."""
 
     def run(batches):
         for batch in batches:
@@ -130,8 +126,8 @@ class Search:
     """Candidates by cosine in the latent space or by an equal run of 12 words, checked word by word."""
 
     def __init__(self, items: Items, idf: np.ndarray, basis: np.ndarray, cosine: float):
-        self.idf, self.cosine, self.ids = idf.astype(np.float32), cosine, items.ids
-        self.basis = (basis * self.idf[:, None]).astype(np.float32)
+        self.cosine, self.ids = cosine, items.ids
+        self.basis = (basis * idf[:, None]).astype(np.float32)
         latent = np.stack([self.basis[p].sum(axis=0) for p in items.passages]) if items.passages else np.zeros((0, basis.shape[1]), np.float32)
         order = np.argsort(items.owner, kind="stable")
         self.latent = self._unit(latent)[order]
@@ -139,10 +135,11 @@ class Search:
         self.first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, np.int64)
         longest = max((len(w) for w in items.words), default=1)
         self.texts = np.full((len(items.words), longest), -2, np.int32)
-        self.has = np.zeros((len(items.words), len(idf) + 1), bool)
         for k, w in enumerate(items.words):
             self.texts[k, : len(w)] = w
-            self.has[k, w] = True
+        # the words of each item as sorted numbers of item and word: as many as the items have words
+        self.width = len(idf) + 1
+        self.holds = np.unique(np.concatenate([k * self.width + np.unique(w).astype(np.int64) for k, w in enumerate(items.words)]))
         self.answers = items.answers
         self.powers = np.cumprod(np.full(RUN, 0x9E3779B97F4A7C15, np.uint64))
         runs = sorted({(int(h), k) for k, w in enumerate(items.words) for h in self._run_hashes(np.array([w], np.int64))[0]})
@@ -178,7 +175,9 @@ class Search:
         row, item = np.nonzero(near)
         shared = np.zeros(len(row), np.int16)
         for k in range(PASSAGE):
-            shared += self.has[item, grid[row, k]]  # -1 is the last column, which no item has
+            word = grid[row, k].astype(np.int64)
+            asked = item * self.width + np.where(word < 0, self.width - 1, word)  # the last column, which no item has
+            shared += self.holds[np.minimum(np.searchsorted(self.holds, asked), len(self.holds) - 1)] == asked
         row, item = row[shared >= RUN], item[shared >= RUN]
         x, y = grid[row], self.texts[item]
         answered = [bool(a) and self._holds(x[i], a) for i, a in enumerate(self.answers[k] for k in item)]
@@ -216,46 +215,69 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id
     Runs are found whatever their cosine, rewordings from ``cosine`` on. Every
     document and every passage of it is compared; only passages with fewer
     than 12 words of the items' vocabulary are left out, which can't hold such a
-    subsequence. ``items`` is the query set: it goes to the tasks in blocks of
-    ``block`` items, each with a latent space of its own. Null texts and ids,
+    subsequence. ``items`` is the query set: texts are decoded and cut into
+    passages once for all items, and the items go to the tasks in blocks of about
+    ``block``, each with a latent space of its own. Their vocabulary, a row for each
+    word that any item has, is held whole. Null texts and ids,
     empty texts and items of fewer than 12 words match nothing. Repeated items
     all match. Other columns aren't read. An empty table gives an empty result.
     """
-    known = items.select(item_id, item_text).orderBy(item_id).collect()
-    corpus = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(doc_text).alias("text")).filter(F.col("doc").isNotNull())
-    found = None
-    for k in range(0, max(1, len(known)), block):
-        one = _block_leaks(corpus, Items([(r[0], r[1]) for r in known[k:k + block]]), rank, cosine, reworded, decode)
-        found = one if found is None else found.unionByName(one)
-    return found
-
-
-def _block_leaks(corpus: DataFrame, items: Items, rank: int, cosine: float, reworded: int, decode) -> DataFrame:
-    spark = corpus.sparkSession
-    if not len(items.ids):
+    spark = docs.sparkSession
+    sound = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).dropna()
+    told = sound.mapInArrow(_item_words, "item long, words array<string>")
+    known = materialize(told.filter(F.size("words") >= RUN), "items")
+    vocabulary = {r.w: k for k, r in enumerate(known.select(F.explode("words").alias("w")).distinct().orderBy("w").collect())}
+    if not vocabulary:
         return spark.createDataFrame([], "doc_id long, item_id long, run int, common int, answered boolean")
+    corpus = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(doc_text).alias("text")).filter(F.col("doc").isNotNull())
     schema = "kind byte, doc long, words array<int>, counts array<int>, docs long"
-    rows = materialize(corpus.mapInArrow(_corpus_rows(items.vocabulary, decode), schema), "passages")
-    stats = rows.filter("kind = 1")
+    rows = materialize(corpus.mapInArrow(_corpus_rows(vocabulary, decode), schema), "passages")
+    idf = _inverse_frequencies(rows.filter("kind = 1"), len(vocabulary))
+    n = max(1, math.ceil(known.count() / block))
+    best = None
+    for k in range(n):
+        own = known.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k)
+        one = Items([(r.item, r.words) for r in own.orderBy("item").collect()], vocabulary)
+        if len(one.ids):
+            hits = _block_hits(rows.filter("kind = 0").select("doc", "words"), own, one, idf, rank, cosine)
+            best = hits if best is None else best.unionByName(hits)
+    kept = best.filter((F.col("run") >= RUN) | (F.col("common") >= reworded)).groupBy("doc", "item")
+    return kept.agg(F.max("run").alias("run"), F.max("common").alias("common"), F.max("answered").alias("answered")).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "run", "common", "answered")
+
+
+def _item_words(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([words(t) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], names=["item", "words"])
+
+
+def _inverse_frequencies(stats: DataFrame, n_words: int) -> np.ndarray:
     n_docs = stats.agg(F.sum("docs")).first()[0] or 0
-    frequency = np.zeros(len(items.vocabulary))
+    frequency = np.zeros(n_words)
     per_word = stats.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy("x.words").agg(F.sum("x.counts"))
     for w, n in per_word.collect():  # at most one row for each word of the items
         frequency[w] = n
-    idf = np.log((n_docs + 1) / (frequency + 0.5)).clip(min=1e-3)
-
-    def weighted(p):
-        v = idf[p]
-        total: dict[int, float] = {}
-        for w, x in zip(p.tolist(), v.tolist()):
-            total[w] = total.get(w, 0.0) + x
-        norm = sum(x * x for x in total.values()) ** 0.5
-        return list(total), [x / norm for x in total.values()]
-
-    fit = spark.createDataFrame([weighted(p) for p in items.passages], "features array<int>, weights array<float>")
-    basis = svd.right_vectors(fit, len(idf), rank)
-    search = Search(items, idf, basis, cosine)
-    passages = rows.filter("kind = 0").select("doc", "words")
-    hits = passages.mapInArrow(_search_rows(search), "doc long, item long, run int, common int, answered boolean")
-    best = hits.filter((F.col("run") >= RUN) | (F.col("common") >= reworded)).groupBy("doc", "item").agg(F.max("run").alias("run"), F.max("common").alias("common"), F.max("answered").alias("answered"))
-    return best.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "run", "common", "answered")
+    return np.log((n_docs + 1) / (frequency + 0.5)).clip(min=1e-3)
+
+
+def _weighted_rows(vocabulary: dict[str, int], idf: np.ndarray):
+    """The passages of each item as sparse TF-IDF rows of length 1."""
+
+    def run(batches):
+        for b in batches:
+            features, weights = [], []
+            for w in b.column(0).to_pylist():
+                numbers = np.array([vocabulary[x] for x in w], np.int32)
+                for a in range(0, max(1, len(w) - RUN + 1), STRIDE):
+                    f, n = np.unique(numbers[a:a + PASSAGE], return_counts=True)
+                    x = n * idf[f]
+                    features.append(f)
+                    weights.append((x / np.linalg.norm(x)).astype(np.float32))
+            yield pa.RecordBatch.from_arrays([pa.array(features, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], names=["features", "weights"])
+
+    return run
+
+
+def _block_hits(passages: DataFrame, items: DataFrame, block: Items, idf: np.ndarray, rank: int, cosine: float) -> DataFrame:
+    fit = items.select("words").mapInArrow(_weighted_rows(block.vocabulary, idf), "features array<int>, weights array<float>")
+    search = Search(block, idf, svd.right_vectors(fit, len(idf), rank), cosine)
+    return passages.mapInArrow(_search_rows(search), "doc long, item long, run int, common int, answered boolean")

@@ -15,27 +15,47 @@ from pyspark.sql import DataFrame
 BLOCK = 2048
 
 
-def dense(lists_of_features, lists_of_values, n_features: int) -> np.ndarray:
-    out = np.zeros((len(lists_of_features), n_features), np.float32)
-    for row, f, v in zip(out, lists_of_features, lists_of_values):
-        np.add.at(row, f, v)
-    return out
-
-
-def _rows(batch, n_features: int):
+class Sparse:
+    """Some rows as numbers of features and weights, end to end; nothing is as wide as the vocabulary."""
+
+    def __init__(self, batch):
+        lists = batch.column(0)
+        self.f = lists.flatten().to_numpy(zero_copy_only=False)
+        self.v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+        self.n = np.diff(lists.offsets.to_numpy())
+        self.r = np.repeat(np.arange(len(self.n)), self.n)
+
+    def times(self, q: np.ndarray) -> np.ndarray:
+        """Rows times ``q``."""
+        out = np.zeros((len(self.n), q.shape[1]), np.float32)
+        if len(self.f):
+            first = np.flatnonzero(np.r_[True, self.r[1:] != self.r[:-1]])
+            out[self.r[first]] = np.add.reduceat(self.v[:, None] * q[self.f], first)
+        return out
+
+    def add_back(self, y: np.ndarray, total: np.ndarray) -> None:
+        """Adds the transposed rows times ``y`` to ``total``."""
+        if len(self.f):
+            o = np.argsort(self.f, kind="stable")
+            f = self.f[o]
+            first = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
+            total[f[first]] += np.add.reduceat(self.v[o][:, None] * y[self.r[o]], first)
+
+
+def _rows(batch):
     for part in range(0, batch.num_rows, 512):
-        b = batch.slice(part, 512)
-        yield dense(b.column(0).to_pylist(), b.column(1).to_pylist(), n_features)
+        yield Sparse(pa.RecordBatch.from_arrays([pa.concat_arrays([batch.column(k).slice(part, 512)]) for k in (0, 1)], names=["f", "w"]))
 
 
-def _summed(rows: DataFrame, make, height: int, width: int) -> np.ndarray:
-    """Sum over all tasks of the matrices that ``make`` adds up from dense row blocks."""
+def _summed(rows: DataFrame, add, height: int, width: int) -> np.ndarray:
+    """Sum over all tasks of the matrices to which ``add`` adds the part of some rows."""
 
     def partial(batches):
         total = None
         for batch in batches:
-            for x in make(batch):
-                total = x if total is None else total + x
+            for x in _rows(batch):
+                total = np.zeros((height, width), np.float32) if total is None else total
+                add(x, total)
         if total is not None:
             for k in range(0, height, BLOCK):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([total[k:k + BLOCK].astype(np.float32).tobytes()], pa.binary())], names=["k", "m"])
@@ -66,16 +86,14 @@ def right_vectors(rows: DataFrame, n_features: int, rank: int, oversample: int =
     q = np.random.default_rng(seed).standard_normal((n_features, width)).astype(np.float32)
     q, _ = np.linalg.qr(q)
     for _ in range(passes + 1):
-        def power(batch, q=q):
-            for x in _rows(batch, n_features):
-                yield x.T @ (x @ q)
+        def power(x, total, q=q):
+            x.add_back(x.times(q), total)
 
         q, _ = np.linalg.qr(_summed(rows.select("features", "weights"), power, n_features, width))
 
-    def gram(batch):
-        for x in _rows(batch, n_features):
-            y = x @ q
-            yield y.T @ y
+    def gram(x, total):
+        y = x.times(q)
+        total += y.T @ y
 
     values, vectors = np.linalg.eigh(_summed(rows.select("features", "weights"), gram, width, width).astype(np.float64))
     order = np.argsort(-values)
