@@ -43,12 +43,12 @@ _SLOT = re.compile(
             r"%\([\w. ]+\)[sd]",
             rf"\(\({_NAME}\)\)",
             rf"\[\[{_NAME}\]\]",
-            r"\[(?:insert|enter|add|fill in|your|tbd|todo)\b[^\[\]]{0,40}\]",
+            r"\[(?:insert|enter|add|fill in|your|tbd|todo)\b[^\[\]]*\]",
             r"\[[A-Z][A-Z_]{2,}(?: [A-Z_]+){0,3}\]",
             r"\[XX[X/. :-]*\]",
             rf"\[{_NAME}\?\]",
             r"\[(?:link|name|date|url)\]",
-            r"<(?:insert|enter|add|fill in|your|tbd|todo)\b[^<>@]{0,40}>",
+            r"<(?:insert|enter|add|fill in|your|tbd|todo)\b[^<>@]*>",
             rf"<{_NAME} here>",
             r"\{(?:[A-Za-z_][\w.]*(?: [\w.]+){0,3}|\d)\}",
         ]
@@ -90,7 +90,8 @@ _LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur".split()
 )
 _DEFAULT = re.compile(
-    r"^(?:(?:your|add your|insert|type|enter|some) (?:text|introduction|content|message|headline|title|copy)\b.{0,15}|(?:text|content|headline|subline|title|body) (?:goes )?here|(?:dummy|sample|placeholder) (?:copy|paragraph|text)\b.{0,25}|votre texte ici|hier steht ihr text|su texto aquí|tu texto aquí)[.!]?$", re.I
+    r"^(?:(?:(?:your|add|insert|type|enter|put|some)(?: (?:your|some|the|a))? )?(?:text|introduction|content|message|headline|subline|title|body|copy)(?: (?:goes|comes))? here"
+    r"|(?:dummy|sample|placeholder) (?:copy|paragraph|text)(?:, [^.!?]*)?|votre texte ici|hier steht ihr text|(?:su|tu) texto aquí)[.!]?$", re.I
 )
 _KEYBOARD = re.compile(r"^(?:x{3,}|asdf\w*|qwer\w*|tyui\w*|bla+h?|foo|bar|baz|qux|yada)$", re.I)
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
@@ -129,33 +130,51 @@ def slots(paragraph: str):
 
 
 def _period(sentences: list[str]) -> list[str]:
-    """The sentences that a paragraph repeats in turn; empty if it doesn't."""
-    for p in (1, 2, 3):
-        if len(sentences) >= 2 * p and all(a == b for a, b in zip(sentences, sentences[p:])):
-            return sentences[:p]
-    return []
-
-
-def is_filler(paragraph: str) -> bool:
-    """Whether the paragraph is filler by its words alone."""
+    """The sentences that a paragraph repeats in turn, at least twice; empty if it doesn't."""
+    fall = [0] * len(sentences)  # the longest border of each beginning
+    for i in range(1, len(sentences)):
+        k = fall[i - 1]
+        while k and sentences[i] != sentences[k]:
+            k = fall[k - 1]
+        fall[i] = k + (sentences[i] == sentences[k])
+    p = len(sentences) - fall[-1] if sentences else 0
+    return sentences[:p] if len(sentences) >= 2 * p > 0 else []
+
+
+def filler(paragraph: str) -> list[tuple[str, str]]:
+    """What shows a paragraph to be filler by its words alone, as (key, ``word`` or ``whole``) to count it by."""
     w = [x.lower() for x in _PLAIN.findall(paragraph)]
-    if len(w) >= 5 and sum(x in _LATIN for x in w) >= 0.7 * len(w):
-        return True
+    latin = [x for x in w if x in _LATIN]
+    if len(w) >= 5 and len(latin) >= 0.7 * len(w):
+        return [(x, "word") for x in set(latin)]
     if len(w) >= 2 and all(_KEYBOARD.match(x) for x in w):
-        return True
-    return any(_DEFAULT.match(s) for s in _SENTENCE.split(paragraph))
+        return [(" ".join(sorted({re.sub(r"(.)\1+", r"\1", x) for x in w})), "whole")]
+    return [(_masked(s), "whole") for s in _SENTENCE.split(paragraph) if _DEFAULT.match(s)]
+
+
+def _known(sentences: list[str]) -> str:
+    """The digest by which a row of sentences is looked up among the learned ones."""
+    return hashlib.blake2b(_masked(" ".join(sentences)).encode(), digest_size=8).hexdigest()
 
 
 def _digest(text: str) -> str:
     return hashlib.blake2b(_masked(text).encode(), digest_size=16).hexdigest()
 
 
+def _demands(sentence: str) -> bool:
+    """Whether a sentence demands scripts or cookies itself; one that reports what somebody says of them doesn't."""
+    m = _SCRIPTS.search(sentence)
+    return bool(m and _DEMAND.search(sentence) and not _REPORT.search(sentence[: m.start()]))
+
+
 def page(paragraphs: list[str]) -> tuple[str, str] | None:
-    """Digest of a whole message of any length whose words are those of a page, and how sure they make it.
+    """The template of a whole message of any length whose words are those of a page, and how sure they make it.
 
-    ``strong``: an error or demand in a message of up to 40 words, or in the
-    heading of a longer one. ``weak``: elsewhere in a longer one, or only words
-    that often go with pages; then repeats of the whole message decide.
+    ``strong``: an error or demand in the heading or first sentence, or most
+    words in sentences with words of pages. ``weak``: an error or demand
+    elsewhere, or only words that often go with pages; then repeats of the
+    whole message decide. The template is what the paragraphs with such words
+    say, numbers and addresses aside: links and names beneath are its slots.
     """
     core: list[str] = []
     for p in paragraphs:
@@ -165,20 +184,22 @@ def page(paragraphs: list[str]) -> tuple[str, str] | None:
     if not core or _GREETING.match(core[0]) or (core[0][-1] in ",:" and len(core[0].split()) < 5):
         return None
     text = " ".join(core)
-    n = len(text.split())
     bare = _QUOTED.sub(" ", text)
-    first = _SENTENCE.split(bare)[0]
-    demand = any(_SCRIPTS.search(s) and _DEMAND.search(s) for s in _SENTENCE.split(bare))
+    sentences = _SENTENCE.split(bare)
+    demands = [_demands(s) for s in sentences]
     error = _ERROR.search(bare)
-    if demand or error:
-        told = _REPORT.search(first if demand else bare[: error.start()])
-        if told:
+    if any(demands) or error:
+        if not any(demands) and _REPORT.search(bare[: error.start()]):
             return None
-        heading = _QUOTED.sub(" ", core[0]) if len(core) > 1 and len(core[0].split()) <= 12 else ""
-        sure = n <= 40 or _ERROR.search(heading) or (_SCRIPTS.search(heading) and _DEMAND.search(heading))
-        return _digest(text), "strong" if sure else "weak"
+        telling = [d or bool(_ERROR.search(s) or _WEAK.search(s)) for d, s in zip(demands, sentences)]
+        first = _QUOTED.sub(" ", core[0]) if len(core) > 1 else ""
+        headed = bool(_ERROR.search(first)) or _demands(first) or demands[0] or bool(_ERROR.search(sentences[0]))
+        size = [len(s.split()) for s in sentences]
+        sure = headed or 2 * sum(n for n, t in zip(size, telling) if t) > sum(size)
+        template = [p for p in core if _ERROR.search(p) or _WEAK.search(p) or _SCRIPTS.search(p)] or core
+        return _digest(" ".join(template)) if sure else _digest(text), "strong" if sure else "weak"
     weak = [m.lower() for m in _WEAK.findall(bare)]
-    return (_digest(text), "weak") if len(set(weak)) > 1 and 10 * len(weak) >= n and not _REPORT.search(bare) else None
+    return (_digest(text), "weak") if len(set(weak)) > 1 and 10 * len(weak) >= len(text.split()) and not _REPORT.search(bare) else None
 
 
 def evidence(text: str | None):
@@ -192,16 +213,15 @@ def evidence(text: str | None):
         for p in paragraphs:
             for context, variable, kind in slots(p):
                 yield (kind, context, variable)
-            if is_filler(p):
-                yield ("filler", "", "")
+            for key, how in filler(p):
+                yield ("filler", key, how)
             sentences = _SENTENCE.split(p)
             turn = _period([s.lower() for s in sentences])
             if turn:
-                for s in turn:
-                    yield ("repeated", _masked(s), "")
-            elif len(sentences) <= 3 and p[-1] in ".!" and len(p) <= 120:
-                for s in sentences:
-                    yield ("alone", _masked(s), "")
+                for s in {_known(turn), *(_known([s]) for s in turn)}:
+                    yield ("repeated", s, "")
+            elif p[-1] in ".!":
+                yield ("alone", _known(sentences), "")
 
 
 def _rows(batches):
@@ -225,34 +245,46 @@ def gather(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return materialize(rows.mapInArrow(_rows, "doc long, kind string, key string, value string"), "evidence")
 
 
+def _bounded(keys: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Sent to all tasks if there are at most so many, else joined by key."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def find(found: DataFrame, repeats: int = 3) -> DataFrame:
-    """Columns ``doc_id`` and ``kind`` from the evidence of ``gather``.
+    """Columns ``doc_id``, ``kind`` and ``aligned`` from the evidence of ``gather``.
 
     * ``slot``: a variable stands for a value: no quotes, code or talk of
       placeholders go with it. Where a text is said to have had it in it, the
       words around it must hold several variables in the corpus. Neither
-      depends on how often an email is copied.
-    * ``filler``: filler by its words, or a sentence that at least ``repeats``
-      emails hold several times in a row.
+      depends on how often an email is copied. ``aligned``: the words around it
+      hold several variables, or stand in ``repeats`` emails.
+    * ``filler``: filler by its words, or a paragraph of sentences that at least
+      ``repeats`` emails hold several times in a row. ``aligned``: the
+      sentence, the set of keys or seven in ten of the Latin words recur in
+      ``repeats`` emails.
     * ``page``: the whole message is an error page or notice by its words, or
       is a page-like text of any length that at least ``repeats`` emails are
-      made of whole.
+      made of whole. ``aligned``: so many emails share its template.
 
-    Null and empty texts have no evidence. Equal emails count each. An empty
+    What isn't aligned stands too seldom in the corpus to be aligned and is told by
+    its words alone. Null and empty texts have no evidence. Equal emails count each. An empty
     table gives an empty result. Texts are read to their end.
     """
-    aligned = found.filter(F.col("kind").isin("slot", "told", "mention"))
-    varied = aligned.groupBy("key").agg(F.min("value").alias("low"), F.max("value").alias("high")).filter("low <> high").select("key")
-    told = found.filter("kind = 'told'").join(varied, "key", "left_semi")
-    slot = found.filter("kind = 'slot'").unionByName(told.select(found.columns)).select("doc", F.lit("slot").alias("kind"))
-    counted = found.filter(F.col("kind").isin("repeated", "page")).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= repeats)
-    defaults = counted.filter("kind = 'repeated'").select("key")
-    said = found.filter(F.col("kind").isin("repeated", "alone")).join(defaults, "key", "left_semi")
-    filler = found.filter("kind = 'filler'").unionByName(said).select("doc", F.lit("filler").alias("kind"))
-    sure = found.filter("kind = 'page' AND value = 'strong'")
-    whole = found.filter("kind = 'page' AND value = 'weak'").join(counted.filter("kind = 'page'").select("key"), "key", "left_semi")
-    pages = sure.unionByName(whole).select("doc", F.lit("page").alias("kind"))
-    return slot.unionByName(filler).unionByName(pages).distinct().withColumnRenamed("doc", "doc_id")
+    counted = found.filter("kind <> 'alone'").groupBy("kind", "key").agg(F.count_distinct("doc").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    counted = materialize(counted, "templates")
+    often = F.col("n") >= repeats
+    varied = counted.filter(F.col("kind").isin("slot", "told", "mention")).groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).select("key", (F.col("low") < F.col("high")).alias("varies"), often.alias("often"))
+    variables = found.filter(F.col("kind").isin("slot", "told")).join(varied, "key").filter("kind = 'slot' OR varies")
+    slot = variables.select("doc", F.lit("slot").alias("kind"), (F.col("varies") | F.col("often")).alias("aligned"))
+    learned = _bounded(counted.filter("kind = 'repeated'").filter(often).select("key"))
+    said = found.filter(F.col("kind").isin("repeated", "alone")).join(learned, "key", "left_semi").select("doc", F.lit("filler").alias("kind"), F.lit(True).alias("aligned"))
+    known = found.filter("kind = 'filler'").join(counted.filter("kind = 'filler'").select("key", often.alias("often")), "key")
+    share = F.avg(F.col("often").cast("int"))
+    filler_ = known.groupBy("doc", "value").agg(F.when(F.col("value") == "word", share >= 0.7).otherwise(share > 0).alias("aligned")).select("doc", F.lit("filler").alias("kind"), "aligned")
+    pages = found.filter("kind = 'page'").join(counted.filter("kind = 'page'").select("key", often.alias("often")), "key").filter("value = 'strong' OR often")
+    page_ = pages.select("doc", F.lit("page").alias("kind"), F.col("often").alias("aligned"))
+    every = slot.unionByName(said).unionByName(filler_).unionByName(page_)
+    return every.groupBy(F.col("doc").alias("doc_id"), "kind").agg(F.max("aligned").alias("aligned"))
 
 
 def clean(docs: DataFrame, doc_id: str, flagged: DataFrame) -> DataFrame:

@@ -103,3 +103,28 @@ def test_the_rest_comes_out_whole(spark):
 def test_long_texts_are_read_to_their_end(spark, n):
     _, f = flagged(spark, [body("Hello,\n\n" + "plain words. " * n + "\n\nDear {{first_name}},")])
     assert {r.kind for r in f.collect()} == {"slot"}
+
+
+def test_templates_that_recur_are_told_from_lone_ones(spark):
+    page = "502 Bad Gateway\n\n{}\n\nBack"
+    texts = [body(page.format(f"ngate/1.{k}")) for k in range(3)] + [body("Veuillez activer JavaScript pour afficher ce contenu.")]
+    texts += [body(f"Dear {{{{{v}}}}},\n\n{PROSE}") for v in ("name", "first_name")] + [body(PROSE + " The shelf {{shelf}} is empty.")]
+    texts += [body("Your text here. Your text here.")] * 3 + [body("asdf asdf asdf")]
+    _, f = flagged(spark, texts)
+    got = {r.doc_id: (r.kind, r.aligned) for r in f.collect()}
+    assert got == {0: ("page", True), 1: ("page", True), 2: ("page", True), 3: ("page", False), 4: ("slot", True), 5: ("slot", True), 6: ("slot", False), 7: ("filler", True), 8: ("filler", True), 9: ("filler", True), 10: ("filler", False)}
+
+
+def test_pages_and_filler_of_any_length(spark):
+    words = " ".join("abcdefghijkl"[k % 12] * (k % 5 + 2) for k in range(50))
+    page = f"Something went wrong while the site was loaded. {words} 503 Service Unavailable."
+    long_mail = "One.\n\nTwo.\n\nThree.\n\nFour.\n\nFive.\n\n" + (PROSE + " ") * 40 + "Access denied."
+    default = "Write something nice about the product that goes with this picture, its colours, its makers and whatever else a reader of the leaflet may want to know."
+    texts = [body(page)] * 3 + [body(long_mail)] + [body(f"Hello,\n\n{default} {default}")] * 3 + [body(f"Hello,\n\n{default}")]
+    _, f = flagged(spark, texts)
+    assert {(r.doc_id, r.kind) for r in f.collect()} == {(k, "page") for k in range(3)} | {(k, "filler") for k in (4, 5, 6, 7)}
+
+
+def test_periods_of_any_length():
+    assert R._period(list("abcdabcd")) == list("abcd") and R._period(list("abcab")) == [] and R._period(["x"]) == [] and R._period([]) == []
+    assert R._period(list("aab" * 3 + "a")) == list("aab")
