@@ -6,21 +6,25 @@ its own, so that sixteen characters count); the smallest hash within each
 window of the least span length is that window's cut point. Neighbouring
 windows with one cut point make up a chunk. Two equal windows have the same cut
 point wherever they stand, so insertions move chunks but don't change them, and
-any shared window lies in chunks of the same cut hash. Three steps follow:
+any shared window lies in chunks of the same cut hash. Four steps follow:
 
 0. Character groups that are frequent in the whole table (adapters, poly-A,
    phrases of headers) are counted and come last as cut points. A frequent cut
    point would bring unlike chunks of many records together in one task.
-1. Every chunk travels with its cut hash; within a task equal chunks are
-   combined by digest to their smallest and largest record id.
-2. Tasks get the chunks by cut hash. Chunks that are alone with their cut hash
-   end there. Chunks of several records are shared as a whole; the windows of
-   the rest are looked up among the windows of all chunks of that cut hash.
+1. Cut hashes are counted, without any text; most stand in one record only and
+   end here. Those that would bring more chunks to a task than it should hold
+   come last too, and are counted again.
+2. The chunks of the cut hashes that are left travel with their text, equal ones
+   combined by digest to their smallest and largest record id. Tasks get them by cut
+   hash. Chunks of several records are shared as a whole; the windows of the
+   rest are looked up among the windows of all chunks of that cut hash.
 3. The shared stretches are joined back to the records by chunk digest and
    joined to one another within each record.
 
-No pair of records is ever formed: a chunk that stands in a million records is
-one row after step 1 of each batch.
+Digests have 128 bits. What steps 1 and 3 leave out is told by a bit table of bounded size, which
+never misses: where it is too small for the data, more rows travel and the
+result is the same. No pair of records is ever formed: a chunk that stands in a million records is
+one row after step 2 of each batch.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ SLAB_BITS = 20
 _U = np.uint64
 _MUL = 0x9E3779B97F4A7C15 | 5
 _INV = pow(_MUL, -1, 1 << 64)
+_MUL2 = 0xC2B2AE3D27D4EB4F | 5
+_INV2 = pow(_MUL2, -1, 1 << 64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -68,9 +74,11 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Prefix:
     """Digest of any stretch of a slab, from running sums."""
 
-    def __init__(self, g: np.ndarray):
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(g * _powers(_INV, len(g)), dtype=np.uint64)])
-        self.powers = _powers(_MUL, len(g) + 1)
+    def __init__(self, g: np.ndarray, second: bool = False):
+        """``second``: of other numbers and another base, so that the two together are one digest of 128 bits."""
+        g, base, inverse = (_mix(g + _U(_MUL)), _MUL2, _INV2) if second else (g, _MUL, _INV)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(g * _powers(inverse, len(g)), dtype=np.uint64)])
+        self.powers = _powers(base, len(g) + 1)
 
     def digest(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return _mix((self.sums[b] - self.sums[a]) * self.powers[a] ^ _mix((b - a).astype(np.uint64)))
@@ -182,12 +190,81 @@ def _lay(ids, kept, breaks: bytes):
     return ids[rows], offset, begin, codes, bad
 
 
+class Bits:
+    """A set of hashes as a table of bits: it may hold more than was added, never less."""
+
+    def __init__(self, width: int, table: np.ndarray | None = None):
+        self.mask, self.table = _U((1 << width) - 1), np.zeros(1 << (width - 3), np.uint8) if table is None else table
+
+    def _places(self, h: np.ndarray):
+        h = h.view(np.uint64)
+        return ((h & self.mask).astype(np.int64), (_mix(h) & self.mask).astype(np.int64))
+
+    def add(self, h: np.ndarray) -> None:
+        for x in self._places(h):
+            np.bitwise_or.at(self.table, x >> 3, np.uint8(1) << (x & 7).astype(np.uint8))
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        a, b = ((self.table[x >> 3] >> (x & 7).astype(np.uint8)) & 1 for x in self._places(h))
+        return (a & b).astype(bool)
+
+
+def bits_of(hashes: DataFrame, most: int = 27) -> Bits:
+    """The one LONG column of ``hashes`` as bits, sixteen for each row but at most 2 ** ``most`` (16 MB)."""
+    width = min(most, max(16, (16 * hashes.count()).bit_length()))
+    step = 1 << 13
+
+    def blocks(table):
+        for k in range(0, len(table), step):
+            if table[k:k + step].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([table[k:k + step].tobytes()], pa.binary())], names=["k", "m"])
+
+    def partial(batches):
+        own = Bits(width)
+        for b in batches:
+            own.add(b.column(0).to_numpy(zero_copy_only=False))
+        yield from blocks(own.table)
+
+    def merge(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = np.frombuffer(m, np.uint8)
+                sums[k] = sums[k] | x if k in sums else x
+        for k, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["k", "m"])
+
+    out = Bits(width)
+    for k, m in hashes.mapInArrow(partial, "k long, m binary").repartition("k").mapInArrow(merge, "k long, m binary").collect():
+        out.table[k:k + len(m)] = np.frombuffer(m, np.uint8)
+    return out
+
+
 def _located(batch, length: int, breaks: bytes, frequent: Frequent | None):
-    """For each slab its chunks: record id, offset in the record, digest, cut hash, and the slab itself."""
+    """For each slab its chunks: record id, offset in the record, cut hash, both ends in the slab; the characters' numbers and the slab itself."""
     for ids, offset, begin, codes, bad in _slabs(batch, length, breaks):
         a, b, cut, g = cut_chunks(codes, bad, length, frequent)
         row = np.searchsorted(begin, a, "right") - 1
-        yield ids[row], offset[row] + a - begin[row], Prefix(g).digest(a, b), cut, a, b, codes
+        yield ids[row], offset[row] + a - begin[row], cut, a, b, g, codes
+
+
+def _cut_rows(length: int, breaks: bytes, frequent: Frequent | None):
+    """Of each cut hash in a slab the smallest and largest record id and the number of unlike chunks."""
+
+    def run(batches):
+        for batch in batches:
+            for ids, _, cut, a, b, g, _ in _located(batch, length, breaks, frequent):
+                if not len(a):
+                    continue
+                digest = Prefix(g).digest(a, b)
+                order = np.lexsort((digest, cut))
+                c, d, i = cut[order], digest[order], ids[order].astype(np.int64)
+                new = np.r_[True, c[1:] != c[:-1]]
+                first = np.flatnonzero(new)
+                unlike = np.add.reduceat((new | np.r_[True, d[1:] != d[:-1]]).astype(np.int64), first)
+                yield pa.RecordBatch.from_arrays([pa.array(c[first].view(np.int64)), pa.array(np.minimum.reduceat(i, first)), pa.array(np.maximum.reduceat(i, first)), pa.array(unlike)], names=["cut", "lo", "hi", "n"])
+
+    return run
 
 
 def _stretches(codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[str]:
@@ -197,42 +274,48 @@ def _stretches(codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[str]:
     return [raw[x * wide:y * wide].decode(how, "surrogatepass" if wide > 1 else "strict") for x, y in zip(a.tolist(), b.tolist())]
 
 
-SCHEMA = "cut long, digest long, lo long, hi long, chunk string"
+SCHEMA = "cut long, digest long, check long, lo long, hi long, n long, chunk string"
 HOT = 20_000
 
 
 def _merged(t: pa.Table) -> pa.Table:
-    """One row per cut hash and digest: the smallest ``lo`` and the largest ``hi``."""
-    cut, digest = t["cut"].to_numpy(), t["digest"].to_numpy()
-    order = np.lexsort((digest, cut))
-    c, d = cut[order], digest[order]
-    first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (c[1:] != c[:-1])])
+    """One row per cut hash and digest: the smallest ``lo``, the largest ``hi`` and the sum of ``n``."""
+    cut, digest, check = (t[c].to_numpy() for c in ("cut", "digest", "check"))
+    order = np.lexsort((check, digest, cut))
+    c, d, e = cut[order], digest[order], check[order]
+    first = np.flatnonzero(np.r_[True, (e[1:] != e[:-1]) | (d[1:] != d[:-1]) | (c[1:] != c[:-1])])
     lo = np.minimum.reduceat(t["lo"].to_numpy()[order], first)
     hi = np.maximum.reduceat(t["hi"].to_numpy()[order], first)
+    n = np.add.reduceat(t["n"].to_numpy()[order], first)
     one = t.take(pa.array(order[first]))
-    return pa.table({"cut": one["cut"], "digest": one["digest"], "lo": lo, "hi": hi, "chunk": one["chunk"]})
+    return pa.table({"cut": one["cut"], "digest": one["digest"], "check": one["check"], "lo": lo, "hi": hi, "n": n, "chunk": one["chunk"]})
 
 
-def _chunk_rows(length: int, breaks: bytes, frequent: Frequent | None):
-    """Chunks of each batch once; those that repeat within a batch are held back and go out once for many batches."""
+def _chunk_rows(length: int, breaks: bytes, frequent: Frequent | None, wanted: Bits):
+    """Chunks of wanted cut hashes, once for each batch; those that repeat within a batch are held back and go out once for many batches."""
 
     def run(batches):
         held: pa.Table | None = None
         for batch in batches:
-            for ids, _, digest, cut, a, b, codes in _located(batch, length, breaks, frequent):
+            for ids, _, cut, a, b, g, codes in _located(batch, length, breaks, frequent):
+                keep = wanted.has(cut)
+                ids, cut, a, b = ids[keep], cut[keep], a[keep], b[keep]
                 if not len(a):
                     continue
-                order = np.lexsort((ids, digest))
-                d = digest[order]
-                first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+                digest, check = Prefix(g).digest(a, b), Prefix(g, True).digest(a, b)
+                order = np.lexsort((ids, check, digest))
+                d, e = digest[order], check[order]
+                first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (e[1:] != e[:-1])])
                 last = np.r_[first[1:], len(d)] - 1
                 one = order[first]
                 t = pa.table(
                     {
                         "cut": cut[one].view(np.int64),
                         "digest": digest[one].view(np.int64),
+                        "check": check[one].view(np.int64),
                         "lo": ids[one].astype(np.int64),
                         "hi": ids[order[last]].astype(np.int64),
+                        "n": last - first + 1,
                         "chunk": _stretches(codes, a[one], b[one]),
                     }
                 )
@@ -279,35 +362,58 @@ def frequent_grams(rows: DataFrame, length: int, share: float = 1e-5) -> Frequen
     return Frequent([r.h for r in counted.filter(F.col("h").isNotNull() & (F.col("n") >= max(64.0, share * total.n))).collect()])
 
 
-def _place_rows(length: int, breaks: bytes, frequent: Frequent | None):
+def _place_rows(length: int, breaks: bytes, frequent: Frequent | None, found: Bits, hot: Bits, salts: int):
+    """Where the chunks with a shared stretch stand; those of hot chunks salted by record."""
+
     def run(batches):
         for batch in batches:
-            for ids, offset, digest, _, _, _, _ in _located(batch, length, breaks, frequent):
+            for ids, offset, _, a, b, g, _ in _located(batch, length, breaks, frequent):
+                digest = Prefix(g).digest(a, b)
+                keep = found.has(digest)
+                if not keep.any():
+                    continue
+                digest, ids, offset = digest[keep], ids[keep].astype(np.int64), offset[keep]
+                salt = np.where(hot.has(digest), (_mix(ids.view(np.uint64)) % _U(salts)).astype(np.int64), 0)
+                check = Prefix(g, True).digest(a[keep], b[keep])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(digest.view(np.int64)), pa.array(ids.astype(np.int64)), pa.array(offset)], names=["digest", "id", "at"]
+                    [pa.array(digest.view(np.int64)), pa.array(check.view(np.int64)), pa.array(salt), pa.array(ids), pa.array(offset)], names=["digest", "check", "salt", "id", "at"]
                 )
 
     return run
 
 
+def _salted_rows(hot: Bits, salts: int):
+    """The shared stretches, those of hot chunks once for each salt."""
+
+    def run(batches):
+        for t in batches:
+            times = np.where(hot.has(t.column(0).to_numpy(zero_copy_only=False)), salts, 1)
+            row = np.repeat(np.arange(t.num_rows), times)
+            salt = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in t.columns), pa.array(salt)], names=[*t.schema.names, "salt"])
+
+    return run
+
+
 def _runs(flags: np.ndarray):
     edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def resolve(digest, lo, hi, chunks: list[str], length: int):
-    """Shared stretches of the chunks of one or more cut hashes: digest, from, to (lists).
+def resolve(digest, check, lo, hi, n, chunks: list[str], length: int):
+    """Shared stretches of the chunks of one or more cut hashes: digest, check, from, to and the chunk's records (lists).
 
     A window is shared if the chunks that hold it come from two records.
     """
-    digest, lo, hi = np.asarray(digest, np.int64), np.asarray(lo, np.int64), np.asarray(hi, np.int64)
-    order = np.argsort(digest, kind="stable")
-    first = np.flatnonzero(np.r_[True, digest[order][1:] != digest[order][:-1]])
-    d, lo, hi = digest[order][first], np.minimum.reduceat(lo[order], first), np.maximum.reduceat(hi[order], first)
+    digest, check, lo, hi, n = (np.asarray(x, np.int64) for x in (digest, check, lo, hi, n))
+    order = np.lexsort((check, digest))
+    d, e = digest[order], check[order]
+    first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (e[1:] != e[:-1])])
+    d, e, lo, hi, n = d[first], e[first], np.minimum.reduceat(lo[order], first), np.maximum.reduceat(hi[order], first), np.add.reduceat(n[order], first)
     texts = [chunks[i] for i in order[first].tolist()]
     lengths = np.array([len(t) for t in texts], np.int64)
     whole = lo < hi
-    out = [d[whole], np.zeros(whole.sum(), np.int64), lengths[whole]]
+    out = [d[whole], e[whole], np.zeros(whole.sum(), np.int64), lengths[whole], n[whole]]
     if whole.all() or len(d) == 1:
         return out
     joined = "".join(texts)
@@ -317,9 +423,10 @@ def resolve(digest, lo, hi, chunks: list[str], length: int):
     which = np.repeat(np.arange(len(d)), per)
     place = np.arange(per.sum()) - np.repeat(np.concatenate([[0], np.cumsum(per)[:-1]]), per)
     at = begin[which] + place
-    w = Prefix(_gear(codes)).digest(at, at + length)
-    o = np.argsort(w, kind="stable")
-    f = np.flatnonzero(np.r_[True, w[o][1:] != w[o][:-1]])
+    g = _gear(codes)
+    w, v = Prefix(g).digest(at, at + length), Prefix(g, True).digest(at, at + length)
+    o = np.lexsort((v, w))
+    f = np.flatnonzero(np.r_[True, (w[o][1:] != w[o][:-1]) | (v[o][1:] != v[o][:-1])])
     several = np.minimum.reduceat(lo[which[o]], f) < np.maximum.reduceat(hi[which[o]], f)
     shared = np.empty(len(w), bool)
     shared[o] = np.repeat(several, np.diff(np.r_[f, len(w)]))
@@ -330,7 +437,11 @@ def resolve(digest, lo, hi, chunks: list[str], length: int):
     a, b = _runs(spread)
     chunk = np.searchsorted(np.cumsum(per + 1), a, "right")
     shift = (np.cumsum(per + 1) - (per + 1))[chunk]
-    return [np.concatenate([out[0], d[chunk]]), np.concatenate([out[1], a - shift]), np.concatenate([out[2], b - shift + length - 1])]
+    more = [d[chunk], e[chunk], a - shift, b - shift + length - 1, n[chunk]]
+    return [np.concatenate(x) for x in zip(out, more)]
+
+
+STRETCHES = "digest long, check long, a long, b long, n long"
 
 
 def _resolve_rows(length: int):
@@ -338,8 +449,8 @@ def _resolve_rows(length: int):
 
     def emit(parts):
         t = pa.Table.from_batches(parts)
-        d, a, b = resolve(t["digest"].to_numpy(), t["lo"].to_numpy(), t["hi"].to_numpy(), t["chunk"].to_pylist(), length)
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["digest", "a", "b"])
+        found = resolve(*(t[c].to_numpy() for c in ("digest", "check", "lo", "hi", "n")), t["chunk"].to_pylist(), length)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["digest", "check", "a", "b", "n"])
 
     def run(batches):
         held = None  # the last group, which may go on in the next batch
@@ -368,7 +479,23 @@ def _resolve_rows(length: int):
     return run
 
 
-def shared_stretches(df: DataFrame, id_col: str, text_col: str, length: int = 50, breaks: str = "") -> DataFrame:
+def _counted_cuts(rows: DataFrame, length: int, breaks: bytes, frequent: Frequent, most: int) -> tuple[DataFrame, Frequent]:
+    """The cut hashes of several records, and the frequent ones, to which those of more than ``most`` unlike chunks are added, at most twice."""
+    for last in (False, False, True):
+        counted = rows.mapInArrow(_cut_rows(length, breaks, frequent), "cut long, lo long, hi long, n long").groupBy("cut")
+        cuts = materialize(counted.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).filter("lo < hi").select("cut", "n"), "cuts")
+        # at most one for each ``most`` chunks of the table; the largest, if there are more than a task should be sent
+        large = [r.cut for r in cuts.filter(F.col("n") > most).orderBy(F.desc("n")).limit(MOST_FREQUENT).collect()]
+        grown = Frequent([*frequent.hashes.view(np.int64).tolist(), *large])
+        if last or len(grown.hashes) == len(frequent.hashes):
+            return cuts, frequent
+        frequent = grown
+
+
+MOST_FREQUENT = 1_000_000
+
+
+def shared_stretches(df: DataFrame, id_col: str, text_col: str, length: int = 50, breaks: str = "", most: int = 200_000, slot: int = 1_000_000) -> DataFrame:
     """Columns ``id``, ``span_from``, ``span_to``: what each record shares with others.
 
     A position is shared if it lies in a span of at least ``length`` characters,
@@ -378,7 +505,8 @@ def shared_stretches(df: DataFrame, id_col: str, text_col: str, length: int = 50
     again: their spans are joined too.
 
     Rows with a null id or text, and texts shorter than ``length``, have no
-    spans. Texts may be of any length. Equal texts under two ids are shared as a
+    spans. ``most`` is the number of unlike chunks that one task should get for a cut hash,
+    ``slot`` of places of one chunk. Texts may be of any length. Equal texts under two ids are shared as a
     whole. Other columns aren't read. An empty table gives an empty result.
     Ids are integers.
     """
@@ -389,11 +517,15 @@ def shared_stretches(df: DataFrame, id_col: str, text_col: str, length: int = 50
         F.col("id").isNotNull() & (F.length("text") >= length)
     )
     frequent = frequent_grams(rows, length)
-    chunks = rows.mapInArrow(_chunk_rows(length, cuts, frequent), SCHEMA)
+    cut_sizes, frequent = _counted_cuts(rows, length, cuts, frequent, most)
+    chunks = rows.mapInArrow(_chunk_rows(length, cuts, frequent, bits_of(cut_sizes.select("cut"))), SCHEMA)
     grouped = chunks.repartition("cut").sortWithinPartitions("cut")
-    found = materialize(grouped.mapInArrow(_resolve_rows(length), "digest long, a long, b long"), "stretches")
-    places = rows.mapInArrow(_place_rows(length, cuts, frequent), "digest long, id long, at long")
-    spans = places.join(found, "digest").select("id", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
+    found = materialize(grouped.mapInArrow(_resolve_rows(length), STRETCHES), "stretches")
+    salts = max(1, -(-(found.agg(F.max("n")).first()[0] or 0) // slot))
+    hot = bits_of(found.filter(F.col("n") > slot).select("digest").distinct())
+    spread = found.mapInArrow(_salted_rows(hot, salts), f"{STRETCHES}, salt long").drop("n")
+    places = rows.mapInArrow(_place_rows(length, cuts, frequent, bits_of(found.select("digest")), hot, salts), "digest long, check long, salt long, id long, at long")
+    spans = places.join(spread, ["digest", "check", "salt"]).select("id", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
     return join_spans(spans)
 
 

@@ -110,3 +110,34 @@ def test_lengths(spark, length):
     rng = np.random.default_rng(length)
     rows = [(k, "".join(rng.choice(list("ab" if length < 17 else "A"), int(rng.integers(0, 80))))) for k in range(25)]
     assert found(spark, rows, length) == brute(rows, length)
+
+
+def test_large_cut_groups_and_hot_chunks_are_split(spark):
+    rng = np.random.default_rng(11)
+    dna = lambda n: "".join(rng.choice(list("ACGT"), n))
+    hot, core = dna(70), dna(30)
+    rows = [(k, hot if k % 3 == 0 else dna(20) + core + dna(30)) for k in range(300)]
+    rows += [(1000 + k, rows[3 * k + 1][1]) for k in range(9)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    got = {(r.id, r.span_from, r.span_to) for r in S.shared_stretches(df, "id", "t", 50, most=20, slot=10).collect()}
+    assert got == brute(rows, 50)
+    _, frequent = S._counted_cuts(df.select("id", F.col("t").alias("text")), 50, b"", S.Frequent(), 20)
+    assert len(frequent.hashes)
+
+
+def test_bits_never_miss(spark):
+    h = np.random.default_rng(0).integers(-(1 << 62), 1 << 62, 5000)
+    df = spark.createDataFrame([(int(x),) for x in h], "h long").repartition(3)
+    assert S.bits_of(df).has(h).all() and S.bits_of(df, 16).has(h).all()
+    assert S.bits_of(df).has(h + 1).mean() < 0.1
+    assert not S.bits_of(df.limit(0)).has(h).any()
+
+
+def test_both_digests_tell_texts_apart():
+    codes = np.frombuffer("ababcabab".encode(), np.uint8)
+    g = S._gear(codes)
+    a = np.array([0, 5, 2])
+    for second in (False, True):
+        d = S.Prefix(g, second).digest(a, a + 4)
+        assert d[0] == d[1] != d[2]
+    assert S.Prefix(g).digest(a, a + 4)[0] != S.Prefix(g, True).digest(a, a + 4)[0]
