@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pcsv
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 
 FIELDS = ("name", "seq", "qual", "lane", "mate")
 LEAF = 12
+MOST_BYTES = 1 << 30
 
 _LINE = r'(?s)\A(?:[^",]*|"(?:[^"]|"")*")(?:,(?:[^",]*|"(?:[^"]|"")*"))*\z'
 _RULES = {
@@ -61,17 +63,16 @@ def diagnose(line: str | None) -> tuple[list[str] | None, list[str]]:
 
 
 def _bulk(lines: pa.Array) -> pa.Table | None:
-    """The fields of a block, or None if any line of it is out of order.
+    """The fields of a block, or None if the parser finds any line of it out of order.
 
-    A running number before each line proves that every record of the parser
-    is one line; the pattern proves that a parser more lenient than the rules
-    accepted nothing else.
+    A running number before each line proves that every record of the parser is one line.
     """
     n = len(lines)
-    if not pc.all(pc.match_substring_regex(lines, _LINE)).as_py():
+    if lines.nbytes > MOST_BYTES:
         return None
-    numbered = pc.binary_join_element_wise(pc.cast(pa.array(range(n)), pa.string()), lines, ",")
-    data = "\n".join(numbered.to_pylist()).encode()
+    numbered = pc.binary_join_element_wise(pc.cast(pa.array(np.arange(n)), pa.string()), lines, ",")
+    whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), numbered), "\n")
+    data = whole.cast(pa.binary())[0].as_buffer()
     try:
         t = pcsv.read_csv(
             pa.BufferReader(data),
@@ -81,52 +82,70 @@ def _bulk(lines: pa.Array) -> pa.Table | None:
         )
     except pa.ArrowInvalid:
         return None
-    if t.num_rows != n or t.column("i").to_pylist() != list(range(n)):
+    if t.num_rows != n or not np.array_equal(t["i"].to_numpy(), np.arange(n)):
         return None
     return t.drop_columns(["i"])
 
 
-def _sound(t: pa.Table):
+def _sound(t: pa.Table) -> np.ndarray:
     """For each row, whether all its values are valid."""
     ok = pc.equal(pc.utf8_length(t["seq"]), pc.utf8_length(t["qual"]))
     for k, rule in _RULES.items():
         ok = pc.and_(ok, pc.match_substring_regex(t[k], rule))
-    return ok
+    return ok.to_numpy().astype(bool)
 
 
-def parse_block(lines: pa.Array) -> tuple[list[list | None], list[list[str]]]:
-    """Fields and faults of each line of a block, in order."""
+def parse_block(lines: pa.Array) -> tuple[list[pa.Array], pa.Array]:
+    """The fields of each line of a block, null where it has a fault, and the lists of faults.
+
+    Valid lines stay in Arrow from end to end; Python sees the leaves only.
+    """
     n = len(lines)
-    fields: list = [None] * n
-    faults: list = [[] for _ in range(n)]
+    good: list[tuple[np.ndarray, list]] = []
+    faults: dict[int, list[str]] = {}
 
     def strictly(rows) -> None:
-        for i in rows:
-            fields[i], faults[i] = diagnose(lines[i].as_py())
-
-    present = pc.is_valid(lines)
-    rows = pc.indices_nonzero(present)
-    stripped = pc.replace_substring_regex(lines.take(rows), r"\r\z", "")
-    where = rows.to_pylist()
-    todo = [(0, len(where))]
-    strictly(pc.indices_nonzero(pc.invert(present)).to_pylist())
+        kept = []
+        for i in rows.tolist():
+            fields, found = diagnose(lines[i].as_py())
+            if found:
+                faults[i] = found
+            else:
+                kept.append((i, fields))
+        if kept:
+            good.append((np.array([i for i, _ in kept]), [pa.chunked_array([pa.array(c, pa.string())]) for c in zip(*(f for _, f in kept))]))
+
+    stripped = pc.replace_substring_regex(lines, r"\r\z", "")
+    # a parser more lenient than the rules can't accept what the pattern forbids
+    regular = pc.fill_null(pc.match_substring_regex(stripped, _LINE), False).to_numpy(zero_copy_only=False)
+    strictly(np.flatnonzero(~regular))
+    rows = np.flatnonzero(regular)
+    stripped = stripped.take(pa.array(rows))
+    todo = [(0, len(rows))]
     while todo:
         a, b = todo.pop()
         if b - a <= LEAF:
-            strictly(where[a:b])
+            strictly(rows[a:b])
             continue
         t = _bulk(stripped.slice(a, b - a))
         if t is None:
             m = (a + b) // 2
             todo += [(m, b), (a, m)]
             continue
-        ok = _sound(t).to_pylist()
-        columns = [t[k].to_pylist() for k in FIELDS]
-        for j, values in enumerate(zip(*columns)):
-            if ok[j]:
-                fields[where[a + j]] = values
-        strictly([where[a + j] for j, good in enumerate(ok) if not good])
-    return fields, faults
+        ok = _sound(t)
+        strictly(rows[a:b][~ok])
+        kept = t.filter(pa.array(ok))
+        good.append((rows[a:b][ok], [kept[k] for k in FIELDS]))
+    where = np.full(n, -1)
+    if good:
+        found = np.concatenate([i for i, _ in good])
+        where[found] = np.arange(len(found))
+    take = pa.array(where, mask=where < 0)
+    fields = [pa.chunked_array([c for _, cols in good for c in cols[k].chunks], pa.string()).combine_chunks().take(take) for k in range(len(FIELDS))]
+    count = np.zeros(n + 1, np.int32)
+    bad = sorted(faults)
+    count[np.array(bad, np.int64) + 1] = [len(faults[i]) for i in bad]
+    return fields, pa.ListArray.from_arrays(pa.array(np.cumsum(count, dtype=np.int32)), pa.array([x for i in bad for x in faults[i]], pa.string()))
 
 
 def parse_lines(df: DataFrame, id_col: str = "raw_id", line_col: str = "line") -> DataFrame:
@@ -147,21 +166,9 @@ def parse_lines(df: DataFrame, id_col: str = "raw_id", line_col: str = "line") -
             lines = batch.column(1)
             if pa.types.is_large_string(lines.type):
                 lines = lines.cast(pa.string())
-            fields, faults = parse_block(lines)
-            good = [f if not x else None for f, x in zip(fields, faults)]
-            col = [[g[k] if g is not None else None for g in good] for k in range(5)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(col[0], pa.string()),
-                    pa.array(col[1], pa.string()),
-                    pa.array(col[2], pa.string()),
-                    pa.array([v and int(v) for v in col[3]], pa.int32()),
-                    pa.array([v and int(v) for v in col[4]], pa.int8()),
-                    pa.array(faults, pa.list_(pa.string())),
-                ],
-                names=["id", *FIELDS, "faults"],
-            )
+            (name, seq, qual, lane, mate), faults = parse_block(lines)
+            columns = [batch.column(0), name, seq, qual, lane.cast(pa.int32()), mate.cast(pa.int8()), faults]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", *FIELDS, "faults"])
 
     schema = T.StructType(
         [T.StructField("id", id_type)]

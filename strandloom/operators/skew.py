@@ -1,7 +1,7 @@
 """Per-key totals that stay balanced when a few keys hold most rows.
 
-Stage one groups by key and salt, where only keys above a share of all rows
-get more than one salt; stage two merges the partial results by key. The salt
+Stage one groups by key and salt, where only keys with more rows than a part of
+a task's get more than one salt; stage two merges the partial results by key. The salt
 is a hash of the columns that identify a row rather than a random number: a
 task that runs again puts each row where it was before, and re-delivered copies
 of a row meet in one group and count once.
@@ -14,22 +14,32 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.runtime import materialize
 
-def heavy_keys(df: DataFrame, key: str, share: float = 0.005) -> DataFrame:
-    """Keys with at least ``share`` of all rows, and the salts each should get.
 
-    At most ``1 / share`` rows come out, whatever the size of the input. Counts
-    are combined on the map side, so no task sees more than its share of keys.
+#: Rows of one key and salt are at most this part of the mean rows of a task.
+PART = 0.25
+
+
+def heavy_keys(df: DataFrame, key: str, share: float | None = None) -> DataFrame:
+    """Keys with more rows than one salt should have, and the salts each should get.
+
+    A salt should hold a quarter of a task's mean rows, so the bound follows the
+    number of shuffle partitions; ``share`` of all rows sets it by hand. Rows are
+    counted in one pass, combined on the map side; the total is the sum of the
+    counts. No more keys come out than all tasks have slots: 4 x partitions, or
+    1 / ``share``, whatever the size of the input.
     """
-    if not 0 < share <= 1:
+    if share is not None and not 0 < share <= 1:
         raise ValueError("share must be in (0, 1]")
-    total = df.count()
-    slot = max(1.0, total * share)
-    counts = df.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = materialize(df.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n")), "counts")
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    part = share or PART / int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slot = max(1.0, total * part)
     return counts.filter(F.col("__n") >= slot).select("__key", F.ceil(F.col("__n") / slot).cast("int").alias("__salts"))
 
 
-def salted(df: DataFrame, key: str, row_id: Sequence[str], share: float = 0.005) -> DataFrame:
+def salted(df: DataFrame, key: str, row_id: Sequence[str], share: float | None = None) -> DataFrame:
     """``df`` with a column ``__salt``, partitioned by key and salt."""
     heavy = heavy_keys(df, key, share)
     spread = df.join(F.broadcast(heavy), F.col(key).eqNullSafe(F.col("__key")), "left")
@@ -37,7 +47,7 @@ def salted(df: DataFrame, key: str, row_id: Sequence[str], share: float = 0.005)
     return spread.withColumn("__salt", salt.cast("int")).drop("__key", "__salts").repartition(key, "__salt")
 
 
-def two_stage_totals(df: DataFrame, key: str, row_id: Sequence[str], sums: Sequence[str] = (), share: float = 0.005) -> DataFrame:
+def two_stage_totals(df: DataFrame, key: str, row_id: Sequence[str], sums: Sequence[str] = (), share: float | None = None) -> DataFrame:
     """Distinct rows and sums per key: columns ``key``, ``n_rows`` and ``sum_<c>``.
 
     * Rows that agree in ``row_id`` (nulls being alike) count once within a key;
@@ -62,6 +72,7 @@ def two_stage_totals(df: DataFrame, key: str, row_id: Sequence[str], sums: Seque
 
 
 def keys_above(totals: DataFrame, key: str, share: float) -> DataFrame:
-    """The keys of ``two_stage_totals`` with at least ``share`` of all its rows."""
-    whole = totals.agg(F.sum("n_rows").alias("__all"))
-    return totals.join(F.broadcast(whole), F.col("n_rows") >= share * F.col("__all")).select(key)
+    """The keys of ``two_stage_totals`` with at least ``share`` of all its rows; the totals, a row per key, are written once."""
+    written = materialize(totals.select(key, "n_rows"), "totals")
+    whole = written.agg(F.sum("n_rows")).first()[0] or 0
+    return written.filter(F.col("n_rows") >= F.lit(share) * F.lit(whole)).select(key)

@@ -48,3 +48,14 @@ def test_numbers_within_groups(spark):
             want[g, v] = k
     assert {(r.g, r.v): r.ordinal for r in got} == want and len(got) == 3000
     assert ordinals.number_rows(df.limit(0), ["g"], ["v"]).count() == 0
+
+
+def test_a_key_below_half_a_percent_is_split_where_tasks_are_many(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2000")
+    try:
+        df = spark.range(200_000).select(F.when(F.col("id") < 800, -1).otherwise(F.col("id")).alias("k"), "id")
+        heavy = skew.heavy_keys(df, "k").collect()
+        assert [(r["__key"], r["__salts"]) for r in heavy] == [(-1, 32)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
