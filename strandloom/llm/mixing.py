@@ -129,10 +129,10 @@ class Mix:
         return self.table.sparkSession.createDataFrame(rows, "source string, name string, target_share double, target double, full int, below long, short boolean")
 
     def documents(self) -> DataFrame:
-        """``doc_id``, ``source`` (as in the targets), ``tokens`` and ``repeats`` of each document used."""
+        """``doc_id``, ``source`` (as in the targets), ``tokens`` and ``repeats`` of each document used; ``whole``: all of its source are."""
         both = self.table.join(F.broadcast(self._plans()), "source")
         repeats = F.col("full") + F.when(F.col("h") < F.col("below"), 1).otherwise(0)
-        return both.select("doc_id", F.col("name").alias("source"), "tokens", repeats.alias("repeats")).filter("repeats > 0")
+        return both.select("doc_id", F.col("name").alias("source"), "tokens", repeats.alias("repeats"), (F.col("full") > 0).alias("whole")).filter("repeats > 0")
 
     def report(self) -> DataFrame:
         """For each target: tokens used, its part of the mix and of all documents, and whether it falls short."""

@@ -9,7 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.runtime import materialize
+
 BLOCK = 64
+#: Rows of a side that goes to all tasks.
+BROADCAST = 1_000_000
 
 
 def baskets(df: DataFrame, basket: str, items: str, weight: str) -> DataFrame:
@@ -55,26 +59,35 @@ def joint_weights(sets: DataFrame) -> DataFrame:
     return emit_pairs(sets).groupBy("a", "b").agg(F.sum("n").alias("w_ab"), F.count(F.lit(1)).alias("k_ab"))
 
 
-def lift_table(sets: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+def _sent(items: DataFrame) -> DataFrame:
+    """Sent to all tasks if its counted rows allow it, else joined by key."""
+    return F.broadcast(items) if items.count() <= BROADCAST else items
+
+
+def lift_table(sets: DataFrame, keep: DataFrame | None = None, single: DataFrame | None = None) -> DataFrame:
     """Every pair with its joint weight, lift and pointwise mutual information.
 
     Columns ``a``, ``b``, ``w_ab``, ``k_ab``, ``w_a``, ``w_b``, ``lift`` (joint
     weight over the weight expected by chance) and ``pmi`` (its logarithm to
     base 2). ``keep``: items (column ``item``) to which the pairs are limited;
-    the marginals are those of all baskets all the same. An empty input gives an
+    the marginals are those of all baskets all the same (``single``, if they are
+    at hand). Items go to all tasks where there are few; otherwise hot ones are
+    joined by key, which adaptive execution splits. An empty input gives an
     empty result.
     """
-    whole = sets.agg(F.sum("n").alias("N"))
-    single = marginals(sets)
+    whole = sets.agg(F.sum("n")).first()[0] or 0
+    single = materialize(marginals(sets), "marginals") if single is None else single
     inner = sets
     if keep is not None:
-        rows = sets.select("id", "n", F.explode("items").alias("item")).join(keep.select("item"), "item", "left_semi")
+        rows = sets.select("id", "n", F.explode("items").alias("item")).join(_sent(keep.select("item")), "item", "left_semi")
         inner = rows.groupBy("id", "n").agg(F.array_sort(F.collect_list("item")).alias("items"))
+        single = single.join(keep.select("item"), "item", "left_semi")
+    single = _sent(single)
     pairs = joint_weights(inner)
     a = single.select(F.col("item").alias("a"), F.col("w").alias("w_a"))
     b = single.select(F.col("item").alias("b"), F.col("w").alias("w_b"))
-    lift = F.col("w_ab") * F.col("N").cast("double") / (F.col("w_a").cast("double") * F.col("w_b"))
-    return pairs.join(a, "a").join(b, "b").join(F.broadcast(whole)).withColumn("lift", lift).withColumn("pmi", F.log2("lift")).drop("N")
+    lift = F.col("w_ab") * F.lit(float(whole)) / (F.col("w_a").cast("double") * F.col("w_b"))
+    return pairs.join(a, "a").join(b, "b").withColumn("lift", lift).withColumn("pmi", F.log2("lift"))
 
 
 def associated(sets: DataFrame, min_share: float, min_lift: float, min_baskets: int) -> DataFrame:
@@ -85,8 +98,9 @@ def associated(sets: DataFrame, min_share: float, min_lift: float, min_baskets:
     marginal, items above N / min_lift can't be either. Both cuts are exact and
     take the hot items away before any pair is emitted.
     """
-    n = F.col("N").cast("double")
-    whole = sets.agg(F.sum("n").alias("N"))
-    items = marginals(sets).join(F.broadcast(whole), (F.col("w") >= min_share * n) & (F.col("w") * min_lift <= n) & (F.col("k") >= min_baskets))
-    table = lift_table(sets, items.select("item"))
-    return table.join(F.broadcast(whole), F.col("w_ab") >= min_share * n).filter((F.col("lift") >= min_lift) & (F.col("k_ab") >= min_baskets)).drop("N")
+    n = float(sets.agg(F.sum("n")).first()[0] or 0)
+    single = materialize(marginals(sets), "marginals")
+    # weights of items add up to at most n x the largest basket, so no more than 1 / min_share of them for each of its items
+    items = materialize(single.filter((F.col("w") >= min_share * n) & (F.col("w") * min_lift <= n) & (F.col("k") >= min_baskets)), "items")
+    table = lift_table(sets, items, single)
+    return table.filter((F.col("w_ab") >= min_share * n) & (F.col("lift") >= min_lift) & (F.col("k_ab") >= min_baskets))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +24,18 @@ def tokenizer(vocabulary: str = VOCABULARY, pattern: str = PATTERN):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def _shipped(spark, vocabulary: str) -> str:
+    """The name by which tasks find the file: it goes to every executor once per application, so only the driver needs the path."""
+    sc = spark.sparkContext
+    sent = getattr(sc, "_strandloom_vocabularies", None)
+    if sent is None:
+        sent = sc._strandloom_vocabularies = set()
+    if vocabulary not in sent:
+        sc.addFile(vocabulary)
+        sent.add(vocabulary)
+    return os.path.basename(vocabulary)
+
+
 def with_tokens(df: DataFrame, text_col: str, keep: list, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """The columns ``keep`` and ``tokens``, the number of tokens of the whole text.
 
@@ -31,8 +44,12 @@ def with_tokens(df: DataFrame, text_col: str, keep: list, vocabulary: str = VOCA
     chosen = df.select(F.col(text_col).alias("__text"), *keep)
     fields = chosen.schema.fields[1:]
 
+    name = _shipped(df.sparkSession, vocabulary)
+
     def run(batches):
-        encode = tokenizer(vocabulary, pattern).encode_ordinary
+        from pyspark import SparkFiles
+
+        encode = tokenizer(SparkFiles.get(name), pattern).encode_ordinary
         for b in batches:
             n = [len(encode(t)) if t else 0 for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n, pa.int64())], names=[*b.schema.names[1:], "tokens"])
