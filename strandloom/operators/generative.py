@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from strandloom.runtime import materialize
 
 BUCKETS, MAX_LENGTH, TINY = 64, 1000, 1e-300
+#: Alignments of a smaller share of their read don't count.
+LEAST_SHARE = 1e-6
 
 
 @dataclass
@@ -58,16 +60,29 @@ def uniform(targets: DataFrame) -> Model:
     return Model(t["tid"].to_numpy(), t["len"].to_numpy(), np.full(n + 1, 1.0 / (n + 1)))
 
 
+def _reach(m: Model, a: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The chance of the buckets where a fragment of that length can begin on its target, and the last of them (from 0)."""
+    n = m.lengths[a["t"]]
+    places = np.clip((n - a["f_len"] + 1) * (BUCKETS / n), 0.0, BUCKETS)
+    whole = np.minimum(places.astype(int), BUCKETS - 1)
+    before = np.concatenate([[0.0], np.cumsum(m.start)])
+    last = np.clip(((n - a["f_len"]) * (BUCKETS / n)).astype(int), 0, BUCKETS - 1)
+    return before[whole] + (places - whole) * m.start[whole], last
+
+
 def _likelihood(m: Model, a: dict[str, np.ndarray]) -> np.ndarray:
     """Of each alignment given its target."""
-    fits = np.minimum(m.lengths[a["t"]], MAX_LENGTH).astype(int)
+    n = m.lengths[a["t"]]
+    fits = np.minimum(n, MAX_LENGTH).astype(int)
     f = np.clip(a["f_len"], 0, MAX_LENGTH)
     length = np.where(f <= fits, m.length[f] / np.maximum(m.cumulated[fits], TINY), 0.0)
     q = min(max(m.mismatch, 1e-9), 1 - 1e-9)
     wrong = np.minimum(a["dis"], a["len"])
     errors = q**wrong * (1 - q) ** (a["len"] - wrong)
     side = np.where(a["ori"] == 1, m.forward, 1 - m.forward)
-    return length * m.start[a["bucket"] - 1] * side * errors
+    # a bucket's chance is shared by its places; only those where the fragment fits can be seen
+    start = m.start[a["bucket"] - 1] * (BUCKETS / n) / np.maximum(_reach(m, a)[0], 1e-12)
+    return length * start * side * errors
 
 
 def _columns(batch, tids: np.ndarray):
@@ -90,7 +105,8 @@ def _posteriors(m: Model, a, joint: np.ndarray):
     _, first, which = np.unique(a["r"], return_index=True, return_inverse=True)
     noise = m.p[0] * 0.25 ** a["len"][first].astype(float)
     total = np.maximum(np.bincount(which, joint) + noise, TINY)
-    return joint / total[which], noise / total
+    share = joint / total[which]
+    return np.where(share >= LEAST_SHARE, share, 0.0), noise / total
 
 
 def _statistics(m: Model, only_p: bool):
@@ -112,6 +128,9 @@ def _statistics(m: Model, only_p: bool):
             f = np.bincount(np.clip(a["f_len"], 0, MAX_LENGTH), post, MAX_LENGTH + 1)
             y = np.bincount(np.minimum(m.lengths[a["t"]], MAX_LENGTH).astype(int), post, MAX_LENGTH + 1)
             s = np.bincount(a["bucket"] - 1, post, BUCKETS)
+            seen, last = _reach(m, a)
+            z = np.bincount(last, post / np.maximum(seen, 1e-12), BUCKETS)
+            out += [("z", k, z[k]) for k in np.flatnonzero(z)]
             out += [("f", k, f[k]) for k in np.flatnonzero(f)] + [("y", k, y[k]) for k in np.flatnonzero(y)] + [("s", k, s[k]) for k in np.flatnonzero(s)]
             out += [("o", 0, post[a["ori"] == 1].sum()), ("o", 1, post.sum()), ("d", 0, (post * a["dis"]).sum()), ("d", 1, (post * a["len"]).sum())]
         kind, key, value = zip(*out)
@@ -120,6 +139,28 @@ def _statistics(m: Model, only_p: bool):
     return run
 
 
+def start_distribution(x: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Chances of the start buckets from the mass ``x`` seen in each and the mass ``z`` by the last bucket that could be seen.
+
+    A bucket's chance is its mass over what could have shown it, shifted by one
+    number so that the chances add up to 1: the root of a falling convex
+    function, which Newton's steps reach from the left without passing it.
+    """
+    passed = np.concatenate([[0.0], np.cumsum(z)[:-1]])
+    kept = x > 0
+    if not kept.any():
+        return np.full(len(x), 1.0 / len(x))
+    at = (passed + x)[kept].max()  # no chance is above 1
+    for _ in range(200):
+        rest = at - passed[kept]
+        off = (x[kept] / rest).sum() - 1
+        if off <= 1e-9:
+            break
+        at += off / (x[kept] / rest**2).sum()
+    out = np.where(kept, x / np.where(kept, at - passed, 1.0), 0.0)
+    return out / out.sum()
+
+
 def _maximise(m: Model, sums: dict[tuple[str, int], float], unmapped: float, only_p: bool) -> Model:
     p = np.zeros(len(m.p))
     for (kind, key), v in sums.items():
@@ -140,7 +181,7 @@ def _maximise(m: Model, sums: dict[tuple[str, int], float], unmapped: float, onl
     if pdf.sum() > 0:
         new.length = pdf / pdf.sum()
     if s.sum() > 0:
-        new.start = s / s.sum()
+        new.start = start_distribution(s, vector("z", BUCKETS))
     new.forward = sums.get(("o", 0), 0.0) / max(sums.get(("o", 1), 0.0), TINY)
     new.mismatch = sums.get(("d", 0), 0.0) / max(sums.get(("d", 1), 0.0), TINY)
     return new
@@ -151,13 +192,14 @@ def prepare(aligns: DataFrame, most: int = 1000) -> DataFrame:
 
     ``aligns`` has the columns ``read``, ``len``, ``tid``, ``bucket``, ``f_len``,
     ``dis`` and ``ori``. Reads with ``most`` or more alignments are left out, as
-    the model has it, before any is nested; so are alignments with a null.
+    the model has it, before any is nested; so are alignments with a null. Where
+    the rows of a read differ in ``len`` the largest stands.
     """
     cols = [F.col(c).cast(t) for c, t in (("read", "long"), ("len", "int"), ("tid", "int"), ("bucket", "int"), ("f_len", "int"), ("dis", "int"), ("ori", "int"))]
     rows = aligns.select(*cols).dropna()
     many = rows.groupBy("read").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= most).select("read")
     kept = rows.join(many, "read", "left_anti")
-    nested = kept.groupBy("read").agg(F.first("len").alias("len"), F.collect_list(F.struct("tid", "bucket", "f_len", "dis", "ori")).alias("aligns"))
+    nested = kept.groupBy("read").agg(F.max("len").alias("len"), F.collect_list(F.struct("tid", "bucket", "f_len", "dis", "ori")).alias("aligns"))
     return materialize(nested.select("len", "aligns"), "aligns")
 
 
@@ -177,27 +219,45 @@ def _extrapolated(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     g = -max(np.linalg.norm(r) / size, 1.0)
     out = a - 2 * g * r + g * g * v
     out = np.where(out > 0, out, c / 10)
-    return out / out.sum()
+    return out / max(out.sum(), TINY)
+
+
+def _jumped(a: Model, b: Model, c: Model) -> Model:
+    """Each distribution of three successive models extrapolated by itself."""
+
+    def two(x, y, z):
+        return float(_extrapolated(*(np.array([v, 1 - v]) for v in (x, y, z)))[0])
+
+    return Model(
+        a.tids, a.lengths, _extrapolated(a.p, b.p, c.p), _extrapolated(a.length, b.length, c.length), _extrapolated(a.start, b.start, c.start),
+        two(a.forward, b.forward, c.forward), two(a.mismatch, b.mismatch, c.mismatch),
+    )
+
+
+def _settled(old: Model, new: Model) -> bool:
+    big = new.p >= 1e-7
+    return not (np.abs(new.p - old.p)[big] >= 1e-3 * new.p[big]).any()
 
 
 def fit(targets: DataFrame, table: DataFrame, unmapped: float = 0.0, full: int = 10, most: int = 200) -> Model:
-    """Full rounds first, then rounds of the target weights alone until none above 1e-7 changes by 1e-3.
+    """Up to ``full`` accelerated loops of the whole model, then loops of the target weights alone, until no weight of at least 1e-7 changes by 1e-3.
 
-    The model's ``converged`` tells whether that was met within ``most`` rounds.
+    A loop is two rounds, the extrapolation of the three models and a round from
+    there. The model's ``converged`` tells whether the weights came to rest within ``most`` loops.
     """
-    m = uniform(targets)
-    for _ in range(full):
-        m = step(m, table, unmapped)
-    for _ in range(most):
-        one = step(m, table, unmapped, True)
-        two = step(one, table, unmapped, True)
-        jump = Model(m.tids, m.lengths, _extrapolated(m.p, one.p, two.p), m.length, m.start, m.forward, m.mismatch)
-        new = step(jump, table, unmapped, True)
-        big = new.p >= 1e-7
-        done = not (np.abs(new.p - m.p)[big] >= 1e-3 * new.p[big]).any()
+    m = step(uniform(targets), table, unmapped)
+    for k in range(full + most):
+        only_p = k >= full
+        one = step(m, table, unmapped, only_p)
+        two = step(one, table, unmapped, only_p)
+        if only_p:
+            jump = Model(m.tids, m.lengths, _extrapolated(m.p, one.p, two.p), m.length, m.start, m.forward, m.mismatch)
+        else:
+            jump = _jumped(m, one, two)
+        new = step(jump, table, unmapped, only_p)
+        new.converged = _settled(m, new)
         m = new
-        if done:
-            m.converged = True
+        if m.converged:
             break
     return m
 

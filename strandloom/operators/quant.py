@@ -14,7 +14,9 @@ from strandloom.runtime import materialize
 
 MAX_CLASS_ERROR = 7
 MIN_ROUNDS, MAX_ROUNDS = 50, 1000
-COLLECT_LIMIT = 5_000_000
+#: Rows of a side that goes to all tasks.
+BROADCAST = 2_000_000
+COLLECT_LIMIT = 1_000_000
 
 
 def classes(hits: DataFrame, read: str, tid: str = "tid", err: str | None = None) -> DataFrame:
@@ -114,14 +116,15 @@ def abundance(targets: DataFrame, cls: DataFrame, mean_length: float, limit: int
     return out.select("tid", F.coalesce("unique_map", F.lit(0)).cast("long").alias("unique_map"), "length", eff.alias("eff_length"), "est_counts", "tpm")
 
 
-def round_of(targets: DataFrame, cls: DataFrame, rates: DataFrame) -> DataFrame:
+def round_of(targets: DataFrame, cls: DataFrame, rates: DataFrame, small: bool = False) -> DataFrame:
     """One round as a DataFrame: ``tid`` and ``rate``.
 
     Members meet their rate on tid, then their class's total on the class; both
     aggregates combine on the map side, so a target that is in a third of all
-    classes costs one row per task.
+    classes costs one row per task. ``small``: rates, a row per target, were
+    counted and may go to all tasks, which spares hot targets a join by key.
     """
-    members = cls.select(F.col("refs").alias("c"), "n", F.explode("refs").alias("tid")).join(rates, "tid")
+    members = cls.select(F.col("refs").alias("c"), "n", F.explode("refs").alias("tid")).join(F.broadcast(rates) if small else rates, "tid")
     total = members.groupBy("c").agg(F.sum("rate").alias("total"))
     shares = members.join(total, "c").filter("total > 0").groupBy("tid").agg(F.sum(F.col("n") * F.col("rate") / F.col("total")).alias("got"))
     return targets.select("tid", "len").join(shares, "tid", "left").select("tid", (F.coalesce("got", F.lit(0.0)) / F.col("len")).alias("rate"))
@@ -134,9 +137,9 @@ def start_rates(targets: DataFrame) -> DataFrame:
 
 def rounds(targets: DataFrame, cls: DataFrame, n: int, every: int = 3) -> DataFrame:
     """``n`` plain rounds as DataFrames; every few rounds the rates are written and their lineage cut."""
-    rates = start_rates(targets)
+    rates, small = start_rates(targets), targets.count() <= BROADCAST
     for k in range(n):
-        rates = round_of(targets, cls, rates)
+        rates = round_of(targets, cls, rates, small)
         if (k + 1) % every == 0 and k + 1 < n:
             rates = materialize(rates, "rates")
     return rates
@@ -158,10 +161,10 @@ def _jumped(rates: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
 def squarem_rounds(targets: DataFrame, cls: DataFrame, least: int = MIN_ROUNDS, most: int = MAX_ROUNDS) -> DataFrame:
     """``squarem`` as DataFrame rounds; only the two standard deviations and the outcome of the stop test go to the driver."""
     targets, cls = materialize(targets.select("tid", "len"), "targets"), materialize(cls.select("refs", "n"), "classes")
-    rates = materialize(start_rates(targets), "rates")
+    rates, small = materialize(start_rates(targets), "rates"), targets.count() <= BROADCAST
     for k in range(most):
-        one = materialize(round_of(targets, cls, rates), "rates")
-        new = materialize(round_of(targets, cls, _jumped(rates, one, round_of(targets, cls, one))), "rates")
+        one = materialize(round_of(targets, cls, rates, small), "rates")
+        new = materialize(round_of(targets, cls, _jumped(rates, one, round_of(targets, cls, one, small)), small), "rates")
         done = False
         if k + 1 >= least:
             both = rates.withColumnRenamed("rate", "old").join(new, "tid")
@@ -172,13 +175,18 @@ def squarem_rounds(targets: DataFrame, cls: DataFrame, least: int = MIN_ROUNDS,
     return rates
 
 
-def bootstrap(targets: DataFrame, cls: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
+def bootstrap(targets: DataFrame, cls: DataFrame, replicates: int, seed: int = 0, limit: int = COLLECT_LIMIT) -> DataFrame:
     """``bs``, ``tid`` and ``est_counts`` of each replicate.
 
     All classes, unique ones included, are drawn anew from one multinomial per
     replicate; each replicate has a generator of its own, so a task that runs
-    again gives the same numbers. Replicates run side by side.
+    again gives the same numbers. Up to ``limit`` classes replicates run side by
+    side on arrays; beyond it they are drawn in parts of the classes and run as
+    DataFrame rounds with the same steps and stop test.
     """
+    cls = materialize(cls.select("refs", "n"), "classes")
+    if cls.count() > limit:
+        return _large_bootstrap(targets, cls, replicates, seed, limit)
     spark = targets.sparkSession
     tids, problem = _problem(targets, cls)
     shared = spark.sparkContext.broadcast((tids, problem))
@@ -197,6 +205,37 @@ def bootstrap(targets: DataFrame, cls: DataFrame, replicates: int, seed: int = 0
     return ids.mapInPandas(run, "bs int, tid int, est_counts double")
 
 
+def redrawn(cls: DataFrame, bs: int, seed: int, part: int) -> DataFrame:
+    """The classes with counts of one multinomial over all of them, drawn in parts of about ``part`` classes.
+
+    The total goes to the parts by their sums first, then to the classes of each
+    part in order; both draws have seeds of their own.
+    """
+    parts = max(1, -(-cls.count() // part))
+    split = cls.withColumn("part", F.pmod(F.xxhash64("refs"), F.lit(parts)).cast("int"))
+    sums = {r.part: int(r.n) for r in split.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # a row per part
+    whole = sum(sums.values())
+    shares = np.random.default_rng([seed, bs]).multinomial(whole, [sums.get(k, 0) / whole for k in range(parts)]).tolist() if whole else [0] * parts
+
+    def draw(frame: pd.DataFrame) -> pd.DataFrame:
+        k = int(frame["part"].iloc[0])
+        frame = frame.assign(key=[tuple(r) for r in frame["refs"]]).sort_values("key")
+        n = frame["n"].to_numpy(float)
+        drawn = np.random.default_rng([seed, bs, k]).multinomial(shares[k], n / n.sum())
+        return pd.DataFrame({"refs": frame["refs"], "n": drawn})
+
+    return split.groupBy("part").applyInPandas(draw, "refs array<int>, n long").filter("n > 0")
+
+
+def _large_bootstrap(targets: DataFrame, cls: DataFrame, replicates: int, seed: int, part: int) -> DataFrame:
+    out = None
+    for bs in range(replicates):
+        rates = squarem_rounds(targets, redrawn(cls, bs, seed, part))
+        one = rates.join(targets.select("tid", "len"), "tid").select(F.lit(bs + 1).alias("bs"), "tid", (F.col("rate") * F.col("len")).alias("est_counts"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def gene_rollup(ab: DataFrame, genes: DataFrame, gene: str = "gene_id", values: Sequence[str] = ("est_counts", "tpm")) -> DataFrame:
     """Sums by gene with the gene's name; targets without a gene fall out."""
     return ab.groupBy(gene).agg(*[F.sum(v).alias(v) for v in values]).join(genes, gene)

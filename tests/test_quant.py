@@ -117,3 +117,39 @@ def test_written_tables_can_be_released(spark):
     assert df.count() == 3 and os.path.exists(path)
     runtime.release(spark)
     assert not os.path.exists(path)
+
+
+def test_large_inputs_are_drawn_and_run_alike(spark):
+    lengths, cls, truth = simulated(1)
+    t, c = tables(spark, cls, lengths)
+    one = quant.redrawn(c, 0, 5, 4)
+    assert one.agg({"n": "sum"}).first()[0] == 20000 and sorted(map(tuple, one.collect())) == sorted(map(tuple, quant.redrawn(c.repartition(3), 0, 5, 4).collect()))
+    few = [((0, 1), 4000), ((0,), 300), ((1, 2), 700), ((2,), 50)]
+    t, c = tables(spark, few, [400, 500, 600])
+    small = {r.tid: r.est_counts for r in quant.bootstrap(t, c, 40, seed=2).groupBy("tid").agg({"est_counts": "avg"}).withColumnRenamed("avg(est_counts)", "est_counts").collect()}
+    large = {r.tid: r.est_counts for r in quant.bootstrap(t, c, 1, seed=2, limit=2).groupBy("tid").agg({"est_counts": "avg"}).withColumnRenamed("avg(est_counts)", "est_counts").collect()}
+    assert abs(sum(large.values()) - 5050) < 1e-6 and all(abs(small[k] - large[k]) < 400 for k in small)
+
+
+def test_start_distribution_is_recovered_where_short_targets_hide_the_end():
+    rng = np.random.default_rng(4)
+    true = np.linspace(1, 4, generative.BUCKETS)
+    true /= true.sum()
+    seen, last = [], []
+    for n in (300, 400, 1000):
+        f = 200
+        end = int((n - f) * generative.BUCKETS / n)
+        part = true[: end + 1] / true[: end + 1].sum()
+        seen.append(rng.choice(end + 1, 40000, p=part))
+        last += [(end, true[: end + 1].sum())] * 40000
+    x = np.bincount(np.concatenate(seen), minlength=generative.BUCKETS).astype(float)
+    got = np.full(generative.BUCKETS, 1 / generative.BUCKETS)
+    for _ in range(60):
+        z = np.zeros(generative.BUCKETS)
+        for end in {e for e, _ in last}:
+            z[end] += sum(e == end for e, _ in last) / got[: end + 1].sum()
+        got = generative.start_distribution(x, z)
+    top = max(e for e, _ in last) + 1
+    want = true[:top] / true[:top].sum()
+    assert np.abs(got[:top] / got[:top].sum() - want).sum() < 0.05
+    assert np.abs(x[:top] / x.sum() - want).sum() > 0.3
