@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.seq import K
-from strandloom.operators import dp, kmers
+from strandloom.operators import dp, kmers, skew
 from strandloom.runtime import materialize
 
 MAX_FRAGMENT, MAX_PAIR_ERROR, SLACK = 1000, 7, 7
@@ -33,20 +34,63 @@ def seeded_enough(chain: DataFrame, length: Column, k: int = K) -> DataFrame:
     return chain.filter((F.col("n_seeds") >= 2) | (F.floor(length / k) <= 2))
 
 
-def extend(chain: DataFrame, reads: DataFrame, targets: DataFrame, key: list[str], slack: int = SLACK) -> DataFrame:
-    """Aligns each chain's read to its place on the target: ``pos``, ``err``, ``score`` and ``cigar``.
+def _tile_rows(size: int, overlap: int):
+    def run(batches):
+        for b in batches:
+            tids, numbers, texts = [], [], []
+            for tid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for k in range(0, max(1, -(-len(text or "") // size))):
+                    tids.append(tid)
+                    numbers.append(k)
+                    texts.append((text or "")[k * size:(k + 1) * size + overlap])
+            yield pa.RecordBatch.from_arrays([pa.array(tids, b.schema.field(0).type), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], names=["tid", "__tile", "__text"])
 
-    The reads come back by key, the target's window by tid; only the window
-    goes to the kernel. Alignments off the target or with more than half of the
-    read wrong are dropped.
+    return run
+
+
+class Tiles:
+    """Targets cut into overlapping tiles, so that a place brings its surroundings and not a whole contig.
+
+    Any window of at most ``window`` bases lies in the tile where it begins.
+    Tiles as long as ten windows make the overlaps a tenth of the sequence.
+    """
+
+    def __init__(self, targets: DataFrame, window: int):
+        self.size = max(2000, 10 * window)
+        tid = targets.schema["tid"].dataType.simpleString()
+        self.rows = targets.select("tid", "seq").mapInArrow(_tile_rows(self.size, window), f"tid {tid}, __tile int, __text string")
+
+    def windows(self, places: DataFrame, start: str, length: Column, row_id: list[str]) -> DataFrame:
+        """``places`` (a written table) with ``__window``: ``length`` bases of the target from ``start`` on, what the target has of them.
+
+        A target with a large part of all places is salted.
+        """
+        at = F.floor(F.col(start) / self.size)
+        own = places.withColumn("__at", F.concat_ws(":", F.col("tid").cast("string"), at.cast("string"))).withColumn("__len", length)
+        tiles = self.rows.select(F.concat_ws(":", F.col("tid").cast("string"), F.col("__tile").cast("string")).alias("__at"), "__text")
+        both = skew.balanced_join(own, tiles, "__at", row_id)
+        return both.withColumn("__window", F.substring("__text", (F.col(start) - at * self.size + 1).cast("int"), F.col("__len"))).drop("__at", "__text", "__len")
+
+
+def longest(reads: DataFrame, seq: str = "seq") -> int:
+    return reads.agg(F.max(F.length(seq))).first()[0] or 1
+
+
+def extend(chain: DataFrame, reads: DataFrame, targets: DataFrame, key: list[str], slack: int = SLACK, most: int | None = None) -> DataFrame:
+    """Aligns each chain's read to its place on the target: ``pos``, ``err``, ``score`` and ``cigar``, and the other columns of ``chain``.
+
+    The reads come back by key, the surroundings of the place by tile; only the
+    window goes to the kernel. Alignments off the target or with more than half of the
+    read wrong are dropped. ``most``: the longest read, if known.
     """
     r = reads.select(*key, F.col("seq").alias("__read"))
-    t = targets.select("tid", F.col("seq").alias("__target"))
     start = F.greatest(F.col("pos") - F.col("off") - slack, F.lit(0))
-    joined = chain.join(r, key).join(t, "tid").withColumn("__start", start)
-    window = F.substring("__target", F.col("__start") + 1, F.length("__read") + 2 * slack)
-    done = joined.select(*key, "tid", "n_seeds", "__start", F.length("__read").alias("len"), dp.align_in_window("__read", window).alias("a"))
-    return done.filter(F.col("a.err") * 2 <= F.col("len")).select(*key, "tid", "n_seeds", "len", (F.col("__start") + F.col("a.start")).alias("pos"), F.col("a.err").alias("err"), F.col("a.score").alias("score"), F.col("a.cigar").alias("cigar"))
+    joined = materialize(chain.join(r, key).withColumn("__start", start), "chains")
+    tiles = Tiles(targets, (most or longest(reads)) + 2 * slack)
+    near = tiles.windows(joined, "__start", F.length("__read") + 2 * slack, [*key, "chain"])
+    kept = [c for c in chain.columns if c not in (*key, "tid", "chain", "off", "pos", "last_off", "last_pos")]
+    done = near.select(*key, "tid", *kept, "__start", F.length("__read").alias("len"), dp.align_in_window("__read", "__window").alias("a"))
+    return done.filter(F.col("a.err") * 2 <= F.col("len")).select(*key, "tid", *kept, "len", (F.col("__start") + F.col("a.start")).cast("int").alias("pos"), F.col("a.err").alias("err"), F.col("a.score").alias("score"), F.col("a.cigar").alias("cigar"))
 
 
 def best(hits: DataFrame, group: list[str], by: str = "err") -> DataFrame:
@@ -64,22 +108,45 @@ def guided(hits: DataFrame, mate_hits: DataFrame, on: list[str]) -> DataFrame:
     return hits.join(mate_hits.select(*on).distinct(), on, "left_semi")
 
 
-def map_reads(reads: DataFrame, targets: DataFrame, index: DataFrame, key: list[str], k: int = K, stride: int = 14, per_strand: bool = False) -> DataFrame:
+GUIDED, MULTIPLE, SINGLE = 0, 1, 2
+
+
+def map_reads(reads: DataFrame, targets: DataFrame, index: DataFrame, key: list[str], k: int = K, stride: int = 14, per_strand: bool = False, mate: str | None = None) -> DataFrame:
     """Best hits of each read over both strands (or on each): ``key``, ``strand``, ``tid``, ``pos``, ``err``, ``cigar``.
 
-    Reads seed at the wide stride first; only those without a hit (an
-    anti-join) seed again at the narrow one.
+    Reads seed at the wide stride first, where a chain needs several seeds. Only
+    those without a hit (an anti-join) seed again at the narrow one, in three
+    passes, each for what the one before left without a hit: chains on targets that
+    the mate hit on the other strand, chains of several seeds, single seeds.
+    ``mate`` names the column of ``key`` that tells the mates (1 and 2) of a
+    pair apart; without it there is nothing to guide by.
     """
     turned = kmers.both_strands(reads.filter(F.length("seq") >= k))
-    full = [*key, "strand"]
-
-    def stage(some, step):
-        c = chains(kmers.seed_hits(some, index, full, "seq", k, step), full, k)
-        return best(extend(c, some, targets, full), full if per_strand else key)
-
-    wide = materialize(stage(turned, k), "hits")  # read twice: as hits, and to tell which reads are left
-    rest = turned.join(wide.select(*key).distinct(), key, "left_anti")
-    return wide.unionByName(stage(rest, stride)).dropDuplicates([*full, "tid", "pos"])
+    full, most = [*key, "strand"], longest(reads)
+    group = full if per_strand else key
+
+    def seeded(some, step):
+        c = chains(kmers.seed_hits(some, index, full, "seq", k, step, spread=True), full, k)
+        length = some.select(*full, F.length("seq").alias("__n"))
+        return c.join(length, full).withColumn("rank", F.when((F.col("n_seeds") >= 2) | (F.floor(F.col("__n") / k) <= 2), MULTIPLE).otherwise(SINGLE)).drop("__n")
+
+    first = seeded(turned, k).filter(F.col("rank") == MULTIPLE)
+    wide = materialize(best(extend(first, turned, targets, full, most=most), group), "hits")
+    rest = materialize(turned.join(wide.select(*key).distinct(), key, "left_anti"), "rest")
+    left = seeded(rest, stride)
+    if mate:
+        pair = [c for c in key if c != mate]
+        hit = wide.select(*pair, (3 - F.col(mate)).alias(mate), (1 - F.col("strand")).alias("strand"), "tid", F.lit(True).alias("__guided")).distinct()
+        left = left.join(hit, [*full, "tid"], "left").withColumn("rank", F.when(F.col("__guided"), GUIDED).otherwise(F.col("rank"))).drop("__guided")
+    left = materialize(left, "seeded")
+    found = None
+    for rank in (GUIDED, MULTIPLE, SINGLE) if mate else (MULTIPLE, SINGLE):
+        some = left.filter(F.col("rank") == rank)
+        if found is not None:
+            some = some.join(found.select(*group).distinct(), group, "left_anti")
+        hits = materialize(best(extend(some, rest, targets, full, most=most), group), "hits")
+        found = hits if found is None else found.unionByName(hits)
+    return wide.unionByName(found).drop("rank").dropDuplicates([*full, "tid", "pos"])
 
 
 def introns(hits: DataFrame, reads: DataFrame, contigs: DataFrame, index: DataFrame, key: list[str], k: int = K, within: int = 2_000_000) -> DataFrame:
@@ -102,43 +169,51 @@ def introns(hits: DataFrame, reads: DataFrame, contigs: DataFrame, index: DataFr
     at = at.withColumn("split_pos", F.col("__p") - F.col("at")).select(*key, "strand", "tid", "pos", "__span", "side", "seg_len", "split_pos").distinct()
     gap = F.when(F.col("side") == "start", F.col("pos") - F.col("split_pos") - F.col("seg_len")).otherwise(F.col("split_pos") - F.col("pos") - F.col("__span"))
     near = at.withColumn("gap", gap).filter((F.col("gap") > 0) & (F.col("gap") <= within))
-    same = near.join(seg.select(*key, "strand", "tid", "pos", "side", "segment"), [*key, "strand", "tid", "pos", "side"]).join(contigs.select("tid", F.col("seq").alias("__seq")), "tid")
-    exact = same.filter(F.substring("__seq", F.col("split_pos") + 1, F.col("seg_len")) == F.col("segment"))
+    same = materialize(near.filter("split_pos >= 0").join(seg.select(*key, "strand", "tid", "pos", "side", "segment"), [*key, "strand", "tid", "pos", "side"]), "segments")
+    cut = Tiles(contigs, longest(same, "segment")).windows(same, "split_pos", F.col("seg_len"), [*key, "split_pos"])
+    exact = cut.filter(F.col("__window") == F.col("segment"))
     return best(exact, [*key, "strand", "tid", "pos", "side"], "gap").select(*key, "strand", "tid", "pos", "side", "seg_len", "split_pos", "gap")
 
 
-def proper_pairs(left: DataFrame, right: DataFrame, pair: str, most: int = MAX_FRAGMENT) -> DataFrame:
-    """Mates on one target within ``most`` bases of each other.
+def proper_pairs(left: DataFrame, right: DataFrame, pair: str, most: int | None = MAX_FRAGMENT, carry: list[str] = ()) -> DataFrame:
+    """Mates on one target within ``most`` bases of each other, or at any distance.
 
     An equi-join on pair, target and stretch of the target with the distance as
     a residual filter, so that hits of a repeat meet near ones only; each hit
-    keeps its nearest mate (smallest distance, then places).
+    keeps its nearest mate (smallest distance, then places). At any distance the
+    hits of a pair on one target meet, which are few. ``carry``: more columns of both sides, with 1 and 2 behind.
     """
-    a = left.select(pair, "tid", F.col("pos").alias("pos1"), F.col("err").alias("err1"))
-    b = right.select(pair, "tid", F.col("pos").alias("pos2"), F.col("err").alias("err2"))
-    stretch = F.floor(F.col("pos1") / (most + 1)), F.floor(F.col("pos2") / (most + 1))
-    a = a.withColumn("__at", stretch[0])
-    b = b.withColumn("__at", F.explode(F.array(stretch[1] - 1, stretch[1], stretch[1] + 1)))
-    both = a.join(b, [pair, "tid", "__at"]).drop("__at").withColumn("dist", F.abs(F.col("pos1") - F.col("pos2"))).filter(F.col("dist") <= most)
+    cols = ["pos", "err", *carry]
+    a = left.select(pair, "tid", *[F.col(c).alias(f"{c}1") for c in cols])
+    b = right.select(pair, "tid", *[F.col(c).alias(f"{c}2") for c in cols])
+    on = [pair, "tid"]
+    if most is not None:
+        at1, at2 = F.floor(F.col("pos1") / (most + 1)), F.floor(F.col("pos2") / (most + 1))
+        a = a.withColumn("__at", at1)
+        b = b.withColumn("__at", F.explode(F.array(at2 - 1, at2, at2 + 1)))
+        on.append("__at")
+    both = a.join(b, on).drop("__at").withColumn("dist", F.abs(F.col("pos1") - F.col("pos2")))
+    both = both if most is None else both.filter(F.col("dist") <= most)
     one = Window.partitionBy(pair, "tid", "pos1").orderBy("dist", "pos2")
     two = Window.partitionBy(pair, "tid", "pos2").orderBy("dist", "pos1")
     ranked = both.withColumn("__a", F.row_number().over(one)).withColumn("__b", F.row_number().over(two))
     return ranked.filter("__a = 1 AND __b = 1").drop("__a", "__b")
 
 
-def rescue(hits: DataFrame, mates: DataFrame, targets: DataFrame, pair: str, within: int = MAX_FRAGMENT) -> DataFrame:
+def rescue(hits: DataFrame, mates: DataFrame, targets: DataFrame, pair: str, within: int = MAX_FRAGMENT, most: int | None = None) -> DataFrame:
     """Finds a mate without a hit by local alignment near each hit of its partner.
 
     Only pairs with one mate missing get here (an anti-join), and only the
-    window of the target goes to the kernel. Accepted: score of at least a
+    window of the target, by tile, goes to the kernel. Accepted: score of at least a
     quarter of the read, at most half of it wrong; the least error wins.
     """
-    near = hits.join(mates.select(pair, F.col("seq").alias("__mate")), pair).join(targets.select("tid", F.col("seq").alias("__target")), "tid")
-    near = near.withColumn("__start", F.greatest(F.col("pos") - within, F.lit(0)))
-    window = F.substring("__target", F.col("__start") + 1, F.lit(2 * within) + F.length("__mate"))
-    done = near.select(pair, "tid", F.col("pos").alias("mate_pos"), "__start", F.length("__mate").alias("len"), dp.align_locally("__mate", window).alias("a"))
+    near = hits.select(pair, "tid", "pos").join(mates.select(pair, F.col("seq").alias("__mate")), pair)
+    near = materialize(near.withColumn("__start", F.greatest(F.col("pos") - within, F.lit(0))), "near")
+    tiles = Tiles(targets, 2 * within + (most or longest(mates)))
+    cut = tiles.windows(near, "__start", F.lit(2 * within) + F.length("__mate"), [pair, "pos"])
+    done = cut.select(pair, "tid", F.col("pos").alias("mate_pos"), "__start", F.length("__mate").alias("len"), dp.align_locally("__mate", "__window").alias("a"))
     good = done.filter((F.col("a.score") * 4 >= F.col("len")) & (F.col("a.err") * 2 <= F.col("len")))
-    out = good.select(pair, "tid", "mate_pos", "len", (F.col("__start") + F.col("a.start")).alias("pos"), F.col("a.err").alias("err"), F.col("a.cigar").alias("cigar"))
+    out = good.select(pair, "tid", "mate_pos", "len", (F.col("__start") + F.col("a.start")).cast("int").alias("pos"), F.col("a.err").alias("err"), F.col("a.cigar").alias("cigar"))
     return best(out, [pair])
 
 

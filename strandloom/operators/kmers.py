@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.functions.seq import K
+from strandloom.operators import skew
+from strandloom.runtime import materialize
 
 _CODE = np.full(256, 4, np.uint8)
 for _i, _c in enumerate("ACGT"):
@@ -83,9 +87,25 @@ def postings(targets: DataFrame, tid: str = "tid", seq: str = "seq", k: int = K)
     return kmers(targets, [tid], seq, k).select("kmer", F.col(tid).alias("tid"), F.col("at").alias("pos"))
 
 
+def _combined(batches):
+    """Postings of each k-mer and target within a batch."""
+    for b in batches:
+        kmer, tid = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+        if len(kmer):
+            o = np.lexsort((tid, kmer))
+            k, t = kmer[o], tid[o]
+            first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (t[1:] != t[:-1])])
+            yield pa.RecordBatch.from_arrays([pa.array(k[first]), pa.array(t[first]), pa.array(np.diff(np.r_[first, len(k)]))], names=["kmer", "tid", "n"])
+
+
 def frequencies(index: DataFrame) -> DataFrame:
-    """Postings and targets of each k-mer; both stages combine on the map side."""
-    per = index.groupBy("kmer", "tid").agg(F.count(F.lit(1)).alias("n"))
+    """Postings and targets of each k-mer.
+
+    Postings are combined by target before they move, so a k-mer has a row per
+    target and batch at most; they are partitioned by k-mer once, and both aggregates run there.
+    """
+    rows = index.select("kmer", F.col("tid").cast("int").alias("tid")).mapInArrow(_combined, "kmer long, tid int, n long").repartition("kmer")
+    per = rows.groupBy("kmer", "tid").agg(F.sum("n").alias("n"))
     return per.groupBy("kmer").agg(F.sum("n").alias("n_postings"), F.count(F.lit(1)).alias("n_targets"))
 
 
@@ -109,14 +129,36 @@ def capped(index: DataFrame, most: int) -> DataFrame:
     return index.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= most).drop("__n")
 
 
-def write_index(spark, index: DataFrame, table: str, buckets: int = 64) -> None:
-    index.write.mode("overwrite").bucketBy(buckets, "kmer").sortBy("kmer").saveAsTable(table)
+def write_index(index: DataFrame, path: str, buckets: int = 64) -> None:
+    """The postings as Parquet files bucketed and sorted by k-mer; ``read_index`` joins them without a shuffle."""
+    spark = index.sparkSession
+    table = f"strandloom_{uuid.uuid4().hex}"
+    index.select("kmer", "tid", "pos").repartition(buckets, "kmer").write.mode("overwrite").bucketBy(buckets, "kmer").sortBy("kmer").option("path", path).saveAsTable(table)
+    spark.sql(f"DROP TABLE {table}")  # the files stay
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}-buckets")
 
 
-def seed_hits(reads: DataFrame, index: DataFrame, key: list[str], seq: str = "seq", k: int = K, stride: int = 14) -> DataFrame:
-    """Columns ``key``, ``off`` (place on the read), ``tid``, ``pos`` and ``diag`` (pos - off)."""
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The postings that ``write_index`` wrote, known to be bucketed; the catalog entry ends with the session's."""
+    buckets = spark.read.parquet(f"{path}-buckets").first()[0]
+    table = f"strandloom_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {table} (kmer BIGINT, tid INT, pos INT) USING parquet CLUSTERED BY (kmer) SORTED BY (kmer) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(table)
+
+
+def seed_hits(reads: DataFrame, index: DataFrame, key: list[str], seq: str = "seq", k: int = K, stride: int = 14, spread: bool = False) -> DataFrame:
+    """Columns ``key``, ``off`` (place on the read), ``tid``, ``pos`` and ``diag`` (pos - off).
+
+    ``spread``: seeds are written once and counted; those of k-mers with more
+    seeds than a part of a task's are joined by k-mer and salt, the rest as they are, so
+    that poly-A doesn't wait for one task and a bucketed index isn't shuffled.
+    """
     seeds = kmers(reads, key, seq, k, stride, last=True).withColumnRenamed("at", "off")
-    return seeds.join(index, "kmer").select(*key, "off", "tid", "pos", (F.col("pos") - F.col("off")).alias("diag"))
+    if spread:
+        joined = skew.balanced_join(materialize(seeds, "seeds"), index, "kmer", [*key, "off"])
+    else:
+        joined = seeds.join(index, "kmer")
+    return joined.select(*key, "off", "tid", "pos", (F.col("pos") - F.col("off")).alias("diag"))
 
 
 def both_strands(reads: DataFrame, seq: str = "seq") -> DataFrame:

@@ -47,6 +47,25 @@ def salted(df: DataFrame, key: str, row_id: Sequence[str], share: float | None =
     return spread.withColumn("__salt", salt.cast("int")).drop("__key", "__salts").repartition(key, "__salt")
 
 
+def balanced_join(rows: DataFrame, other: DataFrame, key: str, row_id: Sequence[str], share: float | None = None) -> DataFrame:
+    """Inner join on ``key`` in which no task gets more than its part of ``rows`` for one key.
+
+    ``rows`` is read twice and should be a written table. Keys without too many rows join as
+    they are (a bucketed ``other`` isn't shuffled); of the heavy ones rows are
+    salted and the few rows of ``other`` that have such a key repeated for each
+    salt. Null keys join nothing.
+    """
+    heavy = heavy_keys(rows.filter(F.col(key).isNotNull()), key, share)
+    if heavy.limit(1).count() == 0:
+        return rows.join(other, key)
+    heavy = F.broadcast(heavy.withColumnRenamed("__key", key))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in row_id]), F.col("__salts")).cast("int").alias("__salt")
+    one = rows.join(heavy, key).select(*rows.columns, salt)
+    two = other.join(heavy, key).select(*other.columns, F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__salt"))
+    hot = one.join(two, [key, "__salt"]).drop("__salt")
+    return rows.join(heavy, key, "left_anti").join(other, key).unionByName(hot)
+
+
 def two_stage_totals(df: DataFrame, key: str, row_id: Sequence[str], sums: Sequence[str] = (), share: float | None = None) -> DataFrame:
     """Distinct rows and sums per key: columns ``key``, ``n_rows`` and ``sum_<c>``.
 
