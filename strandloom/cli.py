@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.plans import pipeline
-from strandloom.runtime import materialize
+from strandloom.runtime import materialize, release
 from strandloom.sources import tables
 
 
@@ -29,9 +29,11 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--gtf", required=True)
     b.add_argument("--outdir", required=True)
     b.add_argument("--contigs", type=int, help="only the first so many contigs")
+    b.add_argument("--with-genome", action="store_true", help="save the contigs' index too")
     i = sub.add_parser("index", help="index of transcripts")
     i.add_argument("-t", dest="transcripts", required=True)
     i.add_argument("-o", dest="out", required=True)
+    i.add_argument("-g", dest="genome", help="genome FASTA whose index is saved too")
     q = sub.add_parser("quant", help="abundance of reads")
     q.add_argument("-1", dest="left", nargs="+", required=True)
     q.add_argument("-2", dest="right", nargs="+", default=[])
@@ -40,7 +42,9 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("-b", dest="bootstraps", type=int, default=0)
     q.add_argument("-w", dest="bam", help="write alignments to this BAM file")
     q.add_argument("-z", dest="level", type=_level, default=-1)
-    q.add_argument("-f", dest="genome", help="genome FASTA for pairs that the transcriptome doesn't hold")
+    q.add_argument("-f", dest="genome", help="genome FASTA for reads that the transcriptome doesn't hold; not needed if the index holds it")
+    q.add_argument("-p", dest="prefix", default="", help="prefix of the output files")
+    q.add_argument("--on-transcripts", action="store_true", help="places of the BAM file on transcripts, as the model wants them, even if exons are known")
     q.add_argument("--seed", type=int, default=0)
     m = sub.add_parser("model", help="abundance by the generative model from a BAM file")
     m.add_argument("bam")
@@ -55,20 +59,29 @@ def main(argv: list[str] | None = None) -> int:
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(message)s")
     spark = SparkSession.builder.appName("strandloom").getOrCreate()
     logging.info("%s", vars(args))
+    try:
+        _run(spark, args)
+    finally:
+        release(spark)  # outputs are written; nothing reads the intermediate tables any more
+    return 0
+
+
+def _run(spark: SparkSession, args) -> None:
     if args.command == "build":
-        pipeline.build_index(spark, args.fasta, args.gtf, args.outdir, args.contigs)
+        pipeline.build_index(spark, args.fasta, args.gtf, args.outdir, args.contigs, args.with_genome)
     elif args.command == "index":
-        pipeline.index_transcripts(spark, args.transcripts, args.out)
+        pipeline.index_transcripts(spark, args.transcripts, args.out, args.genome)
     elif args.command == "quant":
-        index = tables.load_index(spark, args.index, ("transcripts", "genes", "postings"))
+        index = tables.load_index(spark, args.index)
         if args.right:
-            done = pipeline.quantify_pairs(spark, index, args.left, args.right, args.out, args.bootstraps, args.bam, args.level, args.seed, args.genome)
-            logging.info("%s", done["summary"].first().asDict())
+            done = pipeline.quantify_pairs(spark, index, args.left, args.right, args.out, args.bootstraps, args.bam, args.level, args.seed, args.genome, args.prefix, args.on_transcripts)
+            for r in done["unpaired"].collect():
+                logging.warning("%d pairs left out: %s", r.n, {k: v for k, v in r.asDict().items() if k != "n"})
         else:
-            pipeline.quantify_single(spark, index, args.left, args.out, args.bootstraps, args.seed)
+            done = pipeline.quantify_single(spark, index, args.left, args.out, args.bootstraps, args.bam, args.level, args.seed, args.genome, args.prefix, args.on_transcripts)
+        logging.info("%s", done["summary"].first().asDict())
     else:
         model(spark, args.bam, args.out)
-    return 0
 
 
 def model(spark: SparkSession, path: str, out: str):

@@ -175,6 +175,21 @@ def introns(hits: DataFrame, reads: DataFrame, contigs: DataFrame, index: DataFr
     return best(exact, [*key, "strand", "tid", "pos", "side"], "gap").select(*key, "strand", "tid", "pos", "side", "seg_len", "split_pos", "gap")
 
 
+def with_introns(hits: DataFrame) -> DataFrame:
+    """Hits whose clipped ends stand beyond an intron (``start``, ``end``: gap, seg_len and split_pos of ``introns``, or null), joined to them by ``N``."""
+
+    def op(kind, n):
+        return F.array(F.struct(F.lit(kind).alias("op"), n.cast("int").alias("len"), F.lit("").alias("ref")))
+
+    cigar, n = F.col("cigar"), F.size("cigar")
+    headed = F.when(F.col("start").isNotNull(), F.concat(op("=", F.col("start.seg_len")), op("N", F.col("start.gap")), F.slice(cigar, F.lit(2), n - 1))).otherwise(cigar)
+    size = F.size("__c")
+    tailed = F.when(F.col("end").isNotNull(), F.concat(F.slice("__c", F.lit(1), size - 1), op("N", F.col("end.gap")), op("=", F.col("end.seg_len")))).otherwise(F.col("__c"))
+    err = F.col("err") - F.coalesce(F.col("start.seg_len"), F.lit(0)) - F.coalesce(F.col("end.seg_len"), F.lit(0))
+    out = hits.withColumn("__c", headed).withColumn("cigar", tailed).withColumn("pos", F.coalesce(F.col("start.split_pos"), F.col("pos")).cast("int"))
+    return out.withColumn("err", err.cast("int")).drop("__c", "start", "end")
+
+
 def proper_pairs(left: DataFrame, right: DataFrame, pair: str, most: int | None = MAX_FRAGMENT, carry: list[str] = ()) -> DataFrame:
     """Mates on one target within ``most`` bases of each other, or at any distance.
 

@@ -20,6 +20,7 @@ def number_rows(df: DataFrame, group: list[str], order: list[str], to: str = "or
     keys = [*group, *order]
     placed = materialize(df.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()), "ranges")
     counts = placed.groupBy(*group, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    # without a group: a row per range
     before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     begins = counts.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     within = Window.partitionBy(*group, "__range").orderBy(*order)

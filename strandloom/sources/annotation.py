@@ -49,7 +49,8 @@ def transcriptome(contigs: DataFrame, rows: DataFrame) -> dict[str, DataFrame]:
 
 
 def numbered(df: DataFrame, name: str, to: str) -> DataFrame:
-    """Adds a dense INT id in order of ``name``. Reference tables only: they fit one sort of some hundred thousand names."""
-    from pyspark.sql import Window
+    """Adds a dense INT id in order of ``name``; only the distinct names are numbered, by ranges, and joined back."""
+    from strandloom.operators.ordinals import number_rows
 
-    return df.withColumn(to, (F.row_number().over(Window.orderBy(name)) - 1).cast("int"))
+    names = number_rows(df.select(name).distinct(), [], [name], "__n")
+    return df.join(names.select(name, (F.col("__n") - 1).cast("int").alias(to)), name).select(*df.columns, to)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import importlib.util
 import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.operators import kmers
+
 
 def _tsv(df: DataFrame, path: str, order: str, header: list[str]) -> None:
     """One file in order; result tables have a row per target or gene, not per read."""
@@ -63,13 +66,35 @@ def load_model(spark: SparkSession, path: str):
     return Model.from_json(json.loads(spark.read.text(path, wholetext=True).first()[0]))
 
 
-def save_index(tables: dict[str, DataFrame], path: str) -> None:
+INDEX_VERSION = 2
+
+
+def has_hdf5() -> bool:
+    return importlib.util.find_spec("h5py") is not None
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def save_index(tables: dict[str, DataFrame], path: str, postings: DataFrame) -> None:
+    """The tables as Parquet, the postings bucketed by k-mer."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
+    kmers.write_index(postings, f"{path}/postings")
+
+
+def save_genome(contigs: DataFrame, postings: DataFrame, path: str) -> None:
+    """Contigs beside an index, with postings bucketed by k-mer."""
+    contigs.write.mode("overwrite").parquet(f"{path}/contigs")
+    kmers.write_index(postings, f"{path}/contig_postings")
 
 
-def load_index(spark: SparkSession, path: str, names=("transcripts", "genes", "exons", "chroms", "postings")) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables that the index has."""
+    found = {n: spark.read.parquet(f"{path}/{n}") for n in ("transcripts", "genes", "exons", "chroms", "contigs") if _exists(spark, f"{path}/{n}")}
+    return found | {n: kmers.read_index(spark, f"{path}/{n}") for n in ("postings", "contig_postings") if _exists(spark, f"{path}/{n}")}
 
 
 def write_fasta(df: DataFrame, path: str, name: str = "name", seq: str = "seq", order: str | None = None) -> None:
