@@ -22,9 +22,34 @@ def band_join(left: DataFrame, right: DataFrame, a: str, b: str, width: int, on:
 
 
 def nearest(left: DataFrame, right: DataFrame, key: list[str], a: str, b: str, width: int, on: list[str]) -> DataFrame:
-    """For each left row (``key``) the right rows of least distance within the width; ties kept."""
-    near = band_join(left, right, a, b, width, on).withColumn("dist", F.abs(F.col(a) - F.col(b)))
-    return near.withColumn("__rank", F.rank().over(Window.partitionBy(*key).orderBy("dist"))).filter("__rank = 1").drop("__rank")
+    """For each left row (``key``) the right rows of least distance ``dist`` within the width; ties kept.
+
+    No pairs are formed before the nearest place is known: places of both sides
+    are sorted within bins of the width, a running last and first place tell the
+    neighbours in the bin, and the outermost places of the bins beside it the
+    rest. Only rows of the places found are joined. A null place joins nothing.
+    """
+    size = max(1, width)
+    keys = list(dict.fromkeys([*key, *on, a]))
+    own = left.filter(F.col(a).isNotNull()).select(*keys, F.floor(F.col(a) / size).alias("__bin"), F.col(a).alias("__p")).distinct()
+    there = right.filter(F.col(b).isNotNull()).select(*on, F.floor(F.col(b) / size).alias("__bin"), F.col(b).alias("__p")).distinct()
+    events = own.withColumn("__b", F.lit(None).cast("long")).withColumn("__own", F.lit(True)).unionByName(
+        there.withColumn("__b", F.col("__p").cast("long")).withColumn("__own", F.lit(False)), allowMissingColumns=True
+    )
+    w = Window.partitionBy(*on, "__bin").orderBy("__p")
+    before = F.max("__b").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.min("__b").over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    inner = events.withColumn("__lo", before).withColumn("__hi", after).filter("__own")
+    edge = there.groupBy(*on, "__bin").agg(F.min("__p").alias("__first"), F.max("__p").alias("__last"))
+    inner = inner.join(edge.select(*on, (F.col("__bin") + 1).alias("__bin"), F.col("__last").alias("__lo2")), [*on, "__bin"], "left")
+    inner = inner.join(edge.select(*on, (F.col("__bin") - 1).alias("__bin"), F.col("__first").alias("__hi2")), [*on, "__bin"], "left")
+    lo, hi = F.coalesce("__lo", "__lo2"), F.coalesce("__hi", "__hi2")
+    dist = F.least(F.col("__p") - lo, hi - F.col("__p"))
+    found = inner.withColumn("dist", dist).filter(F.col("dist") <= width)
+    at = F.explode(F.array_distinct(F.filter(F.array(F.when(F.col("__p") - lo == F.col("dist"), lo), F.when(hi - F.col("__p") == F.col("dist"), hi)), lambda x: x.isNotNull()))).alias("__at")
+    places = found.select(*keys, "dist", at)
+    met = places.join(right.withColumn("__at", F.col(b).cast("long")), [*on, "__at"]).drop("__at")
+    return left.join(met, keys)
 
 
 def overlaps(left: DataFrame, right: DataFrame, on: str, a: tuple[str, str], b: tuple[str, str], size: int) -> DataFrame:

@@ -47,6 +47,13 @@ def em_squarem(spark, sf):
     return a.filter("est_counts > 0").select("tid", "unique_map", "length", "eff_length", F.round("est_counts", 4).alias("est_counts"), F.round("tpm", 4).alias("tpm"))
 
 
+def em_accelerated(spark, sf):
+    """Two accelerated rounds as DataFrames."""
+    targets = _targets(spark, sf)
+    r = quant.squarem_rounds(targets, _classes(spark, sf), least=2, most=2)
+    return r.join(targets, "tid").select("tid", F.round(F.col("rate") * F.col("len"), 4).alias("est_counts"))
+
+
 def reads_to_abundance(spark, sf):
     """From reads to abundance: seeds, chains, alignments, classes, accelerated EM."""
     t = read_table(spark, sf, "transcripts").select("tid", "len", F.upper("seq").alias("seq"))
@@ -58,8 +65,12 @@ def reads_to_abundance(spark, sf):
 
 
 def bootstrap(spark, sf):
-    b = quant.bootstrap(_targets(spark, sf), _classes(spark, sf), 4, seed=1)
-    return b.filter("est_counts > 0").groupBy("bs").agg(F.count(F.lit(1)).alias("n_targets"), F.round(F.sum("est_counts"), 2).alias("total"))
+    """Totals of four replicates, and how many targets of no class got counts."""
+    c = _classes(spark, sf)
+    b = quant.bootstrap(_targets(spark, sf), c, 4, seed=1)
+    known = c.select(F.explode("refs").alias("tid"), F.lit(True).alias("known")).distinct()
+    stray = F.count_if(F.col("known").isNull() & (F.col("est_counts") > 1e-6))
+    return b.join(known, "tid", "left").groupBy("bs").agg(F.count(F.lit(1)).alias("n_targets"), F.round(F.sum("est_counts"), 2).alias("total"), stray.alias("n_stray"))
 
 
 def class_unique(spark, sf):
@@ -115,19 +126,33 @@ def round_change(spark, sf):
     return out.select(F.round("max_change", 6).alias("max_change"), "n_above_1e3", "n_above_1e7")
 
 
-def generative_model(spark, sf):
-    """Abundance by the generative model over the alignment table; reads without any mapped alignment are noise."""
+def _model_table(spark, sf):
+    """The written alignments of the model, and the number of reads without a mapped one."""
     a = read_table(spark, sf, "f_align").filter("trans_id >= 0").select("align_id", "read_id", "trans_id", "pos", "f_len", "dis", "ori").distinct()
     n_unmapped = read_table(spark, sf, "reads").select("read_id").distinct().join(a.select("read_id"), "read_id", "left_anti").count()
     r = read_table(spark, sf, "reads").select(F.col("read_id").alias("read"), "len").distinct()
     rows = a.select(F.col("read_id").alias("read"), F.col("trans_id").alias("tid"), F.col("pos").alias("bucket"), "f_len", "dis", "ori").join(r, "read")
-    table = generative.prepare(rows)
-    model = generative.fit(_targets(spark, sf), table, float(n_unmapped))
+    return generative.prepare(rows), float(n_unmapped)
+
+
+def generative_model(spark, sf):
+    """Abundance by the generative model over the alignment table; reads without any mapped alignment are noise."""
+    table, n_unmapped = _model_table(spark, sf)
+    model = generative.fit(_targets(spark, sf), table, n_unmapped)
     if not model.converged:
         raise RuntimeError("the generative model's weights haven't converged")
     return generative.result(spark, model, table.count() + n_unmapped).filter("read_count > 0.01").select("tid", "length", *[F.round(c, 3).alias(c) for c in ("eff_length", "read_count", "tpm", "fpkm")])
 
 
+def model_step(spark, sf):
+    """One round of the generative model from uniform distributions: weights (key -1 is noise), fragment lengths, orientation and mismatches."""
+    table, n_unmapped = _model_table(spark, sf)
+    m = generative.step(generative.uniform(_targets(spark, sf)), table, n_unmapped)
+    rows = [("weight", int(k), float(v)) for k, v in zip([-1, *m.tids.tolist()], m.p) if v > 1e-9]
+    rows += [("length", k, float(v)) for k, v in enumerate(m.length) if v > 1e-9] + [("forward", 0, float(m.forward)), ("mismatch", 0, float(m.mismatch))]
+    return spark.createDataFrame(rows, "kind string, key int, value double").select("kind", "key", F.round("value", 8).alias("value"))
+
+
 def noise_likelihoods(spark, sf):
     """Log-likelihood of reads as noise, by length, and start buckets of the middle of transcripts."""
     t = _targets(spark, sf)
@@ -177,6 +202,39 @@ r{k} AS (SELECT t.tid, coalesce(got, 0) / len AS rate FROM transcripts t LEFT JO
 
 _EM = f"{_C}, m AS (SELECT refs, n, unnest(refs) AS tid FROM c), r0 AS (SELECT tid, 1.0::DOUBLE / (SELECT count(*) FROM transcripts) AS rate FROM transcripts)"
 
+def _step(new: str, old: str) -> str:
+    """The table ``new`` of rates after one plain round from ``old``."""
+    return f"""s_{new} AS MATERIALIZED (SELECT m.refs, sum(rate) AS total FROM m JOIN {old} USING (tid) GROUP BY 1),
+g_{new} AS MATERIALIZED (SELECT tid, sum(n * rate / total) AS got FROM m JOIN {old} USING (tid) JOIN s_{new} USING (refs) WHERE total > 0 GROUP BY 1),
+{new} AS MATERIALIZED (SELECT t.tid, coalesce(got, 0) / len AS rate FROM transcripts t LEFT JOIN g_{new} USING (tid))"""
+
+
+def _accelerated(k: int) -> str:
+    """The table ``q<k>`` of rates after accelerated round k."""
+    old = "r0" if k == 1 else f"q{k - 1}"
+    return f"""{_step(f'a{k}', old)}, {_step(f'b{k}', f'a{k}')},
+d{k} AS MATERIALIZED (SELECT tid, x.rate AS x, b.rate AS x2, a.rate - x.rate AS r, (b.rate - a.rate) - (a.rate - x.rate) AS v FROM {old} x JOIN a{k} a USING (tid) JOIN b{k} b USING (tid)),
+w{k} AS MATERIALIZED (SELECT least(-(stddev_samp(r) / stddev_samp(v)), -1.0) AS al, stddev_samp(v) AS sv FROM d{k}),
+j{k} AS MATERIALIZED (SELECT tid, CASE WHEN sv > 0 AND x - 2 * al * r + al * al * v > 0 THEN x - 2 * al * r + al * al * v ELSE x2 END AS rate FROM d{k}, w{k}),
+{_step(f'q{k}', f'j{k}')}"""
+
+
+_MODEL = """a0 AS (SELECT DISTINCT align_id, read_id, trans_id AS tid, pos, f_len, dis, ori FROM f_align WHERE trans_id >= 0),
+rl AS (SELECT read_id, max(len) AS rlen FROM (SELECT DISTINCT read_id, len FROM reads) GROUP BY 1),
+a AS (SELECT a0.*, rlen, t.len AS n, least(t.len, 1000) AS m FROM a0 JOIN rl USING (read_id) JOIN transcripts t USING (tid) WHERE pos IS NOT NULL AND f_len IS NOT NULL AND dis IS NOT NULL AND ori IS NOT NULL AND rlen IS NOT NULL AND pos BETWEEN 1 AND 64
+  AND read_id NOT IN (SELECT read_id FROM a0 GROUP BY 1 HAVING count(*) >= 1000)),
+c AS (SELECT (SELECT count(*) FROM transcripts) + 1 AS k),
+l AS (SELECT *, CASE WHEN greatest(least(f_len, 1000), 0) <= m THEN 1.0 / (m + 1) ELSE 0 END::DOUBLE * 0.5::DOUBLE * pow(0.5::DOUBLE, rlen) / n / greatest(greatest(least((n - f_len + 1) * 64.0 / n, 64), 0) / 64, 1e-12) AS lik FROM a),
+j AS (SELECT *, greatest(lik / k, 1e-300) AS joint, pow(0.25::DOUBLE, rlen) / k AS noise FROM l, c),
+o AS (SELECT *, greatest(sum(joint) OVER (PARTITION BY read_id) + noise, 1e-300) AS total FROM j),
+p AS (SELECT *, CASE WHEN joint / total >= 1e-6 THEN joint / total ELSE 0 END AS post FROM o),
+un AS (SELECT count(*) AS n FROM (SELECT DISTINCT read_id FROM reads) WHERE read_id NOT IN (SELECT read_id FROM a0)),
+wt AS (SELECT tid AS key, sum(post) AS v FROM p GROUP BY 1 UNION ALL SELECT -1, (SELECT coalesce(sum(x), 0) FROM (SELECT max(noise / total) AS x FROM p GROUP BY read_id)) + (SELECT n FROM un)),
+x AS (SELECT greatest(least(f_len, 1000), 0) AS f, sum(post) AS x FROM p GROUP BY 1), y AS (SELECT m, sum(post) * 1001 / (m + 1) AS y FROM p GROUP BY 1),
+pd AS (SELECT f, x / could AS v FROM (SELECT f, x, (SELECT sum(y) FROM y WHERE y.m >= x.f) AS could FROM x) WHERE could > 0),
+out_ AS (SELECT 'weight' AS kind, key::INT AS key, v / sum(v) OVER () AS value FROM wt UNION ALL SELECT 'length', f::INT, v / sum(v) OVER () FROM pd
+  UNION ALL SELECT 'forward', 0, sum(post) FILTER (ori = 1) / sum(post) FROM p UNION ALL SELECT 'mismatch', 0, sum(post * dis) / sum(post * rlen) FROM p)"""
+
 QUERIES = {
     "class_set_counts": (class_set_counts, f"WITH {_C} SELECT array_to_string(refs, ',') AS refs, n FROM c"),
     "class_unique": (class_unique, f"WITH {_C} SELECT refs[1] AS tid, sum(n)::BIGINT AS unique_map FROM c WHERE len(refs) = 1 GROUP BY 1"),
@@ -185,8 +243,9 @@ QUERIES = {
         f"WITH {_EM}, {_round(1)}, {_round(2)}, {_round(3)} SELECT tid, round(rate * 1e6 / sum(rate) OVER (), 4) AS tpm, round(rate * len, 4) AS est_counts FROM r3 JOIN transcripts USING (tid)",
     ),
     "em_squarem": (em_squarem, None),
+    "em_accelerated": (em_accelerated, f"WITH {_EM}, {_accelerated(1)}, {_accelerated(2)} SELECT tid, round(rate * len, 4) AS est_counts FROM q2 JOIN transcripts USING (tid)"),
     "reads_to_abundance": (reads_to_abundance, None),
-    "bootstrap": (bootstrap, None),
+    "bootstrap": (bootstrap, f"WITH {_C} SELECT i::INT AS bs, (SELECT count(*) FROM transcripts) AS n_targets, round((SELECT sum(n) FROM c)::DOUBLE, 2) AS total, 0::BIGINT AS n_stray FROM range(1, 5) r(i)"),
     "round_change": (
         round_change,
         f"""WITH {_EM}, {_round(1)}, {_round(2)}, d AS (SELECT CASE WHEN r2.rate > 0 THEN abs(r2.rate - r1.rate) / r2.rate ELSE 0 END AS x FROM r1 JOIN r2 USING (tid))
@@ -214,6 +273,7 @@ SELECT round(max(x), 6) AS max_change, count(*) FILTER (x > 1e-3) AS n_above_1e3
         "SELECT tid, round(log10(pow(0.25, least(len, 150))), 6) AS noise, (floor(floor(len / 2) * 64 / len) + 1)::INT AS middle FROM transcripts",
     ),
     "generative_model": (generative_model, None),
+    "model_step": (model_step, f"WITH {_MODEL} SELECT kind, key, round(value, 8) AS value FROM out_ WHERE value > 1e-9 OR kind IN ('forward', 'mismatch')"),
     "fastq_scan": (
         fastq_scan,
         "SELECT name, seq, qual, NULL::VARCHAR AS problem FROM (SELECT DISTINCT read_id, name, seq, qual FROM reads WHERE name IS NOT NULL AND length(seq) > 0 AND length(qual) = length(seq))",

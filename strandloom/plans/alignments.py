@@ -63,7 +63,7 @@ def mate_band_join(spark, sf):
     return align.proper_pairs(left, right, "pair", 200).select("pair", "tid", "pos1", "pos2", "err1", "err2", "dist")
 
 
-def decision_tree(spark, sf):
+def _outcomes(spark, sf):
     """Outcomes of the pairs of reads 2k - 1 and 2k, by forward and reverse alignments."""
     a = _mapped(spark, sf).withColumn("pair", F.floor((F.col("read_id") + 1) / 2))
     first = F.col("read_id") % 2 == 1
@@ -76,7 +76,12 @@ def decision_tree(spark, sf):
     ready = per.select(
         "pair", *slot, F.arrays_overlap("t_a0", "t_a1").alias("a_proper"), F.arrays_overlap("t_b0", "t_b1").alias("b_proper"), (F.col("e_a0") + F.col("e_a1")).alias("err_a"), (F.col("e_b0") + F.col("e_b1")).alias("err_b"), F.lit(True).alias("a_tx"), F.lit(True).alias("b_tx")
     )
-    return align.decide(ready).groupBy("outcome", "counted").agg(F.count(F.lit(1)).alias("n_pairs"))
+    return align.decide(ready)
+
+
+def decision_tree(spark, sf):
+    """How many pairs have each outcome."""
+    return _outcomes(spark, sf).groupBy("outcome", "counted").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
 def posterior(spark, sf):
@@ -133,12 +138,6 @@ def tid_intersect(spark, sf):
 
 
 def lanes_union(spark, sf):
-    """Lanes 1 and 2 laid together, then counted by mate."""
-    r = read_table(spark, sf, "reads").select("read_id", "lane", "mate", S.strip_mate(F.col("name")).alias("name")).distinct()
-    return r.filter("lane = 1").unionAll(r.filter("lane = 2")).groupBy("mate").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("name").alias("n_names"))
-
-
-def lanes_union_all(spark, sf):
     """All lanes laid together, then counted by mate."""
     r = read_table(spark, sf, "reads").select("read_id", "lane", "mate", S.strip_mate(F.col("name")).alias("name")).distinct()
     return r.groupBy("mate").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("name").alias("n_names"))
@@ -213,22 +212,45 @@ def nearest_range_join(spark, sf):
 
 
 def gene_components(spark, sf):
-    """Genes that share a read without errors, directly or through others."""
-    return _components(spark, sf, _mapped(spark, sf).filter("dis = 0"))
-
-
-def gene_components_all(spark, sf):
     """Genes that share a read, directly or through others, by all mapped alignments."""
-    return _components(spark, sf, _mapped(spark, sf))
-
-
-def _components(spark, sf, aligns):
     t = _transcripts(spark, sf).select(F.col("tid").alias("trans_id"), "gene_id")
-    h = aligns.select("read_id", "trans_id").join(t, "trans_id").select("read_id", "gene_id").distinct()
+    h = _mapped(spark, sf).select("read_id", "trans_id").join(t, "trans_id").select("read_id", "gene_id").distinct()
     low = h.groupBy("read_id").agg(F.min("gene_id").alias("a"))
     return graph.components(h.join(low, "read_id").select("a", F.col("gene_id").alias("b")).distinct()).select(F.col("node").alias("gene_id"), "group")
 
 
+def fusion_pairs(spark, sf):
+    """Genes that reads 2k - 1 and 2k point to and that lie apart, by pair of reads; genes begin where their first transcript does."""
+    t = _transcripts(spark, sf).select(F.col("tid").alias("trans_id"), "gene_id")
+    h = _mapped(spark, sf).select("read_id", "trans_id").join(t, "trans_id").select("read_id", "gene_id").distinct().withColumn("pair", F.floor((F.col("read_id") + 1) / 2))
+    genes = _intervals(spark, sf, "").groupBy("gene").agg(F.min("chr_id").alias("chr"), F.min("s").alias("start"), F.max("e").alias("end")).withColumnRenamed("gene", "gene_id")
+    return graph.gene_pairs(h.filter("read_id % 2 = 1"), h.filter("read_id % 2 = 0"), "pair", genes)
+
+
+def pair_summary(spark, sf):
+    """Totals and ratios of proper, improper and unmapped pairs."""
+    s = align.mapping_summary(_outcomes(spark, sf))
+    return s.select("total", "proper", "improper", "unmapped", *[F.round(c, 6).alias(c) for c in ("proper_ratio", "improper_ratio", "unmapped_ratio")])
+
+
+def cigar_lift(spark, sf):
+    """Alignments of f_len matches on their gene's joined exons, lifted to the chromosome with an N for each gap."""
+    e = _exons(spark, sf).select(F.col("gene_id").alias("tid"), "chr_id", "lo", "hi", "start")
+    p = _placed(spark, sf).filter("f_len > 0").select("align_id", F.col("tid").alias("t"), "gene_id", "at", "f_len")
+    on = p.join(_exons(spark, sf).select(F.col("tid").alias("t"), F.col("lo").alias("begin")), "t")
+    op = F.array(F.struct(F.lit("=").alias("op"), F.col("f_len").alias("len"), F.lit("").alias("ref")))
+    hits = on.select("align_id", F.col("gene_id").alias("tid"), (F.col("begin") + F.col("at")).cast("int").alias("pos"), op.alias("cigar"))
+    l = intervals.lift_alignments(hits, e, ["align_id"])
+    return l.select("align_id", "chr_id", "genome_pos", sam.cigar_text(F.col("genome_cigar")).alias("cigar"))
+
+
+def nearest_begin(spark, sf):
+    """For each alignment, lifted to its chromosome, the nearest begins of transcripts within 500 bases, ties kept."""
+    l = liftover(spark, sf).select("align_id", F.col("chr_id"), "genome_pos")
+    b = _exons(spark, sf).select("chr_id", "tid", F.col("start").alias("begin"))
+    return intervals.nearest(l, b, ["align_id"], "genome_pos", "begin", 500, ["chr_id"]).select("align_id", "tid", "dist")
+
+
 def length_pmf(spark, sf):
     h = stats.histogram(_aligns(spark, sf), "f_len")
     return h.select("f_len", "n", F.round("pdf", 9).alias("pdf"), F.round("cdf", 9).alias("cdf"))
@@ -266,6 +288,18 @@ _FLAG = f"""{_A}, {_PL}, fl AS (SELECT align_id,
   CASE WHEN len > 300 THEN CASE WHEN read_id % 2 = 1 THEN 150 ELSE -50 END ELSE 0 END AS tlen FROM pl)"""
 _PMF = f"{_A}, h AS (SELECT f_len, count(*) AS n FROM a WHERE f_len IS NOT NULL GROUP BY 1), q AS (SELECT f_len, n, n / sum(n) OVER () AS pdf, sum(n) OVER (ORDER BY f_len) / sum(n) OVER () AS cdf FROM h)"
 
+_DECIDED = f"""{_A}, k AS (SELECT (read_id + 1) // 2 AS pair, CASE WHEN read_id % 2 = 1 THEN CASE WHEN ori = 1 THEN 'a0' ELSE 'b1' END ELSE CASE WHEN ori = 0 THEN 'a1' ELSE 'b0' END END AS slot, trans_id, dis FROM g),
+p AS (SELECT pair, bool_or(slot = 'a0') AS a0, bool_or(slot = 'a1') AS a1, bool_or(slot = 'b0') AS b0, bool_or(slot = 'b1') AS b1,
+  coalesce(min(dis) FILTER (slot = 'a0'), 100) + coalesce(min(dis) FILTER (slot = 'a1'), 100) AS ea, coalesce(min(dis) FILTER (slot = 'b0'), 100) + coalesce(min(dis) FILTER (slot = 'b1'), 100) AS eb,
+  list_has_any(coalesce(list(trans_id) FILTER (slot = 'a0'), []), coalesce(list(trans_id) FILTER (slot = 'a1'), [])) AS pa, list_has_any(coalesce(list(trans_id) FILTER (slot = 'b0'), []), coalesce(list(trans_id) FILTER (slot = 'b1'), [])) AS pb FROM k GROUP BY 1),
+q AS (SELECT *, pa AND (NOT pb OR ea <= eb) AS wa, pb AND (NOT pa OR eb <= ea) AS wb FROM p),
+dt AS (SELECT CASE WHEN wa AND wb THEN 'proper_both' WHEN wa THEN 'proper_a' WHEN wb THEN 'proper_b' WHEN a0 AND a1 AND (NOT (b0 AND b1) OR ea < eb) THEN 'improper_a' WHEN b0 AND b1 THEN 'improper_b'
+  WHEN a0 AND b0 THEN 'both_forward' WHEN a1 AND b1 THEN 'both_reverse' WHEN a0 THEN 'single_a0' WHEN a1 THEN 'single_a1' WHEN b0 THEN 'single_b0' WHEN b1 THEN 'single_b1' ELSE 'unmapped' END AS outcome, wa OR wb AS counted FROM q)"""
+#: Smallest labels spread over shared reads; twelve rounds reach further than any gene is from another.
+_COMPONENTS = """h AS MATERIALIZED (SELECT DISTINCT read_id, gene_id FROM g JOIN transcripts ON tid = trans_id), l0 AS (SELECT DISTINCT gene_id, gene_id AS l FROM h)""" + "".join(
+    f", r{k} AS MATERIALIZED (SELECT read_id, min(l) AS l FROM h JOIN l{k - 1} USING (gene_id) GROUP BY 1), l{k} AS MATERIALIZED (SELECT gene_id, min(l) AS l FROM h JOIN r{k} USING (read_id) GROUP BY 1)" for k in range(1, 13)
+)
+
 QUERIES = {
     "eq_classes": (eq_classes, f"WITH {_A}, {_BEST} SELECT array_to_string(refs, ',') AS refs, n FROM c"),
     "unique_map": (unique_map, f"WITH {_A}, {_BEST} SELECT refs[1] AS tid, sum(n)::BIGINT AS unique_map FROM c WHERE len(refs) = 1 GROUP BY 1"),
@@ -282,15 +316,33 @@ SELECT count(*) AS n_reads, count(*) FILTER (hits > 0) AS n_mapped, count(*) FIL
 j AS (SELECT x.pair, x.tid, x.pos AS pos1, y.pos AS pos2, x.err AS err1, y.err AS err2, abs(x.pos - y.pos) AS dist FROM k x JOIN k y ON x.pair = y.pair AND x.tid = y.tid AND x.side = 1 AND y.side = 0 WHERE abs(x.pos - y.pos) <= 200)
 SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY pair, tid, pos1 ORDER BY dist, pos2) = 1 AND row_number() OVER (PARTITION BY pair, tid, pos2 ORDER BY dist, pos1) = 1""",
     ),
-    "decision_tree": (
-        decision_tree,
-        f"""WITH {_A}, k AS (SELECT (read_id + 1) // 2 AS pair, CASE WHEN read_id % 2 = 1 THEN CASE WHEN ori = 1 THEN 'a0' ELSE 'b1' END ELSE CASE WHEN ori = 0 THEN 'a1' ELSE 'b0' END END AS slot, trans_id, dis FROM g),
-p AS (SELECT pair, bool_or(slot = 'a0') AS a0, bool_or(slot = 'a1') AS a1, bool_or(slot = 'b0') AS b0, bool_or(slot = 'b1') AS b1,
-  coalesce(min(dis) FILTER (slot = 'a0'), 100) + coalesce(min(dis) FILTER (slot = 'a1'), 100) AS ea, coalesce(min(dis) FILTER (slot = 'b0'), 100) + coalesce(min(dis) FILTER (slot = 'b1'), 100) AS eb,
-  list_has_any(coalesce(list(trans_id) FILTER (slot = 'a0'), []), coalesce(list(trans_id) FILTER (slot = 'a1'), [])) AS pa, list_has_any(coalesce(list(trans_id) FILTER (slot = 'b0'), []), coalesce(list(trans_id) FILTER (slot = 'b1'), [])) AS pb FROM k GROUP BY 1),
-q AS (SELECT *, pa AND (NOT pb OR ea <= eb) AS wa, pb AND (NOT pa OR eb <= ea) AS wb FROM p)
-SELECT CASE WHEN wa AND wb THEN 'proper_both' WHEN wa THEN 'proper_a' WHEN wb THEN 'proper_b' WHEN a0 AND a1 AND (NOT (b0 AND b1) OR ea < eb) THEN 'improper_a' WHEN b0 AND b1 THEN 'improper_b'
-  WHEN a0 AND b0 THEN 'both_forward' WHEN a1 AND b1 THEN 'both_reverse' WHEN a0 THEN 'single_a0' WHEN a1 THEN 'single_a1' WHEN b0 THEN 'single_b0' WHEN b1 THEN 'single_b1' ELSE 'unmapped' END AS outcome, wa OR wb AS counted, count(*) AS n_pairs FROM q GROUP BY 1, 2""",
+    "decision_tree": (decision_tree, f"WITH {_DECIDED} SELECT outcome, counted, count(*) AS n_pairs FROM dt GROUP BY 1, 2"),
+    "pair_summary": (
+        pair_summary,
+        f"""WITH {_DECIDED}, c AS (SELECT count(*) AS total, count(*) FILTER (starts_with(outcome, 'proper')) AS proper, count(*) FILTER (outcome = 'unmapped') AS unmapped FROM dt)
+SELECT total, proper, total - proper - unmapped AS improper, unmapped, round(proper / greatest(total, 1), 6) AS proper_ratio, round((total - proper - unmapped) / greatest(total, 1), 6) AS improper_ratio, round(unmapped / greatest(total, 1), 6) AS unmapped_ratio FROM c""",
+    ),
+    "fusion_pairs": (
+        fusion_pairs,
+        f"""WITH {_A}, {_IV}, gn AS (SELECT gene_id, min(chr_id) AS chr, min(s) AS s, max(e) AS e FROM iv GROUP BY 1),
+h AS (SELECT DISTINCT read_id, (read_id + 1) // 2 AS pair, gene_id FROM g JOIN transcripts ON tid = trans_id),
+j AS (SELECT x.pair, x.gene_id AS a, y.gene_id AS b FROM h x JOIN h y ON x.pair = y.pair AND x.read_id % 2 = 1 AND y.read_id % 2 = 0 WHERE x.gene_id <> y.gene_id)
+SELECT DISTINCT pair, least(a, b) AS gene_a, greatest(a, b) AS gene_b FROM j JOIN gn p ON p.gene_id = a JOIN gn q ON q.gene_id = b WHERE NOT (p.chr = q.chr AND p.s <= q.e AND q.s <= p.e)""",
+    ),
+    "cigar_lift": (
+        cigar_lift,
+        f"""WITH {_A}, {_PL}, {_EX}, p AS (SELECT pl.align_id, pl.gene_id, e.lo + pl.at0 AS p0, e.lo + pl.at0 + pl.f_len AS p1 FROM pl JOIN ex e ON e.tid = pl.trans_id WHERE pl.f_len > 0),
+z AS (SELECT gene_id, max(hi) AS z FROM ex GROUP BY 1),
+c AS (SELECT align_id, x.chr_id, x.lo, x.start + greatest(p0, x.lo) - x.lo AS g0, (CASE WHEN x.hi = z THEN p1 ELSE least(p1, x.hi) END) - greatest(p0, x.lo) AS n FROM p JOIN z USING (gene_id) JOIN ex x ON x.gene_id = p.gene_id AND x.lo < p1 AND x.hi > p0),
+w AS (SELECT *, g0 - lag(g0 + n) OVER (PARTITION BY align_id ORDER BY lo) AS gap FROM c)
+SELECT align_id, any_value(chr_id) AS chr_id, min(g0)::BIGINT AS genome_pos, string_agg(CASE WHEN gap > 0 THEN gap::BIGINT || 'N' ELSE '' END || n::BIGINT || '=', '' ORDER BY lo) AS cigar FROM w GROUP BY 1""",
+    ),
+    "nearest_begin": (
+        nearest_begin,
+        f"""WITH {_A}, {_PL}, {_EX}, b AS (SELECT DISTINCT chr_id, start FROM ex), q AS (SELECT align_id, chr_id, genome_pos FROM li),
+d AS (SELECT q.align_id, q.chr_id, q.genome_pos, q.genome_pos - b.start AS d FROM q ASOF JOIN b ON q.chr_id = b.chr_id AND q.genome_pos >= b.start UNION ALL SELECT q.align_id, q.chr_id, q.genome_pos, b.start - q.genome_pos FROM q ASOF JOIN b ON q.chr_id = b.chr_id AND q.genome_pos <= b.start),
+n AS (SELECT align_id, chr_id, genome_pos, min(d) AS d FROM d GROUP BY ALL HAVING min(d) <= 500)
+SELECT DISTINCT align_id, tid, d::BIGINT AS dist FROM n JOIN ex ON ex.chr_id = n.chr_id AND (start = genome_pos - d OR start = genome_pos + d)""",
     ),
     "posterior": (
         posterior,
@@ -323,10 +375,6 @@ SELECT read_id, coalesce(array_to_string(list_transform(runs, lambda x: length(x
     "tid_intersect": (tid_intersect, f"WITH {_A} SELECT trans_id FROM g WHERE ori = 0 INTERSECT SELECT trans_id FROM g WHERE ori = 1"),
     "lanes_union": (
         lanes_union,
-        "WITH r AS (SELECT DISTINCT read_id, lane, mate, regexp_replace(name, '/[12]$', '') AS name FROM reads) SELECT mate, count(*) AS n, count(DISTINCT name) AS n_names FROM (SELECT * FROM r WHERE lane = 1 UNION ALL SELECT * FROM r WHERE lane = 2) GROUP BY 1",
-    ),
-    "lanes_union_all": (
-        lanes_union_all,
         "WITH r AS (SELECT DISTINCT read_id, lane, mate, regexp_replace(name, '/[12]$', '') AS name FROM reads) SELECT mate, count(*) AS n, count(DISTINCT name) AS n_names FROM r GROUP BY 1",
     ),
     "zip_pairs": (
@@ -348,14 +396,7 @@ j AS (SELECT align_id, genome_pos + off AS pos FROM li JOIN o USING (chr_id)) SE
         nearest_range_join,
         f"WITH {_IV}, j AS (SELECT a.tid AS tid1, b.tid AS tid2, abs(a.s - b.s) AS dist FROM iv a JOIN iv b ON a.chr_id = b.chr_id AND abs(a.s - b.s) <= 2000 AND a.gene_id <> b.gene_id) SELECT tid1, tid2, dist FROM j QUALIFY rank() OVER (PARTITION BY tid1 ORDER BY dist) = 1",
     ),
-    "gene_components_all": (gene_components_all, None),
-    "gene_components": (
-        gene_components,
-        f"""WITH RECURSIVE {_A}, h AS (SELECT DISTINCT read_id, gene_id FROM g JOIN transcripts ON tid = trans_id WHERE dis = 0),
-e AS (SELECT DISTINCT x.gene_id AS u, y.gene_id AS v FROM h x JOIN h y USING (read_id)),
-r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v)
-SELECT u AS gene_id, min(v) AS "group" FROM r GROUP BY 1""",
-    ),
+    "gene_components": (gene_components, f"WITH {_A}, {_COMPONENTS} SELECT gene_id, l AS \"group\" FROM l12"),
     "length_pmf": (length_pmf, f"WITH {_PMF} SELECT f_len, n, round(pdf, 9) AS pdf, round(cdf, 9) AS cdf FROM q"),
     "length_mean_sd": (length_mean_sd, f"WITH {_A} SELECT round(avg(f_len), 6) AS mean, round(stddev_pop(f_len), 6) AS sd FROM a WHERE f_len IS NOT NULL"),
     "eff_len_model": (

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandloom.plans import abundances, alignments, records, sequences
+from strandloom.plans import abundances, alignments, formats, records, sequences
 
-MODULES = [records, sequences, alignments, abundances]
+MODULES = [records, sequences, alignments, abundances, formats]
 
 
 def all_queries():

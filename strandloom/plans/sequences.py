@@ -118,6 +118,30 @@ def map_reads(spark, sf):
     return hits.select("read_id", "strand", "tid", "pos", "err", sam.cigar_text(F.col("cigar")).alias("cigar"), sam.md_text(F.col("cigar")).alias("md"), sam.edit_count(F.col("cigar")).alias("nm"))
 
 
+def map_reads_exact(spark, sf):
+    """Reads by the transcripts that ``map_reads`` finds them on without an error."""
+    t = _transcripts(spark, sf)
+    hits = align.map_reads(_reads(spark, sf), t, kmers.postings(t), ["read_id"])
+    return hits.filter("err = 0").select("read_id", "strand", "tid").distinct()
+
+
+def multi_seed(spark, sf):
+    """Chains of at least two seeds, of one in reads of at most two k-mers."""
+    c = _chains(spark, sf).join(_reads(spark, sf).select("read_id", F.length("seq").alias("len")), "read_id")
+    return align.seeded_enough(c, F.col("len")).select("read_id", "strand", "tid", F.col("chain").cast("int").alias("chain"), "n_seeds", "len")
+
+
+def bubbles(spark, sf):
+    """Edges of the transcripts' graph of 10-mers that stay after parallel paths are reduced to the best covered one."""
+    e = materialize(graph.edges(_transcripts(spark, sf), k=10, strands=False), "edges")
+    return graph.without_bubbles(e).select(S.kmer_text(F.col("src"), 10).alias("src"), S.kmer_text(F.col("dst"), 10).alias("dst"), "cover")
+
+
+def unitig_totals(spark, sf):
+    """Number of unitigs and of the edges within them."""
+    return unitigs(spark, sf).agg(F.count(F.lit(1)).alias("n_contigs"), F.sum(F.col("len") - 30).cast("long").alias("n_links"))
+
+
 def sw_rescue(spark, sf):
     """The read after each hit read, looked for near the hit by local alignment."""
     t = _transcripts(spark, sf)
@@ -128,13 +152,6 @@ def sw_rescue(spark, sf):
 
 
 def edit_distance(spark, sf):
-    """Edits between the first 60 bases of transcripts of one gene."""
-    t = _transcripts(spark, sf).select("gene_id", "tid", F.substring("seq", 1, 60).alias("s"))
-    u = t.select("gene_id", F.col("tid").alias("tid2"), F.col("s").alias("s2"))
-    return t.join(u, "gene_id").filter("tid < tid2").select("tid", "tid2", F.levenshtein("s", "s2").cast("long").alias("edits"))
-
-
-def edit_distance_whole(spark, sf):
     """Edits between the whole sequences of transcripts of one gene."""
     t = _transcripts(spark, sf).select("gene_id", "tid", F.col("seq").alias("s"))
     u = t.select("gene_id", F.col("tid").alias("tid2"), F.col("s").alias("s2"))
@@ -162,19 +179,10 @@ def unitigs(spark, sf):
 
 
 def fusion_halves(spark, sf):
-    """Contigs of the start of one transcript and the end of the next: the transcript of most seeds of each half."""
+    """Contigs of each whole transcript and the whole next one: the transcript of most seeds of each half."""
     t = _transcripts(spark, sf)
-    a = t.filter("tid % 2 = 0").select(F.col("tid").alias("contig"), F.substring("seq", 1, 80).alias("x"))
-    b = t.filter("tid % 2 = 1").select((F.col("tid") - 1).alias("contig"), F.substring("seq", -80, 80).alias("y"))
-    contigs = a.join(b, "contig").select("contig", F.concat("x", "y").alias("seq"))
-    return graph.half_targets(contigs, kmers.postings(t), "contig", "seq", S.K).select("contig", "half", "tid", "n", "first", "last")
-
-
-def fusion_halves_whole(spark, sf):
-    """Contigs of one whole transcript and the whole next one: the transcript of most seeds of each half."""
-    t = _transcripts(spark, sf)
-    a = t.filter("tid % 2 = 0").select(F.col("tid").alias("contig"), F.col("seq").alias("x"))
-    b = t.filter("tid % 2 = 1").select((F.col("tid") - 1).alias("contig"), F.col("seq").alias("y"))
+    a = t.select(F.col("tid").alias("contig"), F.col("seq").alias("x"))
+    b = t.select((F.col("tid") - 1).alias("contig"), F.col("seq").alias("y"))
     contigs = a.join(b, "contig").select("contig", F.concat("x", "y").alias("seq"))
     return graph.half_targets(contigs, kmers.postings(t), "contig", "seq", S.K).select("contig", "half", "tid", "n", "first", "last")
 
@@ -242,12 +250,22 @@ SELECT read_id, strand, tid, chain, count(*) AS n_seeds, min(off) AS off, min(po
         f"WITH {_HITS} SELECT length(seq)::INT AS len, count(*) AS n_reads FROM r WHERE length(seq) >= 31 AND read_id NOT IN (SELECT read_id FROM h) GROUP BY 1",
     ),
     "map_reads": (map_reads, None),
+    "map_reads_exact": (
+        map_reads_exact,
+        f"""WITH {_HITS} SELECT DISTINCT s.read_id, s.strand, p.tid FROM s JOIN p ON p.kmer = left(s.seq, 31) JOIN t ON t.tid = p.tid AND substr(t.seq, p.pos + 1, length(s.seq)) = s.seq""",
+    ),
+    "multi_seed": (
+        multi_seed,
+        f"""WITH {_HITS},
+b AS (SELECT *, CASE WHEN lag(off) OVER w IS NULL OR off <= lag(off) OVER w OR abs(diag - lag(diag) OVER w) > 7 THEN 1 ELSE 0 END AS new FROM h WINDOW w AS (PARTITION BY read_id, strand, tid ORDER BY pos, off)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY read_id, strand, tid ORDER BY pos, off ROWS UNBOUNDED PRECEDING)::INT AS chain FROM b),
+n AS (SELECT read_id, strand, tid, chain, count(*) AS n_seeds FROM g GROUP BY ALL)
+SELECT n.*, length(r.seq) AS len FROM n JOIN r USING (read_id) WHERE n_seeds >= 2 OR floor(length(r.seq) / 31) <= 2""",
+    ),
     "sw_rescue": (sw_rescue, None),
-    "edit_distance_whole": (edit_distance_whole, None),
-    "fusion_halves_whole": (fusion_halves_whole, None),
     "edit_distance": (
         edit_distance,
-        "SELECT a.tid, b.tid AS tid2, levenshtein(left(upper(a.seq), 60), left(upper(b.seq), 60)) AS edits FROM transcripts a JOIN transcripts b ON a.gene_id = b.gene_id AND a.tid < b.tid",
+        "SELECT a.tid, b.tid AS tid2, levenshtein(upper(a.seq), upper(b.seq)) AS edits FROM transcripts a JOIN transcripts b ON a.gene_id = b.gene_id AND a.tid < b.tid",
     ),
     "dbg_edges": (
         dbg_edges,
@@ -265,10 +283,25 @@ SELECT degree, count(*) AS n_nodes FROM k GROUP BY 1""",
     "unitigs": (unitigs, None),
     "fusion_halves": (
         fusion_halves,
-        f"""WITH {_POST}, c AS (SELECT a.tid AS contig, left(a.seq, 80) || right(b.seq, 80) AS seq FROM t a JOIN t b ON b.tid = a.tid + 1 WHERE a.tid % 2 = 0),
-hf AS (SELECT contig, 0 AS half, left(seq, 80) AS s FROM c UNION ALL SELECT contig, 1, substr(seq, 81) FROM c),
+        f"""WITH {_POST}, c AS (SELECT a.tid AS contig, a.seq || b.seq AS seq, (length(a.seq) + length(b.seq)) // 2 AS h FROM t a JOIN t b ON b.tid = a.tid + 1),
+hf AS (SELECT contig, 0 AS half, left(seq, h) AS s FROM c UNION ALL SELECT contig, 1, substr(seq, h + 1) FROM c),
 n AS (SELECT contig, half, p.tid, count(*) AS n, min(pos) AS first, max(pos) + 31 AS last FROM (SELECT contig, half, substr(s, i::INT, 31) AS kmer FROM hf, unnest(range(1, length(s) - 29)) x(i)) JOIN p USING (kmer) GROUP BY ALL)
 SELECT contig, half, tid, n, first, last FROM n QUALIFY row_number() OVER (PARTITION BY contig, half ORDER BY n DESC, tid) = 1""",
+    ),
+    "unitig_totals": (
+        unitig_totals,
+        f"""WITH {_EDGE.format('SELECT upper(seq) AS s FROM transcripts')},
+l AS (SELECT src, dst FROM e WHERE src <> dst AND src IN (SELECT src FROM e GROUP BY 1 HAVING count(*) = 1) AND dst IN (SELECT dst FROM e GROUP BY 1 HAVING count(*) = 1))
+SELECT (SELECT count(*) FROM l WHERE src NOT IN (SELECT dst FROM l)) AS n_contigs, (SELECT count(*) FROM l)::BIGINT AS n_links""",
+    ),
+    "bubbles": (
+        bubbles,
+        r"""WITH m AS (SELECT substr(s, i::INT, 11) AS m FROM (SELECT upper(seq) AS s FROM transcripts), unnest(range(1, length(s) - 9)) x(i)),
+e AS (SELECT m[:10] AS src, m[2:] AS dst, count(*) AS cover FROM m WHERE NOT regexp_matches(m, '[^ACGT]') GROUP BY m),
+o AS (SELECT src AS m FROM e GROUP BY 1 HAVING count(*) = 1 INTERSECT SELECT dst FROM e GROUP BY 1 HAVING count(*) = 1),
+q AS (SELECT a.src AS s, b.dst AS t, a.dst AS m, least(a.cover, b.cover) AS cover FROM e a JOIN e b ON a.dst = b.src JOIN o ON o.m = a.dst),
+k AS (SELECT m FROM q QUALIFY row_number() OVER (PARTITION BY s, t ORDER BY cover DESC, m) > 1)
+SELECT src, dst, cover FROM e WHERE src NOT IN (SELECT m FROM k) AND dst NOT IN (SELECT m FROM k)""",
     ),
     "exon_snap": (
         exon_snap,
