@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import struct
+import uuid
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,17 +33,8 @@ def bgzf_blocks(data: bytes, level: int = -1) -> bytes:
 
 def bgzf_read(f):
     """Uncompressed bytes block by block; each is checked."""
-    while True:
-        head = f.read(18)
-        if len(head) < 18:
-            return
-        size = struct.unpack("<H", head[16:18])[0] + 1
-        rest = f.read(size - 18)
-        data = zlib.decompress(rest[:-8], -15)
-        crc, n = struct.unpack("<2I", rest[-8:])
-        if n != len(data) or crc != zlib.crc32(data):
-            raise ValueError("damaged BGZF block")
-        yield data
+    while len(head := f.read(18)) == 18:
+        yield inflate(f.read(struct.unpack("<H", head[16:18])[0] - 17))
 
 
 def header(references: list[tuple[str, int]], command: str = "") -> bytes:
@@ -129,71 +119,195 @@ def decode(body: bytes, names: list[str]) -> tuple:
     return (name, flag, rname, pos + 1, mapq, "".join(f"{o >> 4}{OPS[o & 15]}" for o in ops) or "*", rnext, next_pos + 1, tlen, seq or "*", qual, tags.get("NM"), tags.get("MD"), tags.get("AS"))
 
 
-def records(f):
-    """The reference table, then each record of an open BAM file."""
-    blocks, buf = bgzf_read(f), b""
+class _Stream:
+    """Uncompressed bytes of a BAM file from a block on, with the place in the file of the block that each byte came from."""
+
+    def __init__(self, f, place: int = 0):
+        self.f, self.buf, self.at = f, b"", 0
+        self.blocks: list[tuple[int, int]] = []  # (bytes before the block's first one, place of the block)
+        self.read_, self.dropped, self.next = 0, 0, place
+        f.seek(place)
 
-    def need(n):
-        nonlocal buf
-        parts, have = [buf], len(buf)
+    def need(self, n: int) -> bool:
+        parts, have = [], len(self.buf) - self.at
         while have < n:
-            block = next(blocks, None)
-            if block is None:
+            head = self.f.read(18)
+            if len(head) < 18:
                 break
-            parts.append(block)
-            have += len(block)
-        buf = b"".join(parts)
-        return len(buf) >= n
-
-    def take(n):
-        nonlocal buf
-        if not need(n):
+            size = struct.unpack("<H", head[16:18])[0] + 1
+            data = inflate(self.f.read(size - 18))
+            self.blocks.append((self.read_, self.next))
+            self.next, self.read_, have = self.next + size, self.read_ + len(data), have + len(data)
+            parts.append(data)
+        if parts:
+            self.dropped += self.at
+            self.buf, self.at = b"".join([self.buf[self.at:], *parts]), 0
+        return have >= n
+
+    def take(self, n: int) -> bytes:
+        if not self.need(n):
             raise ValueError("BAM file ends early")
-        out, buf = buf[:n], buf[n:]
-        return out
+        self.at += n
+        return self.buf[self.at - n:self.at]
+
+    def block(self) -> int:
+        """Place of the block in which the next byte stands."""
+        here = self.dropped + self.at
+        while len(self.blocks) > 1 and self.blocks[1][0] <= here:
+            self.blocks.pop(0)
+        return self.blocks[0][1] if self.blocks and self.blocks[0][0] <= here < self.read_ else self.next
+
+    def offset(self) -> int:
+        """Of the next byte in its block."""
+        place = self.block()
+        return self.dropped + self.at - self.blocks[0][0] if self.blocks and self.blocks[0][1] == place else 0
 
-    if take(4) != b"BAM\1":
+
+def inflate(rest: bytes) -> bytes:
+    data = zlib.decompress(rest[:-8], -15)
+    crc, n = struct.unpack("<2I", rest[-8:])
+    if n != len(data) or crc != zlib.crc32(data):
+        raise ValueError("damaged BGZF block")
+    return data
+
+
+def _header(x: _Stream) -> list[tuple[str, int]]:
+    if x.take(4) != b"BAM\1":
         raise ValueError("not a BAM file")
-    take(struct.unpack("<i", take(4))[0])
+    x.take(struct.unpack("<i", x.take(4))[0])
     refs = []
-    for _ in range(struct.unpack("<i", take(4))[0]):
-        name = take(struct.unpack("<i", take(4))[0])[:-1].decode()
-        refs.append((name, struct.unpack("<i", take(4))[0]))
+    for _ in range(struct.unpack("<i", x.take(4))[0]):
+        name = x.take(struct.unpack("<i", x.take(4))[0])[:-1].decode()
+        refs.append((name, struct.unpack("<i", x.take(4))[0]))
+    return refs
+
+
+def _plausible(x: _Stream, skip: int, refs) -> int:
+    """Size of what may be a record ``skip`` bytes on; 0 if it can't be one, -1 at the end of the file."""
+    if not x.need(skip + 36):
+        return -1 if len(x.buf) - x.at == skip else 0
+    n, ref, pos, l_name, _, _, n_ops, _, l_seq, next_ref, next_pos, _ = struct.unpack_from("<iiiBBHHHiiii", x.buf, x.at + skip)
+    least = 32 + l_name + 4 * n_ops + (l_seq + 1) // 2 + l_seq
+    if not (-1 <= ref < len(refs) and -1 <= next_ref < len(refs) and l_name > 0 and 0 <= l_seq and pos >= -1 and next_pos >= -1 and least <= n < 1 << 28):
+        return 0
+    if (ref >= 0 and pos > refs[ref][1]) or not x.need(skip + 36 + l_name):
+        return 0
+    name = x.buf[x.at + skip + 36:x.at + skip + 36 + l_name]
+    return n + 4 if name[-1] == 0 and all(33 <= c <= 126 for c in name[:-1]) else 0
+
+
+def _first_record(x: _Stream, refs) -> bool:
+    """Moves to the first place from which several records follow each other; False if there is none in the file."""
+    while x.need(1):
+        skip, seen = 0, 0
+        while seen < 5:
+            n = _plausible(x, skip, refs)
+            if n <= 0:
+                break
+            skip, seen = skip + n, seen + 1
+        if seen == 5 or (seen and n == -1):
+            return True
+        x.at += 1
+    return False
+
+
+def _first_block(f, start: int, end: int) -> int | None:
+    """Place of the first BGZF block that begins in [start, end): its head, and that of the block behind it."""
+    f.seek(start)
+    data, place = f.read(1 << 18), start
+    while data:
+        k = data.find(b"\x1f\x8b\x08\x04")
+        while 0 <= k and place + k < end:
+            f.seek(place + k)
+            head = f.read(18)
+            if len(head) == 18 and head[12:16] == b"BC\x02\x00":
+                f.seek(place + k + struct.unpack("<H", head[16:18])[0] + 1)
+                after = f.read(4)
+                if after in (b"", b"\x1f\x8b\x08\x04"):
+                    return place + k
+            k = data.find(b"\x1f\x8b\x08\x04", k + 1)
+        if place + len(data) >= end:
+            return None
+        place += len(data) - 3
+        f.seek(place)
+        data = f.read(1 << 18)
+    return None
+
+
+def records(f):
+    """The reference table, then each record of an open BAM file."""
+    x = _Stream(f)
+    refs = _header(x)
     yield refs
     names = [n for n, _ in refs]
-    at = 0
-    while True:
-        if len(buf) - at < 4:
-            buf, at = buf[at:], 0
-            if not need(4):
-                return
-        n = struct.unpack_from("<i", buf, at)[0]
-        if len(buf) - at < 4 + n:
-            buf, at = buf[at:], 0
-            if not need(4 + n):
-                raise ValueError("BAM file ends early")
-        yield decode(buf[at + 4:at + 4 + n], names)
-        at += 4 + n
-
-
-class _File(InputPartition):
-    def __init__(self, path):
-        super().__init__(path)
-        self.path = path
+    while x.need(4):
+        yield decode(x.take(struct.unpack("<i", x.take(4))[0]), names)
+
+
+class _Split(InputPartition):
+    def __init__(self, path: str, start: int, end: int, offset: int, refs):
+        super().__init__((path, start))
+        self.path, self.start, self.end, self.offset, self.refs = path, start, end, offset, refs
+
+
+def split_records(f, start: int, end: int, offset: int, refs):
+    """Records that begin in blocks that begin in [start, end); ``offset``: where the first one is in the block at ``start``, -1 to look for it."""
+    place = start if offset >= 0 else _first_block(f, start, end)
+    if place is None:
+        return
+    x = _Stream(f, place)
+    if offset >= 0:
+        if offset:
+            x.take(offset)
+    elif not _first_record(x, refs):
+        return
+    names = [n for n, _ in refs]
+    while x.need(4) and x.block() < end:
+        yield decode(x.take(struct.unpack("<i", x.take(4))[0]), names)
+
+
+HEADER, END = "0-header", "z-end"
 
 
 class _BamReader(DataSourceReader):
+    """A task for each stretch of some bytes of a file; a folder of parts has its header in a file of its own."""
+
     def __init__(self, options):
-        self.paths = files.expand(options["path"])
+        self.paths, self.split = files.expand(options["path"]), int(options.get("split", 32 << 20))
 
     def partitions(self):
-        return [_File(p) for p in self.paths]
+        out = []
+        for p in self.paths:
+            folder = files.is_folder(p)
+            with files.open_binary(f"{p}/{HEADER}" if folder else p) as f:
+                x = _Stream(f)
+                refs = _header(x)
+                first, offset = (x.block(), x.offset()) if x.need(1) else (x.next, 0)
+            for q in sorted(files.expand(f"{p}/part-*")) if folder else [p]:
+                a, at = (0, 0) if folder else (first, offset)
+                n = files.size(q)
+                for k, b in enumerate(range(a, max(n, a + 1), self.split)):
+                    out.append(_Split(q, b, min(b + self.split, n), at if k == 0 else -1, refs))
+        return out
 
     def read(self, part):
+        import pyarrow as pa
+
+        kinds = {"string": pa.string(), "int": pa.int32()}
+        fields = [(c.split()[0], kinds[c.split()[1]]) for c in SCHEMA.split(", ")]
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
+
+        rows = []
         with files.open_binary(part.path) as f:
-            it = records(f)
-            next(it)
-            yield from it
+            for r in split_records(f, part.start, part.end, part.offset, part.refs):
+                rows.append(r)
+                if len(rows) == 10_000:
+                    yield batch(rows)
+                    rows = []
+        if rows:
+            yield batch(rows)
 
 
 class _Part(WriterCommitMessage):
@@ -202,50 +316,69 @@ class _Part(WriterCommitMessage):
 
 
 class _BamWriter(DataSourceWriter):
-    """Tasks write BGZF parts beside the target; the commit joins header, parts and end block."""
+    """Tasks write BGZF parts into the folder ``path`` through the path's own file system; blocks end with records.
+
+    The commit adds the header and the end block, so that the files of the
+    folder in order of name are a BAM file. With ``single`` they are joined
+    to one, which the driver has to copy.
+    """
 
     def __init__(self, options, overwrite: bool):
-        self.path, self.level = files.local_path(options["path"]), int(options.get("level", -1))
+        self.path, self.level = options["path"].rstrip("/"), int(options.get("level", -1))
         self.references = [(n, int(k)) for n, k in (x.rsplit(":", 1) for x in options.get("references", "").split("\t") if x)]
-        self.command = options.get("command", "")
-        if not overwrite and os.path.exists(self.path):
+        self.command, self.single = options.get("command", ""), options.get("single", "true").lower() == "true"
+        if not overwrite and files.exists(self.path):
             raise FileExistsError(self.path)
+        self.folder = f"{self.path}.parts-{uuid.uuid4().hex}" if self.single else self.path
+        files.remove(self.folder)
 
     def write(self, rows):
         from pyspark import TaskContext
 
         ids = {n: k for k, (n, _) in enumerate(self.references)}
         ctx = TaskContext.get()
-        part = f"{self.path}.part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}"
-        os.makedirs(os.path.dirname(os.path.abspath(part)), exist_ok=True)
-        held = b""
-        with open(part, "wb") as f:
+        part = f"{self.folder}/part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}"
+        held, size = [], 0
+        with files.create_binary(part) as f:
             for r in rows:
-                held += encode(r.asDict(), ids)
-                while len(held) >= BLOCK:
-                    f.write(bgzf_block(held[:BLOCK], self.level))
-                    held = held[BLOCK:]
+                one = encode(r.asDict(), ids)
+                if size + len(one) > BLOCK and held:
+                    f.write(bgzf_blocks(b"".join(held), self.level))
+                    held, size = [], 0
+                held.append(one)
+                size += len(one)
             if held:
-                f.write(bgzf_block(held, self.level))
+                f.write(bgzf_blocks(b"".join(held), self.level))
         return _Part(part)
 
     def commit(self, messages):
-        with open(self.path, "wb") as out:
-            out.write(bgzf_blocks(header(self.references, self.command), self.level))
-            for m in sorted(m.path for m in messages if m):
-                with open(m, "rb") as f:
-                    shutil.copyfileobj(f, out)
-                os.remove(m)
-            out.write(EOF)
+        kept = sorted(m.path for m in messages if m)
+        begin = bgzf_blocks(header(self.references, self.command), self.level)
+        if self.single:
+            files.remove(self.path)
+            with files.create_binary(self.path) as out:
+                out.write(begin)
+                for p in kept:
+                    with files.open_binary(p) as f:
+                        while data := f.read(16 << 20):
+                            out.write(data)
+                out.write(EOF)
+            files.remove(self.folder)
+            return
+        names = {p.rpartition("/")[2] for p in kept}
+        for p in files.expand(f"{self.folder}/part-*"):
+            if p.rpartition("/")[2] not in names:
+                files.remove(p)  # of attempts that failed
+        for name, data in ((HEADER, begin), (END, EOF)):
+            with files.create_binary(f"{self.folder}/{name}") as out:
+                out.write(data)
 
     def abort(self, messages):
-        for m in messages:
-            if m and os.path.exists(m.path):
-                os.remove(m.path)
+        files.remove(self.folder)
 
 
 class BamSource(DataSource):
-    """Options: ``path``; for writing ``references`` (name:length, by tabs), ``level``, ``command``."""
+    """Options: ``path``, ``split`` (bytes of a split); for writing ``references`` (name:length, by tabs), ``level``, ``command``, ``single``."""
 
     @classmethod
     def name(cls):
@@ -261,22 +394,23 @@ class BamSource(DataSource):
         return _BamWriter(self.options, overwrite)
 
 
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
+def read_bam(spark: SparkSession, path: str, split: int = 32 << 20) -> DataFrame:
     spark.dataSource.register(BamSource)
-    return spark.read.format("bam").load(path)
+    return spark.read.format("bam").option("split", split).load(path)
 
 
 def references(path: str) -> list[tuple[str, int]]:
-    with files.open_binary(path) as f:
-        return next(records(f))
+    with files.open_binary(f"{path}/{HEADER}" if files.is_folder(path) else path) as f:
+        return _header(_Stream(f))
 
 
-def write_bam(df: DataFrame, path: str, refs: list[tuple[str, int]], level: int = -1, command: str = "") -> None:
+def write_bam(df: DataFrame, path: str, refs: list[tuple[str, int]], level: int = -1, command: str = "", single: bool = True) -> None:
+    """One BAM file, or with ``single=False`` a folder of parts, to which no data goes through the driver."""
     if level not in (-1, *range(1, 10)):
         raise ValueError("level is -1 or 1 to 9")
     df.sparkSession.dataSource.register(BamSource)
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
-    df.select(*columns).write.format("bam").mode("overwrite").option("references", "\t".join(f"{n}:{k}" for n, k in refs)).option("level", level).option("command", command).save(path)
+    df.select(*columns).write.format("bam").mode("overwrite").option("references", "\t".join(f"{n}:{k}" for n, k in refs)).option("level", level).option("command", command).option("single", str(single).lower()).save(path)
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ import glob
 import gzip
 import io
 import os
+import shutil
 
 
 def _remote(path: str) -> bool:
@@ -29,6 +30,54 @@ def open_binary(path: str):
     return gzip.open(raw, "rb") if path.endswith(".gz") else raw
 
 
+def create_binary(path: str):
+    """A new binary file; its folder is made if need be."""
+    if _remote(path):
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(path)
+        system.create_dir(inner.rpartition("/")[0], recursive=True)
+        return system.open_output_stream(inner)
+    local = local_path(path)
+    os.makedirs(os.path.dirname(os.path.abspath(local)), exist_ok=True)
+    return open(local, "wb")
+
+
+def exists(path: str) -> bool:
+    if _remote(path):
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(path)
+        return system.get_file_info(inner).type != fs.FileType.NotFound
+    return os.path.exists(local_path(path))
+
+
+def is_folder(path: str) -> bool:
+    if _remote(path):
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(path)
+        return system.get_file_info(inner).type == fs.FileType.Directory
+    return os.path.isdir(local_path(path))
+
+
+def remove(path: str) -> None:
+    """Removes a file, or a folder with what is in it, if it is there."""
+    if _remote(path):
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(path)
+        kind = system.get_file_info(inner).type
+        if kind == fs.FileType.Directory:
+            system.delete_dir(inner)
+        elif kind != fs.FileType.NotFound:
+            system.delete_file(inner)
+    elif is_folder(path):
+        shutil.rmtree(local_path(path))
+    elif exists(path):
+        os.remove(local_path(path))
+
+
 def size(path: str) -> int:
     if _remote(path):
         from pyarrow import fs

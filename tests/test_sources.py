@@ -87,3 +87,33 @@ def test_damage_is_noticed(tmp_path):
     block[30] ^= 255
     with pytest.raises(Exception):
         list(bam.bgzf_read(__import__("io").BytesIO(bytes(block))))
+
+
+@pytest.mark.parametrize("split", [300, 5000, 70_000, 1 << 20])
+def test_bam_splits_lose_and_double_nothing(spark, tmp_path, split):
+    rng = np.random.default_rng(split)
+    rows = []
+    for k in range(3000):
+        n = int(rng.integers(1, 120)) if k % 500 else 90_000  # some records span blocks
+        rows.append((f"read{k}", int(rng.choice([0, 4, 16])), "t" if k % 7 else "*", int(rng.integers(1, 900)) if k % 7 else 0, 9, f"{n}M", "*", 0, 0, "".join(rng.choice(list("ACGT"), n)), "".join(rng.choice(list("#5I"), n)), k % 5, str(n), n))
+    refs = [("t", 1000)] + [(f"other{k}", 5) for k in range(6000)]  # a header of several blocks
+    ids = {n: k for k, (n, _) in enumerate(refs)}
+    names = [c.split()[0] for c in bam.SCHEMA.split(", ")]
+    data = b"".join(bam.encode(dict(zip(names, r)), ids) for r in rows)
+    path = tmp_path / "x.bam"
+    path.write_bytes(bam.bgzf_blocks(bam.header(refs) + data) + bam.EOF)  # blocks end anywhere in a record
+    reader = bam._BamReader({"path": str(path), "split": split})
+    parts = reader.partitions()
+    assert len(parts) > 1 or split > 70_000
+    got = [tuple(r.values()) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert got == rows
+
+
+def test_bam_as_a_folder_of_parts(spark, tmp_path):
+    df = spark.range(3000).selectExpr("concat('r', id) qname", "0 flag", "'t' rname", "cast(id + 1 as int) pos", "1 mapq", "'10M' cigar", "'*' rnext", "0 pnext", "0 tlen", "repeat('ACGTA', 2) seq", "repeat('I', 10) qual", "cast(id % 9 as int) nm", "'10' md", "10 score").repartition(3)
+    p = f"file://{tmp_path}/parts.bam"
+    bam.write_bam(df, p, [("t", 9999)], single=False)
+    back = bam.read_bam(spark, p, 4000)
+    assert back.rdd.getNumPartitions() > 3 and back.count() == 3000 and back.exceptAll(df.select(back.columns)).count() == 0
+    whole = b"".join(f.read_bytes() for f in sorted((tmp_path / "parts.bam").iterdir()))
+    assert whole.endswith(bam.EOF) and gzip.decompress(whole).startswith(b"BAM\1") and bam.references(p) == [("t", 9999)]
