@@ -28,8 +28,19 @@ def without_weak(e: DataFrame, ratio: float = 0.2) -> DataFrame:
     return e.withColumn("a", F.max("cover").over(out)).withColumn("b", F.max("cover").over(into)).filter((F.col("cover") >= ratio * F.col("a")) & (F.col("cover") >= ratio * F.col("b"))).drop("a", "b")
 
 
-def without_tips(e: DataFrame, cover: int = 1) -> DataFrame:
-    """Without dead ends of at most this cover beside another way: one layer of tips."""
+def without_tips(e: DataFrame, cover: int = 1, layers: int = 1) -> DataFrame:
+    """Without dead ends of at most this cover beside another way, layer by layer until none is left or ``layers`` are gone."""
+    for k in range(layers):
+        less = _without_tip_layer(e, cover)
+        if k + 1 < layers:
+            less = materialize(less, "edges")
+            if less.count() == e.count():
+                return less
+        e = less
+    return e
+
+
+def _without_tip_layer(e: DataFrame, cover: int) -> DataFrame:
     outs = e.groupBy("src").agg(F.count(F.lit(1)).alias("n_out")).withColumnRenamed("src", "v")
     ins = e.groupBy("dst").agg(F.count(F.lit(1)).alias("n_in")).withColumnRenamed("dst", "w")
     leaves = e.join(outs.select(F.col("v").alias("dst")), "dst", "left_anti").join(outs.filter("n_out > 1").select(F.col("v").alias("src")), "src", "left_semi")
@@ -145,6 +156,34 @@ def half_targets(contigs: DataFrame, index: DataFrame, key: str, seq: str, k: in
     return per.withColumn("r", F.row_number().over(Window.partitionBy(key, "half").orderBy(F.desc("n"), "tid"))).filter("r = 1").drop("r")
 
 
+def longest_contigs(contigs: DataFrame, group: list[str]) -> DataFrame:
+    """The longest ``contig`` of each group, of equals the first in order."""
+    best = F.min_by("contig", F.struct(-F.length("contig"), F.col("contig")))
+    return contigs.groupBy(*group).agg(best.alias("contig"))
+
+
+def fusion_rows(halves: DataFrame, contigs: DataFrame, exons: DataFrame, targets: DataFrame, genes: DataFrame, key: str, within: int = 10) -> DataFrame:
+    """A row for each contig whose halves lie on two genes: place, gene id, strand and name of both sides, and the contig.
+
+    ``halves`` from ``half_targets``. The first half counts by its last place,
+    the second by its first one; both are moved to an exon border less than
+    ``within`` away and lifted to the chromosome. ``exons``: ``tid``, ``chr_id``, ``lo``, ``hi``, ``start``.
+    """
+    e = exons.select("tid", "chr_id", "lo", "hi", "start")
+    end = F.when(F.col("half") == 0, F.col("last")).otherwise(F.col("first"))
+    p = halves.select(key, "half", "tid", end.cast("long").alias("pos"))
+    snapped = snap_to_exons(p.select("tid", "pos").distinct(), e, within)
+    # the place behind a transcript's last base lies in its last exon
+    last = e.groupBy("tid").agg(F.max("hi").alias("__end"))
+    inside = F.when(F.col("snapped") >= F.col("hi"), (F.col("snapped") == F.col("hi")) & (F.col("hi") == F.col("__end"))).otherwise(F.col("snapped") >= F.col("lo"))
+    placed = p.join(snapped, ["tid", "pos"]).join(e.join(last, "tid"), "tid").filter(inside)
+    placed = placed.select(key, "half", "tid", "chr_id", (F.col("start") + F.col("snapped") - F.col("lo")).alias("place"))
+    named = placed.join(targets.select("tid", "gene_id"), "tid").join(genes.select("gene_id", "ensembl_id", "strand", "name"), "gene_id")
+    sides = [named.filter(F.col("half") == h).select(key, *[F.col(c).alias(f"{c}{h + 1}") for c in ("chr_id", "place", "gene_id", "ensembl_id", "strand", "name")]) for h in (0, 1)]
+    both = sides[0].join(sides[1], key).filter("gene_id1 <> gene_id2")
+    return both.drop("gene_id1", "gene_id2").join(contigs, key)
+
+
 def snap_to_exons(places: DataFrame, exons: DataFrame, within: int = 10) -> DataFrame:
     """Moves ``pos`` on ``tid`` to the nearest exon border less than ``within`` away (ties: the lower one)."""
     borders = exons.select("tid", F.explode(F.array("lo", "hi")).alias("border")).distinct()

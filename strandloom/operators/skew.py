@@ -21,19 +21,21 @@ from strandloom.runtime import materialize
 PART = 0.25
 
 
-def heavy_keys(df: DataFrame, key: str, share: float | None = None) -> DataFrame:
+def heavy_keys(df: DataFrame, key: str, share: float | None = None, total: int | None = None) -> DataFrame:
     """Keys with more rows than one salt should have, and the salts each should get.
 
     A salt should hold a quarter of a task's mean rows, so the bound follows the
     number of shuffle partitions; ``share`` of all rows sets it by hand. Rows are
     counted in one pass, combined on the map side; the total is the sum of the
-    counts. No more keys come out than all tasks have slots: 4 x partitions, or
+    counts, where it isn't known. No more keys come out than all tasks have slots: 4 x partitions, or
     1 / ``share``, whatever the size of the input.
     """
     if share is not None and not 0 < share <= 1:
         raise ValueError("share must be in (0, 1]")
-    counts = materialize(df.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n")), "counts")
-    total = counts.agg(F.sum("__n")).first()[0] or 0
+    counts = df.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
+    if total is None:
+        counts = materialize(counts, "counts")
+        total = counts.agg(F.sum("__n")).first()[0] or 0
     part = share or PART / int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slot = max(1.0, total * part)
     return counts.filter(F.col("__n") >= slot).select("__key", F.ceil(F.col("__n") / slot).cast("int").alias("__salts"))
@@ -55,7 +57,7 @@ def balanced_join(rows: DataFrame, other: DataFrame, key: str, row_id: Sequence[
     salted and the few rows of ``other`` that have such a key repeated for each
     salt. Null keys join nothing.
     """
-    heavy = heavy_keys(rows.filter(F.col(key).isNotNull()), key, share)
+    heavy = materialize(heavy_keys(rows.filter(F.col(key).isNotNull()), key, share, max(1, rows.count())).filter("__salts > 1"), "heavy")
     if heavy.limit(1).count() == 0:
         return rows.join(other, key)
     heavy = F.broadcast(heavy.withColumnRenamed("__key", key))

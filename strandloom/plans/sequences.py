@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq as S
@@ -187,6 +188,41 @@ def fusion_halves(spark, sf):
     return graph.half_targets(contigs, kmers.postings(t), "contig", "seq", S.K).select("contig", "half", "tid", "n", "first", "last")
 
 
+def _genome(spark, sf):
+    """Transcripts laid out on their chromosomes, 100 bases apart, and the contigs that they make."""
+    t = _transcripts(spark, sf).filter("chr_id IS NOT NULL").withColumn("n", F.length("seq"))
+    w = Window.partitionBy("chr_id").orderBy("tid").rowsBetween(Window.unboundedPreceding, -1)
+    laid = t.withColumn("start", F.coalesce(F.sum(F.col("n") + 100).over(w), F.lit(0)))
+    parts = F.array_sort(F.collect_list(F.struct("start", "seq")))
+    contigs = laid.groupBy(F.col("chr_id").alias("tid")).agg(F.concat_ws("N" * 100, F.transform(parts, lambda x: x["seq"])).alias("seq"))
+    return laid, materialize(contigs, "contigs")
+
+
+def genome_exact(spark, sf):
+    """Reads by the chromosomes that the search on the genome finds them on without an error."""
+    _, contigs = _genome(spark, sf)
+    hits = align.map_reads(_reads(spark, sf), contigs, kmers.without_frequent(kmers.postings(contigs), 1_000_000), ["read_id"])
+    return hits.filter("err = 0").select("read_id", "strand", F.col("tid").alias("chr_id")).distinct()
+
+
+def fusion_rows(spark, sf):
+    """Fusion rows of the contigs of each transcript and the next one, transcripts being laid out on their chromosomes."""
+    laid, _ = _genome(spark, sf)
+    t = _transcripts(spark, sf)
+    both = t.select(F.col("tid").alias("contig"), F.col("seq").alias("x")).join(t.select((F.col("tid") - 1).alias("contig"), F.col("seq").alias("y")), "contig")
+    contigs = both.select("contig", F.concat("x", "y").alias("seq"))
+    halves = materialize(graph.half_targets(contigs, kmers.postings(t), "contig", "seq", S.K), "halves")
+    exons = laid.select("tid", "chr_id", F.lit(0).alias("lo"), F.col("n").alias("hi"), "start")
+    genes = read_table(spark, sf, "genes").select("gene_id", "ensembl_id", "strand", "name")
+    rows = graph.fusion_rows(halves, contigs, exons, t.select("tid", "gene_id"), genes, "contig")
+    return rows.select("contig", "chr_id1", "place1", "ensembl_id1", "strand1", "name1", "chr_id2", "place2", "ensembl_id2", "strand2", "name2", F.length("seq").alias("len"))
+
+
+def longest_contig(spark, sf):
+    """The longest sequence of each gene, of equals the first in order."""
+    return graph.longest_contigs(_transcripts(spark, sf).select("gene_id", F.col("seq").alias("contig")), ["gene_id"])
+
+
 def exon_snap(spark, sf):
     """Places near the borders of transcripts on their gene, moved to borders less than ten bases away."""
     t = _transcripts(spark, sf)
@@ -288,6 +324,24 @@ hf AS (SELECT contig, 0 AS half, left(seq, h) AS s FROM c UNION ALL SELECT conti
 n AS (SELECT contig, half, p.tid, count(*) AS n, min(pos) AS first, max(pos) + 31 AS last FROM (SELECT contig, half, substr(s, i::INT, 31) AS kmer FROM hf, unnest(range(1, length(s) - 29)) x(i)) JOIN p USING (kmer) GROUP BY ALL)
 SELECT contig, half, tid, n, first, last FROM n QUALIFY row_number() OVER (PARTITION BY contig, half ORDER BY n DESC, tid) = 1""",
     ),
+    "fusion_rows": (
+        fusion_rows,
+        f"""WITH {_POST}, c AS (SELECT a.tid AS contig, a.seq || b.seq AS seq, (length(a.seq) + length(b.seq)) // 2 AS h FROM t a JOIN t b ON b.tid = a.tid + 1),
+hf AS (SELECT contig, 0 AS half, left(seq, h) AS s FROM c UNION ALL SELECT contig, 1, substr(seq, h + 1) FROM c),
+n AS (SELECT contig, half, p.tid, count(*) AS n, min(pos) AS first, max(pos) + 31 AS last FROM (SELECT contig, half, substr(s, i::INT, 31) AS kmer FROM hf, unnest(range(1, length(s) - 29)) x(i)) JOIN p USING (kmer) GROUP BY ALL),
+b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY contig, half ORDER BY n DESC, tid) = 1),
+ld AS (SELECT tid, gene_id, chr_id, length(seq) AS len, coalesce(sum(length(seq) + 100) OVER (PARTITION BY chr_id ORDER BY tid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM transcripts WHERE chr_id IS NOT NULL),
+q AS (SELECT contig, half, ld.chr_id, ld.gene_id, CASE WHEN half = 0 THEN last ELSE first END AS pos, len, start FROM b JOIN ld USING (tid)),
+w AS (SELECT contig, half, chr_id, gene_id, (start + CASE WHEN pos < 10 AND pos <= len - pos THEN 0 WHEN len - pos < 10 THEN len ELSE pos END)::BIGINT AS place FROM q),
+g AS (SELECT w.*, ensembl_id, strand, name FROM w JOIN genes USING (gene_id))
+SELECT x.contig, x.chr_id AS chr_id1, x.place AS place1, x.ensembl_id AS ensembl_id1, x.strand AS strand1, x.name AS name1, y.chr_id AS chr_id2, y.place AS place2, y.ensembl_id AS ensembl_id2, y.strand AS strand2, y.name AS name2, length(c.seq)::INT AS len
+FROM g x JOIN g y ON x.contig = y.contig AND x.half = 0 AND y.half = 1 AND x.gene_id <> y.gene_id JOIN c ON c.contig = x.contig""",
+    ),
+    "longest_contig": (longest_contig, "SELECT gene_id, upper(seq) AS contig FROM transcripts QUALIFY row_number() OVER (PARTITION BY gene_id ORDER BY length(seq) DESC, upper(seq)) = 1"),
+    "genome_exact": (
+        genome_exact,
+        f"""WITH {_HITS} SELECT DISTINCT s.read_id, s.strand, tr.chr_id FROM s JOIN p ON p.kmer = left(s.seq, 31) JOIN t ON t.tid = p.tid AND substr(t.seq, p.pos + 1, length(s.seq)) = s.seq JOIN transcripts tr ON tr.tid = t.tid WHERE tr.chr_id IS NOT NULL""",
+    ),
     "unitig_totals": (
         unitig_totals,
         f"""WITH {_EDGE.format('SELECT upper(seq) AS s FROM transcripts')},

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.runtime import shared_dir
+from strandloom.sources import files
 
 
 def running_counts(rows: DataFrame) -> DataFrame:
@@ -38,10 +39,7 @@ def counted_once(spark: SparkSession, path: str) -> DataFrame:
 
     # a single file is streamed through a pattern that matches only it
     where, _, name = path.rstrip("/").rpartition("/")
-    import os
-
-    local = path.removeprefix("file://")
-    source = path if os.path.isdir(local) else where
+    source = path if files.is_folder(path) else where
     stream = spark.readStream.schema(schema)
     if source != path:
         stream = stream.option("pathGlobFilter", name)

@@ -2,6 +2,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from strandloom.operators import align, dp, graph, intervals, kmers
 from tests.conftest import revcomp
 
@@ -179,3 +181,34 @@ def test_lifted_cigars_hold_an_intron_for_each_border(spark):
     e = spark.createDataFrame([(7, 0, *x) for x in exons], "tid int, chr_id int, lo int, hi int, start int")
     r = intervals.lift_alignments(hits, e, ["read"]).collect()[0]
     assert r.genome_pos == 105 and [o.op for o in r.genome_cigar] == ["=", "N", "="]
+
+
+def test_tips_go_layer_by_layer(spark):
+    # 1 - 2 - 3 - 4 - 5 with a tip of two edges at 3
+    e = spark.createDataFrame([(1, 2, 5), (2, 3, 5), (3, 4, 5), (4, 5, 5), (3, 8, 1), (8, 9, 1), (3, 7, 1)], "src long, dst long, cover long")
+    assert {(r.src, r.dst) for r in graph.without_tips(e).collect()} == {(1, 2), (2, 3), (3, 4), (4, 5), (3, 8), (8, 9)}
+    twice = spark.createDataFrame([(1, 2, 5), (2, 3, 5), (3, 4, 5), (3, 8, 1), (8, 9, 1), (8, 10, 1)], "src long, dst long, cover long")
+    assert {(r.src, r.dst) for r in graph.without_tips(twice, layers=5).collect()} == {(1, 2), (2, 3), (3, 4)}
+
+
+def test_one_target_with_half_of_the_places_is_spread(spark):
+    places = spark.createDataFrame([(k, 0 if k % 2 else k % 40, k % 60) for k in range(4000)], "read int, tid int, __start int")
+    rng = np.random.default_rng(6)
+    text = {k: "".join(rng.choice(list("ACGT"), 80)) for k in range(40)}
+    tiles = align.Tiles(spark.createDataFrame(list(text.items()), "tid int, seq string"), 30)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = tiles.windows(places, "__start", F.lit(20), ["read"]).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(got) == 4000 and all(r["__window"] == text[r.tid][r["__start"]:][:20] for r in got)
+    hot = {}
+    for r in got:
+        if r.tid == 0:
+            hot[r.part] = hot.get(r.part, 0) + 1
+    assert len(hot) > 8 and max(hot.values()) < 800
