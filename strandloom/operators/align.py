@@ -121,14 +121,14 @@ def map_reads(reads: DataFrame, targets: DataFrame, index: DataFrame, key: list[
     ``mate`` names the column of ``key`` that tells the mates (1 and 2) of a
     pair apart; without it there is nothing to guide by.
     """
-    turned = kmers.both_strands(reads.filter(F.length("seq") >= k))
-    full, most = [*key, "strand"], longest(reads)
+    full = [*key, "strand"]
+    turned = materialize(kmers.both_strands(reads.select(*key, "seq").filter(F.length("seq") >= k)).withColumn("__n", F.length("seq")), "turned")
+    most = longest(turned)
     group = full if per_strand else key
 
     def seeded(some, step):
-        c = chains(kmers.seed_hits(some, index, full, "seq", k, step, spread=True), full, k)
-        length = some.select(*full, F.length("seq").alias("__n"))
-        return c.join(length, full).withColumn("rank", F.when((F.col("n_seeds") >= 2) | (F.floor(F.col("__n") / k) <= 2), MULTIPLE).otherwise(SINGLE)).drop("__n")
+        c = chains(kmers.seed_hits(some, index, [*full, "__n"], "seq", k, step, spread=True), [*full, "__n"], k)
+        return c.withColumn("rank", F.when((F.col("n_seeds") >= 2) | (F.floor(F.col("__n") / k) <= 2), MULTIPLE).otherwise(SINGLE)).drop("__n")
 
     first = seeded(turned, k).filter(F.col("rank") == MULTIPLE)
     wide = materialize(best(extend(first, turned, targets, full, most=most), group), "hits")

@@ -58,7 +58,7 @@ def reads_to_abundance(spark, sf):
     """From reads to abundance: seeds, chains, alignments, classes, accelerated EM."""
     t = read_table(spark, sf, "transcripts").select("tid", "len", F.upper("seq").alias("seq"))
     r = read_table(spark, sf, "reads").filter("seq IS NOT NULL").select("read_id", F.upper("seq").alias("seq")).distinct()
-    hits = align.map_reads(r, t, kmers.postings(t), ["read_id"])
+    hits = align.map_reads(r, t, materialize(kmers.postings(t), "postings"), ["read_id"])
     cls = materialize(quant.classes(hits, "read_id", "tid", "err"), "classes")
     a = quant.abundance(t.select("tid", "len"), cls, 100.0)
     return a.select("tid", "unique_map", "length", "eff_length", F.round("est_counts", 4).alias("est_counts"), F.round("tpm", 4).alias("tpm"))

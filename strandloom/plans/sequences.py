@@ -67,6 +67,11 @@ def _hits(spark, sf):
     return kmers.seed_hits(reads, kmers.postings(t), ["read_id", "strand"])
 
 
+def _postings(t):
+    """Postings of the targets, written once for the stages that read them."""
+    return materialize(kmers.postings(t), "postings")
+
+
 def seed_join(spark, sf):
     return _hits(spark, sf).groupBy("read_id", "strand", "tid", "diag").agg(F.count(F.lit(1)).alias("n_seeds"))
 
@@ -113,7 +118,7 @@ def unseeded_anti(spark, sf):
 def map_reads(spark, sf):
     """Best alignments of all reads over both strands, by seeds, chains and dynamic programming."""
     t = _transcripts(spark, sf)
-    hits = align.map_reads(_reads(spark, sf), t, kmers.postings(t), ["read_id"])
+    hits = align.map_reads(_reads(spark, sf), t, _postings(t), ["read_id"])
     from strandloom.functions import sam
 
     return hits.select("read_id", "strand", "tid", "pos", "err", sam.cigar_text(F.col("cigar")).alias("cigar"), sam.md_text(F.col("cigar")).alias("md"), sam.edit_count(F.col("cigar")).alias("nm"))
@@ -122,7 +127,7 @@ def map_reads(spark, sf):
 def map_reads_exact(spark, sf):
     """Reads by the transcripts that ``map_reads`` finds them on without an error."""
     t = _transcripts(spark, sf)
-    hits = align.map_reads(_reads(spark, sf), t, kmers.postings(t), ["read_id"])
+    hits = align.map_reads(_reads(spark, sf), t, _postings(t), ["read_id"])
     return hits.filter("err = 0").select("read_id", "strand", "tid").distinct()
 
 
@@ -201,7 +206,7 @@ def _genome(spark, sf):
 def genome_exact(spark, sf):
     """Reads by the chromosomes that the search on the genome finds them on without an error."""
     _, contigs = _genome(spark, sf)
-    hits = align.map_reads(_reads(spark, sf), contigs, kmers.without_frequent(kmers.postings(contigs), 1_000_000), ["read_id"])
+    hits = align.map_reads(_reads(spark, sf), contigs, kmers.without_frequent(_postings(contigs), 1_000_000), ["read_id"])
     return hits.filter("err = 0").select("read_id", "strand", F.col("tid").alias("chr_id")).distinct()
 
 
