@@ -81,7 +81,7 @@ def _outcomes(spark, sf):
 
 def decision_tree(spark, sf):
     """How many pairs have each outcome."""
-    return _outcomes(spark, sf).groupBy("outcome", "counted").agg(F.count(F.lit(1)).alias("n_pairs"))
+    return _outcomes(spark, sf).groupBy("outcome", "counted").agg(F.count(F.lit(1)).alias("n_pairs"), F.bit_xor("pair").alias("mixed"))
 
 
 def posterior(spark, sf):
@@ -119,7 +119,7 @@ def sam_flags(spark, sf):
 
 def flag_filter(spark, sf):
     f = sam_flags(spark, sf)
-    return f.filter(sam.kept_by_model(F.col("flag"), F.col("tlen")) & ~sam.has(F.col("flag"), sam.SECONDARY)).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
+    return f.filter(sam.kept_by_model(F.col("flag"), F.col("tlen")) & ~sam.has(F.col("flag"), sam.SECONDARY)).groupBy("flag").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("align_id").alias("mixed"))
 
 
 def cigar_rle(spark, sf):
@@ -294,7 +294,7 @@ p AS (SELECT pair, bool_or(slot = 'a0') AS a0, bool_or(slot = 'a1') AS a1, bool_
   list_has_any(coalesce(list(trans_id) FILTER (slot = 'a0'), []), coalesce(list(trans_id) FILTER (slot = 'a1'), [])) AS pa, list_has_any(coalesce(list(trans_id) FILTER (slot = 'b0'), []), coalesce(list(trans_id) FILTER (slot = 'b1'), [])) AS pb FROM k GROUP BY 1),
 q AS (SELECT *, pa AND (NOT pb OR ea <= eb) AS wa, pb AND (NOT pa OR eb <= ea) AS wb FROM p),
 dt AS (SELECT CASE WHEN wa AND wb THEN 'proper_both' WHEN wa THEN 'proper_a' WHEN wb THEN 'proper_b' WHEN a0 AND a1 AND (NOT (b0 AND b1) OR ea < eb) THEN 'improper_a' WHEN b0 AND b1 THEN 'improper_b'
-  WHEN a0 AND b0 THEN 'both_forward' WHEN a1 AND b1 THEN 'both_reverse' WHEN a0 THEN 'single_a0' WHEN a1 THEN 'single_a1' WHEN b0 THEN 'single_b0' WHEN b1 THEN 'single_b1' ELSE 'unmapped' END AS outcome, wa OR wb AS counted FROM q)"""
+  WHEN a0 AND b0 THEN 'both_forward' WHEN a1 AND b1 THEN 'both_reverse' WHEN a0 THEN 'single_a0' WHEN a1 THEN 'single_a1' WHEN b0 THEN 'single_b0' WHEN b1 THEN 'single_b1' ELSE 'unmapped' END AS outcome, wa OR wb AS counted, pair FROM q)"""
 #: Smallest labels spread over shared reads; twelve rounds reach further than any gene is from another.
 _COMPONENTS = """h AS MATERIALIZED (SELECT DISTINCT read_id, gene_id FROM g JOIN transcripts ON tid = trans_id), l0 AS (SELECT DISTINCT gene_id, gene_id AS l FROM h)""" + "".join(
     f", r{k} AS MATERIALIZED (SELECT read_id, min(l) AS l FROM h JOIN l{k - 1} USING (gene_id) GROUP BY 1), l{k} AS MATERIALIZED (SELECT gene_id, min(l) AS l FROM h JOIN r{k} USING (read_id) GROUP BY 1)" for k in range(1, 13)
@@ -316,7 +316,7 @@ SELECT count(*) AS n_reads, count(*) FILTER (hits > 0) AS n_mapped, count(*) FIL
 j AS (SELECT x.pair, x.tid, x.pos AS pos1, y.pos AS pos2, x.err AS err1, y.err AS err2, abs(x.pos - y.pos) AS dist FROM k x JOIN k y ON x.pair = y.pair AND x.tid = y.tid AND x.side = 1 AND y.side = 0 WHERE abs(x.pos - y.pos) <= 200)
 SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY pair, tid, pos1 ORDER BY dist, pos2) = 1 AND row_number() OVER (PARTITION BY pair, tid, pos2 ORDER BY dist, pos1) = 1""",
     ),
-    "decision_tree": (decision_tree, f"WITH {_DECIDED} SELECT outcome, counted, count(*) AS n_pairs FROM dt GROUP BY 1, 2"),
+    "decision_tree": (decision_tree, f"WITH {_DECIDED} SELECT outcome, counted, count(*) AS n_pairs, bit_xor(pair) AS mixed FROM dt GROUP BY 1, 2"),
     "pair_summary": (
         pair_summary,
         f"""WITH {_DECIDED}, c AS (SELECT count(*) AS total, count(*) FILTER (starts_with(outcome, 'proper')) AS proper, count(*) FILTER (outcome = 'unmapped') AS unmapped FROM dt)
@@ -363,7 +363,7 @@ SELECT n_groups, CASE WHEN n_groups = 1 THEN 70 ELSE floor(-10 * log10(1 - 1 / n
         f"""WITH {_FLAG} SELECT align_id, flag, (CASE WHEN beg >> 14 = fin >> 14 THEN 4681 + (beg >> 14) WHEN beg >> 17 = fin >> 17 THEN 585 + (beg >> 17) WHEN beg >> 20 = fin >> 20 THEN 73 + (beg >> 20)
  WHEN beg >> 23 = fin >> 23 THEN 9 + (beg >> 23) WHEN beg >> 26 = fin >> 26 THEN 1 + (beg >> 26) ELSE 0 END)::INT AS bin, tlen FROM fl""",
     ),
-    "flag_filter": (flag_filter, f"WITH {_FLAG} SELECT flag, count(*) AS n FROM fl WHERE flag & 2 <> 0 AND flag & 4 = 0 AND tlen >= 0 AND flag & 256 = 0 GROUP BY 1"),
+    "flag_filter": (flag_filter, f"WITH {_FLAG} SELECT flag, count(*) AS n, bit_xor(align_id) AS mixed FROM fl WHERE flag & 2 <> 0 AND flag & 4 = 0 AND tlen >= 0 AND flag & 256 = 0 GROUP BY 1"),
     "cigar_rle": (
         cigar_rle,
         r"""WITH q AS (SELECT DISTINCT read_id, regexp_replace(translate(qual, 'F,:#', '=XIS'), '[^=XIS]', '', 'g') AS o FROM reads WHERE qual IS NOT NULL),

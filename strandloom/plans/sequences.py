@@ -51,9 +51,9 @@ def kmer_unpack(spark, sf):
 
 
 def kmer_index(spark, sf):
-    """How many k-mers have so many postings on so many transcripts."""
+    """How many k-mers have so many postings on so many transcripts, and the exclusive or of their codes."""
     f = kmers.frequencies(kmers.postings(_transcripts(spark, sf)))
-    return f.groupBy("n_postings", "n_targets").agg(F.count(F.lit(1)).alias("n_kmers"))
+    return f.groupBy("n_postings", "n_targets").agg(F.count(F.lit(1)).alias("n_kmers"), F.bit_xor("kmer").alias("mixed"))
 
 
 def kmer_capped(spark, sf):
@@ -157,6 +157,11 @@ def sw_rescue(spark, sf):
     return align.rescue(hits, mates, t, "pair").select("pair", "tid", "mate_pos", "pos", "err")
 
 
+def rescue_exact(spark, sf):
+    """Hits near which local alignment finds the read after them without an error."""
+    return sw_rescue(spark, sf).filter("err = 0").select("pair", "tid", "mate_pos").distinct()
+
+
 def edit_distance(spark, sf):
     """Edits between the whole sequences of transcripts of one gene."""
     t = _transcripts(spark, sf).select("gene_id", "tid", F.col("seq").alias("s"))
@@ -168,7 +173,7 @@ def edit_distance(spark, sf):
 def dbg_edges(spark, sf):
     """Cover of the edges of the reads' de Bruijn graph, summed up by how often they stand."""
     e = graph.edges(_reads(spark, sf), k=30)
-    return e.groupBy("cover").agg(F.count(F.lit(1)).alias("n_edges"))
+    return e.groupBy("cover").agg(F.count(F.lit(1)).alias("n_edges"), F.bit_xor("src").alias("sources"), F.bit_xor("dst").alias("targets"))
 
 
 def dbg_simplified(spark, sf):
@@ -176,7 +181,7 @@ def dbg_simplified(spark, sf):
     strong = materialize(graph.without_weak(graph.edges(_transcripts(spark, sf), k=30, strands=False)), "edges")
     e = graph.without_tips(strong)
     d = e.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    return d.groupBy("degree").agg(F.count(F.lit(1)).alias("n_nodes"))
+    return d.groupBy("degree").agg(F.count(F.lit(1)).alias("n_nodes"), F.bit_xor("src").alias("mixed"))
 
 
 def unitigs(spark, sf):
@@ -264,7 +269,7 @@ FROM (SELECT DISTINCT read_id, run_id, lane, name, length(seq) AS n FROM reads)
         kmer_unpack,
         f"WITH {_POST}, c AS (SELECT tid, min(kmer) AS kmer FROM p GROUP BY 1) SELECT tid, kmer, {_CODE.format(chr(34) + 'rc' + chr(34))} AS rev_code FROM (SELECT tid, kmer, reverse(translate(kmer, 'ACGT', 'TGCA')) AS rc FROM c)",
     ),
-    "kmer_index": (kmer_index, f"WITH {_POST}, f AS (SELECT kmer, count(*) AS n_postings, count(DISTINCT tid) AS n_targets FROM p GROUP BY 1) SELECT n_postings::BIGINT AS n_postings, n_targets, count(*) AS n_kmers FROM f GROUP BY 1, 2"),
+    "kmer_index": (kmer_index, f"WITH {_POST}, f AS (SELECT kmer, count(*) AS n_postings, count(DISTINCT tid) AS n_targets FROM p GROUP BY 1) SELECT n_postings::BIGINT AS n_postings, n_targets, count(*) AS n_kmers, bit_xor({_CODE.format('kmer')}) AS mixed FROM f GROUP BY 1, 2"),
     "kmer_capped": (kmer_capped, f"WITH {_POST}, k AS (SELECT tid, row_number() OVER (PARTITION BY kmer ORDER BY tid, pos) AS n FROM p) SELECT tid, count(*) AS n_postings FROM k WHERE n <= 4 GROUP BY 1"),
     "seed_join": (seed_join, f"WITH {_HITS} SELECT read_id, strand, tid, diag, count(*) AS n_seeds FROM h GROUP BY ALL"),
     "chain": (
@@ -304,13 +309,21 @@ n AS (SELECT read_id, strand, tid, chain, count(*) AS n_seeds FROM g GROUP BY AL
 SELECT n.*, length(r.seq) AS len FROM n JOIN r USING (read_id) WHERE n_seeds >= 2 OR floor(length(r.seq) / 31) <= 2""",
     ),
     "sw_rescue": (sw_rescue, None),
+    "rescue_exact": (
+        rescue_exact,
+        f"""WITH {_HITS},
+b AS (SELECT *, CASE WHEN lag(off) OVER w IS NULL OR off <= lag(off) OVER w OR abs(diag - lag(diag) OVER w) > 7 THEN 1 ELSE 0 END AS new FROM h WINDOW w AS (PARTITION BY read_id, strand, tid ORDER BY pos, off)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY read_id, strand, tid ORDER BY pos, off ROWS UNBOUNDED PRECEDING)::INT AS chain FROM b),
+n AS (SELECT read_id, strand, tid, chain, count(*) AS n_seeds, min(pos) AS pos FROM g GROUP BY read_id, strand, tid, chain QUALIFY rank() OVER (PARTITION BY read_id ORDER BY count(*) DESC) = 1)
+SELECT DISTINCT n.read_id AS pair, n.tid, n.pos AS mate_pos FROM n JOIN r ON r.read_id = n.read_id + 1 JOIN t ON t.tid = n.tid WHERE length(r.seq) > 0 AND contains(substr(t.seq, greatest(n.pos - 1000, 0) + 1, 2000 + length(r.seq)), r.seq)""",
+    ),
     "edit_distance": (
         edit_distance,
         "SELECT a.tid, b.tid AS tid2, levenshtein(upper(a.seq), upper(b.seq)) AS edits FROM transcripts a JOIN transcripts b ON a.gene_id = b.gene_id AND a.tid < b.tid",
     ),
     "dbg_edges": (
         dbg_edges,
-        f"WITH {_R}, {_EDGE.format('SELECT seq AS s FROM r UNION ALL SELECT reverse(translate(seq, ' + repr('ACGT') + ', ' + repr('TGCA') + ')) FROM r')} SELECT cover, count(*) AS n_edges FROM e GROUP BY 1",
+        f"WITH {_R}, {_EDGE.format('SELECT seq AS s FROM r UNION ALL SELECT reverse(translate(seq, ' + repr('ACGT') + ', ' + repr('TGCA') + ')) FROM r')} SELECT cover, count(*) AS n_edges, bit_xor({_CODE.format('src')}) AS sources, bit_xor({_CODE.format('dst')}) AS targets FROM e GROUP BY 1",
     ),
     "dbg_simplified": (
         dbg_simplified,
@@ -319,7 +332,7 @@ w AS (SELECT src, dst, cover FROM (SELECT *, max(cover) OVER (PARTITION BY src)
 x AS (SELECT src, dst FROM w WHERE cover <= 1 AND ((dst NOT IN (SELECT src FROM w) AND src IN (SELECT src FROM w GROUP BY 1 HAVING count(*) > 1))
   OR (src NOT IN (SELECT dst FROM w) AND dst IN (SELECT dst FROM w GROUP BY 1 HAVING count(*) > 1)))),
 k AS (SELECT src, count(*) AS degree FROM w ANTI JOIN x USING (src, dst) GROUP BY 1)
-SELECT degree, count(*) AS n_nodes FROM k GROUP BY 1""",
+SELECT degree, count(*) AS n_nodes, bit_xor({_CODE.format('src')}) AS mixed FROM k GROUP BY 1""",
     ),
     "unitigs": (unitigs, None),
     "fusion_halves": (
