@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.plans import pipeline
-from strandloom.runtime import materialize, release
+from strandloom.runtime import materialize, release, ship
 from strandloom.sources import tables
 
 
@@ -58,6 +58,7 @@ def main(argv: list[str] | None = None) -> int:
         parser().error("-1 and -2 need as many files")
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(message)s")
     spark = SparkSession.builder.appName("strandloom").getOrCreate()
+    ship(spark)
     logging.info("%s", vars(args))
     try:
         _run(spark, args)

@@ -188,3 +188,20 @@ def test_single_reads_have_records_and_a_summary(spark, micro, tmp_path):
     flags = {r.qname: r.flag for r in rows if not r.flag & 256}
     assert flags == {"plus": 0, "minus": 16, "genome": 0, "none": 4}
     assert tuple(done["summary"].first()) == (4, 2, 2, 0.5)
+
+
+def test_command_line_from_genome_to_model(spark, micro, tmp_path):
+    from strandloom import runtime
+
+    d = micro["dir"]
+    held = list(runtime._WRITTEN)
+    runtime._WRITTEN.clear()  # of other tests: main deletes what it wrote
+    try:
+        assert cli.main(["build", "--fasta", str(d / "genome.fa"), "--gtf", str(d / "genes.gtf"), "--outdir", str(tmp_path / "i"), "--with-genome"]) == 0
+        assert cli.main(["quant", "-1", str(d / "r1.fq"), "-2", str(d / "r2.fq"), "-i", str(tmp_path / "i"), "-o", str(tmp_path / "o"), "-w", str(tmp_path / "o.bam"), "-p", "run1.", "--on-transcripts", "-b", "1"]) == 0
+        assert cli.main(["model", str(tmp_path / "o.bam"), "-o", str(tmp_path / "m")]) == 0
+        assert not runtime._WRITTEN
+    finally:
+        runtime._WRITTEN.extend(held)
+    assert len(lines(tmp_path / "o" / "run1.abundance.tsv")) == 9 and lines(tmp_path / "o" / "run1.abundance.gene.tsv")
+    assert lines(tmp_path / "m" / "result.tsv")[0].startswith("#trans_id")
