@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from strandloom.llm import mail
 from strandloom.runtime import materialize
 
-_NAME = r"[A-Za-z_][\w.]*(?: [\w.]+){0,3}"
+_NAME = r"[A-Za-z_][\w.]*(?: [\w.]+)*"
 #: Ways in which template languages and form letters mark a variable.
 _SLOT = re.compile(
     "|".join(
@@ -44,13 +44,13 @@ _SLOT = re.compile(
             rf"\(\({_NAME}\)\)",
             rf"\[\[{_NAME}\]\]",
             r"\[(?:insert|enter|add|fill in|your|tbd|todo)\b[^\[\]]*\]",
-            r"\[[A-Z][A-Z_]{2,}(?: [A-Z_]+){0,3}\]",
+            r"\[[A-Z][A-Z_]{2,}(?: [A-Z_]+)*\]",
             r"\[XX[X/. :-]*\]",
             rf"\[{_NAME}\?\]",
             r"\[(?:link|name|date|url)\]",
             r"<(?:insert|enter|add|fill in|your|tbd|todo)\b[^<>@]*>",
             rf"<{_NAME} here>",
-            r"\{(?:[A-Za-z_][\w.]*(?: [\w.]+){0,3}|\d)\}",
+            r"\{(?:[A-Za-z_][\w.]*(?: [\w.]+)*|\d)\}",
         ]
     ),
     re.I,
