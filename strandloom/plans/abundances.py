@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import seq as S
 from strandloom.functions import stats
 from strandloom.operators import align, generative, kmers, quant
+from strandloom.plans.sequences import _HITS
 from strandloom.runtime import materialize, read_table, shared_dir
 from strandloom.sources import bam, reads as read_source
 from strandloom.streaming import class_counts
@@ -64,6 +65,17 @@ def reads_to_abundance(spark, sf):
     return a.select("tid", "unique_map", "length", "eff_length", F.round("est_counts", 4).alias("est_counts"), F.round("tpm", 4).alias("tpm"))
 
 
+def exact_reads_to_abundance(spark, sf):
+    """From reads to counts by the reads that map without an error: search, classes and three rounds of EM."""
+    t = read_table(spark, sf, "transcripts").select("tid", "len", F.upper("seq").alias("seq"))
+    r = read_table(spark, sf, "reads").filter("seq IS NOT NULL").select("read_id", F.upper("seq").alias("seq")).distinct()
+    hits = align.map_reads(r, t, materialize(kmers.postings(t), "postings"), ["read_id"]).filter("err = 0")
+    cls = materialize(quant.classes(hits, "read_id", "tid", "err"), "classes")
+    targets = t.select("tid", "len")
+    ab = quant.rounds(targets, cls, 3, every=5).join(targets, "tid").join(quant.unique_counts(cls), "tid", "left")
+    return ab.select("tid", F.coalesce("unique_map", F.lit(0)).cast("long").alias("unique_map"), F.round(F.col("rate") * F.col("len"), 5).alias("est_counts"))
+
+
 def bootstrap(spark, sf):
     """Totals of four replicates, and how many targets of no class got counts."""
     c = _classes(spark, sf)
@@ -245,6 +257,13 @@ QUERIES = {
     "em_squarem": (em_squarem, None),
     "em_accelerated": (em_accelerated, f"WITH {_EM}, {_accelerated(1)}, {_accelerated(2)} SELECT tid, round(rate * len, 4) AS est_counts FROM q2 JOIN transcripts USING (tid)"),
     "reads_to_abundance": (reads_to_abundance, None),
+    "exact_reads_to_abundance": (
+        exact_reads_to_abundance,
+        f"""WITH {_HITS}, x AS (SELECT DISTINCT s.read_id, p.tid FROM s JOIN p ON p.kmer = left(s.seq, 31) JOIN t ON t.tid = p.tid AND substr(t.seq, p.pos + 1, length(s.seq)) = s.seq),
+c AS (SELECT refs, count(*) AS n FROM (SELECT read_id, list_sort(list(tid)) AS refs FROM x GROUP BY 1) GROUP BY 1), m AS (SELECT refs, n, unnest(refs) AS tid FROM c),
+r0 AS (SELECT tid, 1.0::DOUBLE / (SELECT count(*) FROM transcripts) AS rate FROM transcripts), {_round(1)}, {_round(2)}, {_round(3)}, u AS (SELECT refs[1] AS tid, n FROM c WHERE len(refs) = 1)
+SELECT tid, coalesce(n, 0)::BIGINT AS unique_map, round(rate * len, 5) AS est_counts FROM r3 JOIN transcripts USING (tid) LEFT JOIN u USING (tid)""",
+    ),
     "bootstrap": (bootstrap, f"WITH {_C} SELECT i::INT AS bs, (SELECT count(*) FROM transcripts) AS n_targets, round((SELECT sum(n) FROM c)::DOUBLE, 2) AS total, 0::BIGINT AS n_stray FROM range(1, 5) r(i)"),
     "round_change": (
         round_change,
