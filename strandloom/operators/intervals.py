@@ -21,34 +21,54 @@ def band_join(left: DataFrame, right: DataFrame, a: str, b: str, width: int, on:
     return x.join(y, [*(on or []), "__bin"]).filter(F.abs(F.col(a) - F.col(b)) <= width).drop("__bin")
 
 
-def nearest(left: DataFrame, right: DataFrame, key: list[str], a: str, b: str, width: int, on: list[str]) -> DataFrame:
+def _neighbours(events: DataFrame, on: list[str], up: bool) -> DataFrame:
+    """Adds ``__n`` to events of both sides within bins: the last right place up to each (or the first from it on) with its mark, and the next one beyond of another mark."""
+    order = [F.col("__p").asc() if up else F.col("__p").desc(), F.col("__m")]
+    own = Window.partitionBy(*on, "__bin", "__left").orderBy(*order)
+    # of right rows: the nearest place before it whose mark differs
+    change = F.when(F.lag("__m").over(own) != F.col("__m"), F.lag("__p").over(own))
+    told = events.withColumn("__o", F.when(~F.col("__left"), F.last(change, True).over(own.rowsBetween(Window.unboundedPreceding, 0))))
+    right = F.when(~F.col("__left"), F.struct(F.col("__p").alias("p"), F.col("__m").alias("m"), F.col("__o").alias("o")))
+    # right rows of a place come before left rows of it
+    both = Window.partitionBy(*on, "__bin").orderBy(order[0], F.col("__left"), F.col("__m")).rowsBetween(Window.unboundedPreceding, 0)
+    return told.withColumn("__n", F.last(right, True).over(both)).drop("__o")
+
+
+def nearest(left: DataFrame, right: DataFrame, key: list[str], a: str, b: str, width: int, on: list[str], differ: tuple[str, str] | None = None) -> DataFrame:
     """For each left row (``key``) the right rows of least distance ``dist`` within the width; ties kept.
 
-    No pairs are formed before the nearest place is known: places of both sides
-    are sorted within bins of the width, a running last and first place tell the
-    neighbours in the bin, and the outermost places of the bins beside it the
+    ``differ``: a left and a right column that must not be equal (nulls count as
+    one value). No pairs are formed before the nearest place is known: places of both sides
+    are sorted within bins of the width, where running last and first places tell the
+    neighbours, and the outermost places of the bins beside it the
     rest. Only rows of the places found are joined. A null place joins nothing.
     """
     size = max(1, width)
-    keys = list(dict.fromkeys([*key, *on, a]))
-    own = left.filter(F.col(a).isNotNull()).select(*keys, F.floor(F.col(a) / size).alias("__bin"), F.col(a).alias("__p")).distinct()
-    there = right.filter(F.col(b).isNotNull()).select(*on, F.floor(F.col(b) / size).alias("__bin"), F.col(b).alias("__p")).distinct()
-    events = own.withColumn("__b", F.lit(None).cast("long")).withColumn("__own", F.lit(True)).unionByName(
-        there.withColumn("__b", F.col("__p").cast("long")).withColumn("__own", F.lit(False)), allowMissingColumns=True
-    )
-    w = Window.partitionBy(*on, "__bin").orderBy("__p")
-    before = F.max("__b").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.min("__b").over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    inner = events.withColumn("__lo", before).withColumn("__hi", after).filter("__own")
-    edge = there.groupBy(*on, "__bin").agg(F.min("__p").alias("__first"), F.max("__p").alias("__last"))
-    inner = inner.join(edge.select(*on, (F.col("__bin") + 1).alias("__bin"), F.col("__last").alias("__lo2")), [*on, "__bin"], "left")
-    inner = inner.join(edge.select(*on, (F.col("__bin") - 1).alias("__bin"), F.col("__first").alias("__hi2")), [*on, "__bin"], "left")
-    lo, hi = F.coalesce("__lo", "__lo2"), F.coalesce("__hi", "__hi2")
-    dist = F.least(F.col("__p") - lo, hi - F.col("__p"))
-    found = inner.withColumn("dist", dist).filter(F.col("dist") <= width)
-    at = F.explode(F.array_distinct(F.filter(F.array(F.when(F.col("__p") - lo == F.col("dist"), lo), F.when(hi - F.col("__p") == F.col("dist"), hi)), lambda x: x.isNotNull()))).alias("__at")
-    places = found.select(*keys, "dist", at)
+    keys = list(dict.fromkeys([*key, *on, a, *([differ[0]] if differ else [])]))
+    marks = [F.coalesce(F.col(c).cast("string"), F.lit("")) if differ else F.col(p).cast("string") for c, p in zip(differ or (a, b), (a, b))]
+    own = left.filter(F.col(a).isNotNull()).select(*keys, F.floor(F.col(a) / size).alias("__bin"), F.col(a).cast("long").alias("__p"), marks[0].alias("__m")).distinct()
+    there = right.filter(F.col(b).isNotNull()).select(*on, F.floor(F.col(b) / size).alias("__bin"), F.col(b).cast("long").alias("__p"), marks[1].alias("__m")).distinct()
+    events = own.withColumn("__left", F.lit(True)).unionByName(there.withColumn("__left", F.lit(False)), allowMissingColumns=True)
+    for up in (True, False):
+        name = "__lo" if up else "__hi"
+        events = _neighbours(events, on, up).withColumnRenamed("__n", name)
+    inner = events.filter("__left")
+    for up, name, step in ((True, "__lo2", 1), (False, "__hi2", -1)):
+        far = _neighbours(there.withColumn("__left", F.lit(False)), on, up)
+        best = F.max_by("__n", F.struct("__p", "__m")) if up else F.max_by("__n", F.struct(-F.col("__p"), F.col("__m")))
+        edge = far.groupBy(*on, "__bin").agg(best.alias(name))
+        inner = inner.join(edge.withColumn("__bin", F.col("__bin") + step), [*on, "__bin"], "left")
+
+    def place(n):
+        return F.when(F.col(n)["m"] != F.col("__m"), F.col(n)["p"]).otherwise(F.col(n)["o"]) if differ else F.col(n)["p"]
+
+    lo, hi = F.coalesce(place("__lo"), place("__lo2")), F.coalesce(place("__hi"), place("__hi2"))
+    found = inner.select(*keys, "__p", lo.alias("__a"), hi.alias("__b")).withColumn("dist", F.least(F.col("__p") - F.col("__a"), F.col("__b") - F.col("__p"))).filter(F.col("dist") <= width)
+    sides = F.array(F.when(F.col("__p") - F.col("__a") == F.col("dist"), F.col("__a")), F.when(F.col("__b") - F.col("__p") == F.col("dist"), F.col("__b")))
+    places = found.select(*keys, "dist", F.explode(F.array_distinct(F.array_compact(sides))).alias("__at"))
     met = places.join(right.withColumn("__at", F.col(b).cast("long")), [*on, "__at"]).drop("__at")
+    if differ:
+        met = met.filter(~F.col(differ[0]).eqNullSafe(F.col(differ[1])))
     return left.join(met, keys)
 
 

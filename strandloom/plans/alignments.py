@@ -207,8 +207,7 @@ def genome_band_join(spark, sf):
 def nearest_range_join(spark, sf):
     """For each transcript the nearest begin of another gene on its chromosome within 2000 bases, ties kept."""
     a, b = _intervals(spark, sf, "1"), _intervals(spark, sf, "2")
-    far = intervals.band_join(a, b, "s1", "s2", 2000, ["chr_id"]).filter("gene1 <> gene2").withColumn("dist", F.abs(F.col("s1") - F.col("s2")))
-    return align.best(far, ["tid1"], "dist").select("tid1", "tid2", "dist")
+    return intervals.nearest(a, b, ["tid1"], "s1", "s2", 2000, ["chr_id"], ("gene1", "gene2")).select("tid1", "tid2", F.col("dist").cast("int").alias("dist"))
 
 
 def gene_components(spark, sf):

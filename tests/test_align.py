@@ -212,3 +212,18 @@ def test_one_target_with_half_of_the_places_is_spread(spark):
         if r.tid == 0:
             hot[r.part] = hot.get(r.part, 0) + 1
     assert len(hot) > 8 and max(hot.values()) < 800
+
+
+def test_nearest_of_another_group_equals_brute_force(spark):
+    rng = np.random.default_rng(12)
+    rows = [(k, int(c), int(p), int(g)) for k, (c, p, g) in enumerate(zip(rng.integers(0, 2, 150), rng.integers(0, 400, 150), rng.choice(4, 150, p=[0.7, 0.1, 0.1, 0.1])))]
+    x = spark.createDataFrame(rows, "i int, c int, p int, g int")
+    y = spark.createDataFrame(rows, "j int, c int, q int, h int")
+    for width in (5, 30, 1000):
+        for differ in (None, ("g", "h")):
+            got = {(r.i, r.j, r.dist) for r in intervals.nearest(x, y, ["i"], "p", "q", width, ["c"], differ).collect()}
+            want = set()
+            for i, c, p, g in rows:
+                d = {j: abs(p - q) for j, e, q, h in rows if e == c and (differ is None or g != h) and abs(p - q) <= width}
+                want |= {(i, j, n) for j, n in d.items() if n == min(d.values())}
+            assert got == want
